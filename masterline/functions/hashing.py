@@ -2,7 +2,9 @@
 
 The value depends only on the keys and the salt, never on partitioning, task
 retries or row order, so a lost executor recomputes the same numbers and the
-same expression can be written in plain SQL.
+same expression can be written in plain SQL.  Keys are SQL text (a column name
+or an expression): a hash is some twenty operators, and one parsed expression
+is built far faster than twenty Column calls.
 """
 
 from __future__ import annotations
@@ -15,40 +17,40 @@ from pyspark.sql import functions as F
 PRIME = 2147483647
 
 
-def _big(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
-
-
-def u01(r, k, salt: int) -> Column:
-    """Uniform in [0, 1) from two integer keys and a salt.
+def u01_text(r: str | int, k: str | int, salt: int) -> str:
+    """Uniform in [0, 1) from two integer keys and a salt, as SQL text.
 
     Keys are reduced modulo the prime first: the result is unchanged and a key
     of any BIGINT size cannot overflow the products.
     """
-    r, k = F.pmod(_big(r), F.lit(PRIME)), F.pmod(_big(k), F.lit(PRIME))
-    x = (r * 48271 + k * 69621 + salt) % PRIME
-    x = (x * x + salt) % PRIME
-    x = (x * x + k * 7919) % PRIME
-    return x.cast("double") / F.lit(float(PRIME))
+    r, k = (f"pmod(cast({v} as bigint), {PRIME}L)" for v in (r, k))
+    x1 = f"(({r} * 48271L + {k} * 69621L + {salt}L) % {PRIME}L)"
+    x2 = f"(({x1} * {x1} + {salt}L) % {PRIME}L)"
+    x3 = f"(({x2} * {x2} + {k} * 7919L) % {PRIME}L)"
+    return f"(cast({x3} as double) / {float(PRIME)!r}D)"
+
+
+def u01(r: str | int, k: str | int, salt: int) -> Column:
+    return F.expr(u01_text(r, k, salt))
 
 
-def fold(r, k) -> Column:
+def fold(r: str, k: str) -> str:
     """Fold a second key (a draw number, say) into the first one."""
-    return _big(r) + _big(k) * 1000003
+    return f"(cast({r} as bigint) + cast({k} as bigint) * 1000003L)"
 
 
-def uniform(lo, hi, r, k, salt: int) -> Column:
-    lo = lo if isinstance(lo, Column) else F.lit(float(lo))
-    hi = hi if isinstance(hi, Column) else F.lit(float(hi))
+def uniform(lo, hi, r: str | int, k: str | int, salt: int) -> Column:
+    """Uniform between two numbers or Columns."""
     return lo + (hi - lo) * u01(r, k, salt)
 
 
-def normal(mean, sd, r, k, salt: int) -> Column:
+def normal(mean: float, sd: float, r: str | int, k: str | int, salt: int) -> Column:
     """Box-Muller on two uniforms; the first is kept away from zero."""
-    radius = F.sqrt(-2.0 * F.ln(F.greatest(u01(r, k, salt), F.lit(1.0 / PRIME))))
-    return mean + sd * radius * F.cos(2.0 * math.pi * u01(r, k, salt + 1))
+    first = f"greatest({u01_text(r, k, salt)}, {1.0 / PRIME!r}D)"
+    z = f"sqrt(-2.0D * ln({first})) * cos({2.0 * math.pi!r}D * {u01_text(r, k, salt + 1)})"
+    return mean + sd * F.expr(z)
 
 
-def bernoulli(p: Column, r, k, salt: int) -> Column:
+def bernoulli(p: Column, r: str | int, k: str | int, salt: int) -> Column:
     """1 with probability p, else 0; NULL when p is NULL."""
     return (u01(r, k, salt) < p).cast("int")

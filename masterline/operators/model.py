@@ -132,11 +132,8 @@ def constrain(params: DataFrame, model: str) -> DataFrame:
 def item_class_logodds(params: DataFrame, n_attr: int) -> DataFrame:
     """(item_id, class_id, log_odds): a class's log-odds on an item is the sum
     of the parameters whose attributes it holds.  One aggregation by item."""
-    sums = [
-        F.sum(F.when(F.lit(c).bitwiseAND(F.col("mask")) == F.col("mask"), F.col("value")).otherwise(0.0))
-        for c in range(2**n_attr)
-    ]
-    return params.groupBy("item_id").agg(F.array(*sums).alias("v")).select(
+    sums = ", ".join(f"sum(if({c} & mask = mask, value, 0D))" for c in range(2**n_attr))
+    return params.groupBy("item_id").agg(F.expr(f"array({sums}) AS v")).select(
         "item_id", F.posexplode("v").alias("class_id", "log_odds")
     )
 
@@ -151,13 +148,11 @@ def lambda_from_pi(pi: DataFrame, q: DataFrame, n_attr: int) -> DataFrame:
     """Inverse of the above: (item_id, mask, value) by a signed sum over the
     subsets of each mask, again one aggregation by item."""
     cells = pi.join(q, "item_id").filter(held_all(F.col("q_mask"), F.col("class_id")))
-    lg = logit(F.col("pi"))
-    c = F.col("class_id")
-    values = []
-    for s in range(2**n_attr):
-        sign = F.when(F.bit_count(F.lit(s).bitwiseXOR(c)) % 2 == 0, 1.0).otherwise(-1.0)
-        values.append(F.sum(F.when(F.lit(s).bitwiseAND(c) == c, sign * lg).otherwise(0.0)))
-    wide = cells.groupBy("item_id", "q_mask").agg(F.array(*values).alias("v"))
+    cells = cells.withColumn("lg", logit(F.col("pi")))
+    values = ", ".join(
+        f"sum(if({s} & class_id = class_id, if(bit_count({s} ^ class_id) % 2 = 0, lg, -lg), 0D))" for s in range(2**n_attr)
+    )
+    wide = cells.groupBy("item_id", "q_mask").agg(F.expr(f"array({values}) AS v"))
     long = wide.select("item_id", "q_mask", F.posexplode("v").alias("mask", "value"))
     return long.filter(held_all(F.col("q_mask"), F.col("mask"))).drop("q_mask")
 
@@ -180,5 +175,5 @@ def response_probs(people: DataFrame, params: DataFrame, n_attr: int) -> DataFra
 
 def score_responses(probs: DataFrame, salt: int, p: str = "prob") -> DataFrame:
     """Bernoulli scores: (resp_id, item_id, score)."""
-    score = bernoulli(F.col(p), F.col("resp_id"), F.col("item_id"), salt)
+    score = bernoulli(F.col(p), "resp_id", "item_id", salt)
     return probs.select("resp_id", "item_id", score.alias("score"))

@@ -7,14 +7,14 @@ items were answered (``a0, a1, ..``) and which were right (``x0, x1, ..``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = 60
-TOTALS = -1
 
 
 class Codec:
@@ -43,38 +43,45 @@ class Codec:
         """(item_id, score) rows -> one row of words per key; OR has map-side
         partials, so what is shuffled is one short row per key and map task."""
         placed = resp.filter(F.col("score").isNotNull()).join(F.broadcast(self._table(resp.sparkSession)), "item_id")
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__b"))
-        zero = F.lit(0).cast("bigint")
         aggs = []
         for w in range(self.n_words):
-            here = F.col("__w") == w
-            aggs.append(F.bit_or(F.when(here, one).otherwise(zero)).alias(f"a{w}"))
-            aggs.append(F.bit_or(F.when(here & (F.col("score") == 1), one).otherwise(zero)).alias(f"x{w}"))
+            aggs.append(F.expr(f"bit_or(if(__w = {w}, shiftleft(1L, __b), 0L)) AS a{w}"))
+            aggs.append(F.expr(f"bit_or(if(__w = {w} AND score = 1, shiftleft(1L, __b), 0L)) AS x{w}"))
         return placed.groupBy(*keys).agg(*aggs)
 
     def count(self, encoded: DataFrame) -> DataFrame:
         """Distinct patterns with the number of respondents ``n``."""
         return encoded.groupBy(*self.words).agg(F.count(F.lit(1)).alias("n"))
 
-    def right(self, i: int) -> Column:
-        """0/1: item number i (0-based) answered right."""
-        return F.shiftright(f"x{i // WORD}", i % WORD).bitwiseAND(1)
+    def right(self, i: int) -> str:
+        """0/1: item number i (0-based) answered right, as SQL text."""
+        return f"(shiftright(x{i // WORD}, {i % WORD}) & 1L)"
 
-    def answered(self, i: int) -> Column:
-        return F.shiftright(f"a{i // WORD}", i % WORD).bitwiseAND(1)
+    def answered(self, i: int) -> str:
+        return f"(shiftright(a{i // WORD}, {i % WORD}) & 1L)"
 
-    def decode(self, df: DataFrame, totals: bool = False) -> DataFrame:
-        """Back to one row per answered item, keeping every other column.
-
-        With ``totals`` each pattern also gets a row for item -1, score 0.
-        """
-        rows = [
-            F.struct(F.lit(item).alias("item_id"), self.answered(i).alias("__a"), self.right(i).cast("int").alias("score"))
+    def decode(self, df: DataFrame) -> DataFrame:
+        """Back to one row per answered item, keeping every other column."""
+        rows = ", ".join(
+            f"struct({item} AS item_id, {self.answered(i)} AS __a, cast({self.right(i)} AS int) AS score)"
             for i, item in enumerate(self.items)
-        ]
-        if totals:
-            rows.append(F.struct(F.lit(TOTALS).alias("item_id"), F.lit(1).cast("bigint").alias("__a"), F.lit(0).alias("score")))
-        return df.select("*", F.inline(F.array(*rows))).filter(F.col("__a") == 1).drop("__a")
+        )
+        return df.selectExpr("*", f"inline(array({rows}))").filter("__a = 1").drop("__a")
+
+    def unpacker(self) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
+        """Function from an Arrow batch of patterns to (answered, right) as 0/1
+        matrices, patterns by items.  It holds plain numbers only, so tasks can
+        run it on machines where this package is not installed."""
+        n_words, n_items, word = self.n_words, len(self.items), WORD
+
+        def unpack(batch):
+            out = []
+            for kind in ("a", "x"):
+                words = [batch.column(f"{kind}{w}").to_numpy() for w in range(n_words)]
+                out.append(np.column_stack([words[i // word] >> (i % word) & 1 for i in range(n_items)]).astype(float))
+            return out[0], out[1]
+
+        return unpack
 
     def total_score(self) -> Column:
-        return sum((F.bit_count(f"x{w}") for w in range(self.n_words)), F.lit(0))
+        return F.expr(" + ".join(f"bit_count(x{w})" for w in range(self.n_words)))

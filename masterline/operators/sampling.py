@@ -20,7 +20,7 @@ def sample_n(df: DataFrame, n: int, key: str, salt: int) -> DataFrame:
     which slices are wholly in and which one the n-th row falls into, and only
     that slice is ordered.  The rest is a filter, with no shuffle of the table.
     """
-    u = u01(F.col(key), F.lit(1), salt)
+    u = u01(key, 1, salt)
     rows = df.withColumns({"__u": u, "__slice": F.floor(u * BUCKETS).cast("int")})
     upto = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
     slices = (
@@ -41,7 +41,7 @@ def sample_n(df: DataFrame, n: int, key: str, salt: int) -> DataFrame:
 
 def shuffle_rows(df: DataFrame, key: str, salt: int, name: str = "position") -> DataFrame:
     """All rows with a random position 1..N."""
-    u = u01(F.col(key), F.lit(1), salt)
+    u = u01(key, 1, salt)
     return rowid(df.withColumn("__u", u), name, ["__u", key]).drop("__u")
 
 
@@ -50,7 +50,7 @@ def sample_repl(spark: SparkSession, df: DataFrame, n: int, order: list[str], sa
     numbered = rowid(df, "__row", order)
     total = numbered.agg(F.count(F.lit(1))).scalar()
     picks = spark.range(n).select(
-        F.col("id").alias(name), (F.floor(u01(F.col("id"), F.lit(2), salt) * total) + 1).alias("__row")
+        F.col("id").alias(name), (F.floor(u01("id", 2, salt) * total) + 1).alias("__row")
     )
     return picks.join(numbered, "__row").drop("__row")
 
@@ -67,7 +67,7 @@ def sample_weighted(
     total = df.filter(F.col(weight) > 0).agg(F.sum(weight)).scalar()
     ends = ends.withColumn("__start", F.col("__end") - F.col(weight))
     picks = spark.range(n).select(
-        F.col("id").alias(name), (u01(F.col("id"), F.lit(3), salt) * total).alias("__x")
+        F.col("id").alias(name), (u01("id", 3, salt) * total).alias("__x")
     )
     picks = picks.withColumn("__g", F.lit(0))
     owner = neighbours(picks, ends.withColumn("__g", F.lit(0)), ["__g"], "__x", "__start", key)
@@ -75,7 +75,7 @@ def sample_weighted(
     return left_join(owner, df, [key])
 
 
-def sample_one(df: DataFrame, keys: list[str], item: str, weight: str, r: Column, k: Column, salt: int) -> DataFrame:
+def sample_one(df: DataFrame, keys: list[str], item: str, weight: str, r: str, k: str, salt: int) -> DataFrame:
     """One row per group with chance proportional to its weight.
 
     Exponential race: the row with the smallest -ln(u)/weight wins, which is a

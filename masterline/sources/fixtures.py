@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masterline.functions.hashing import u01, uniform
+from masterline.functions.hashing import u01, u01_text, uniform
 from masterline.functions.scalar import bit
 from masterline.sources.grid import with_axis
 
@@ -31,9 +31,10 @@ def qmatrix(spark: SparkSession) -> DataFrame:
 
 def known_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(resp_id, class_id): one respondent per customer, bits by share."""
-    r = F.col("c_custkey")
-    bits = [(u01(r, F.lit(101 + k), 17) < s).cast("int") * (1 << k) for k, s in enumerate(SHARES)]
-    return read(spark, sf_dir, "customer").select(r.cast("bigint").alias("resp_id"), sum(bits, F.lit(0)).alias("class_id"))
+    bits = " + ".join(
+        f"if({u01_text('c_custkey', 101 + k, 17)} < {s}D, {1 << k}, 0)" for k, s in enumerate(SHARES)
+    )
+    return read(spark, sf_dir, "customer").selectExpr("cast(c_custkey as bigint) AS resp_id", f"{bits} AS class_id")
 
 
 def held_share(class_id: Column, q_mask: Column) -> Column:
@@ -41,9 +42,8 @@ def held_share(class_id: Column, q_mask: Column) -> Column:
 
 
 def _items() -> Column:
-    return F.array(
-        *[F.struct(F.lit(i).alias("item_id"), F.lit(m).alias("q_mask")) for i, m in enumerate(Q_MASKS, start=1)]
-    )
+    rows = ", ".join(f"struct({i} AS item_id, {m} AS q_mask)" for i, m in enumerate(Q_MASKS, start=1))
+    return F.expr(f"array({rows})")
 
 
 def true_probs(classes: DataFrame) -> DataFrame:
@@ -55,24 +55,19 @@ def true_probs(classes: DataFrame) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1: (resp_id, item_id, score), twelve answers per customer."""
-    score = (u01(F.col("resp_id"), F.col("item_id"), 29) < F.col("p")).cast("int")
+    score = (u01("resp_id", "item_id", 29) < F.col("p")).cast("int")
     return true_probs(known_classes(spark, sf_dir)).select("resp_id", "item_id", score.alias("score"))
 
 
 def observed_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2: score 1 when a customer has two or more orders of a priority."""
-    counts = [
-        F.count_if(F.col("o_orderpriority") == p).alias(f"n{i}") for i, p in enumerate(PRIORITIES, start=1)
-    ]
+    counts = [F.expr(f"count_if(o_orderpriority = '{p}') AS n{i}") for i, p in enumerate(PRIORITIES, start=1)]
     per = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(*counts)
     both = read(spark, sf_dir, "customer").select("c_custkey").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
-    items = F.array(
-        *[
-            F.struct(F.lit(i).alias("item_id"), (F.coalesce(F.col(f"n{i}"), F.lit(0)) >= 2).cast("int").alias("score"))
-            for i in range(1, len(PRIORITIES) + 1)
-        ]
+    items = ", ".join(
+        f"struct({i} AS item_id, if(coalesce(n{i}, 0) >= 2, 1, 0) AS score)" for i in range(1, len(PRIORITIES) + 1)
     )
-    return both.select(F.col("c_custkey").cast("bigint").alias("resp_id"), F.inline(items))
+    return both.selectExpr("cast(c_custkey as bigint) AS resp_id", f"inline(array({items}))")
 
 
 def start_pi(spark: SparkSession, n_classes: int = N_CLASSES) -> DataFrame:
@@ -89,20 +84,16 @@ def draws_pi(spark: SparkSession, n: int) -> DataFrame:
     """(draw, item_id, class_id, pi), a deterministic jitter of start_pi."""
     cells = spark.range(1, n + 1).select(F.col("id").cast("int").alias("draw"), F.inline(_items()))
     cells = with_axis(cells, N_CLASSES, "class_id")
-    jitter = u01(F.col("draw") * 1000 + F.col("class_id"), F.col("item_id"), 41) - 0.5
+    jitter = u01("draw * 1000L + class_id", "item_id", 41) - 0.5
     pi = 0.2 + 0.6 * held_share(F.col("class_id"), F.col("q_mask")) + 0.04 * jitter
     return cells.select("draw", "item_id", "class_id", pi.alias("pi"))
 
 
 def draws_nu(spark: SparkSession, n: int) -> DataFrame:
-    raw = 0.125 + 0.02 * (u01(F.col("draw"), F.col("class_id"), 43) - 0.5)
+    raw = lambda c: f"(0.125D + 0.02D * ({u01_text('draw', c, 43)} - 0.5D))"
     cells = with_axis(spark.range(1, n + 1).select(F.col("id").cast("int").alias("draw")), N_CLASSES, "class_id")
-    total = sum((raw_at(c) for c in range(N_CLASSES)), F.lit(0.0))
-    return cells.select("draw", "class_id", (raw / total).alias("nu"))
-
-
-def raw_at(c: int) -> Column:
-    return 0.125 + 0.02 * (u01(F.col("draw"), F.lit(c), 43) - 0.5)
+    total = " + ".join(raw(c) for c in range(N_CLASSES))
+    return cells.select("draw", "class_id", F.expr(f"{raw('class_id')} / ({total})").alias("nu"))
 
 
 BANK_ATTRS = ["att1", "att2", "att3", "att4"]
@@ -119,19 +110,17 @@ def bank_probs(params: DataFrame) -> DataFrame:
     """Success probabilities for the parameters of bank items: low for the
     intercept, middling for main effects, high for interactions."""
     size = F.when(F.col("parameter") == "(Intercept)", 0).otherwise(F.size(F.split("parameter", ":")))
-    u = lambda lo, hi: uniform(lo, hi, F.col("item_id"), F.length("parameter") * 7 + F.ascii(F.substring("parameter", -1, 1)), 53)
+    u = lambda lo, hi: uniform(lo, hi, "item_id", "length(parameter) * 7 + ascii(substring(parameter, -1, 1))", 53)
     return params.withColumn("prob", F.when(size == 0, u(0.05, 0.45)).when(size == 1, u(0.5, 0.7)).otherwise(u(0.7, 0.95)))
 
 
 def irt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, a, b): one curve per supplier."""
-    k = F.col("s_suppkey")
-    return read(spark, sf_dir, "supplier").select(
-        k.alias("item"), uniform(0.7, 3.0, k, F.lit(1), 61).alias("a"), uniform(-1.2, 1.2, k, F.lit(2), 61).alias("b")
-    )
+    a, b = uniform(0.7, 3.0, "s_suppkey", 1, 61), uniform(-1.2, 1.2, "s_suppkey", 2, 61)
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), a.alias("a"), b.alias("b"))
 
 
 def test_curves(spark: SparkSession) -> DataFrame:
     """(item_id, a, b) for the twelve-item form."""
-    k = F.col("item_id")
-    return qmatrix(spark).select(k, uniform(0.7, 2.0, k, F.lit(1), 67).alias("a"), uniform(-1.5, 1.0, k, F.lit(2), 67).alias("b"))
+    a, b = uniform(0.7, 2.0, "item_id", 1, 67), uniform(-1.5, 1.0, "item_id", 2, 67)
+    return qmatrix(spark).select("item_id", a.alias("a"), b.alias("b"))

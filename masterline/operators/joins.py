@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from masterline.plans.lineage import BROADCAST_ROWS, range_parts
+from masterline.plans.lineage import BROADCAST_ROWS, is_small, range_parts
 
 On = list  # of "name" or ("left name", "right name")
 
@@ -69,6 +69,14 @@ def blocked_join(left: DataFrame, right: DataFrame, on: list[str], blocks: int =
     return wide.join(right.withColumn("__block", deal), [*on, "__block"]).drop("__block")
 
 
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of a large table with parameters on few distinct keys:
+    broadcast when counted small, otherwise dealt into blocks."""
+    if is_small(table):
+        return left.join(F.broadcast(table), on)
+    return blocked_join(left, table, on)
+
+
 def expand_grid(left: DataFrame, right: DataFrame, blocks: int = 32) -> DataFrame:
     """Every left row with every right row; the product is the result asked for."""
     return blocked_join(left, right, [], blocks)

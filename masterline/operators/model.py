@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from masterline.functions.hashing import bernoulli
 from masterline.functions.scalar import bit, held_all, inv_logit, logit
-from masterline.operators.joins import blocked_join
+from masterline.operators.joins import lookup_join
 from masterline.operators.verbs import INTERCEPT, dcm_design
-from masterline.plans.lineage import is_small
 from masterline.sources.grid import with_axis
 
 MODELS = ("lcdm", "dina", "dino", "crum")
@@ -166,10 +165,7 @@ def response_probs(people: DataFrame, params: DataFrame, n_attr: int) -> DataFra
     cells = item_class_logodds(params, n_attr)
     cells = cells.withColumn("prob", inv_logit(F.col("log_odds")))
     people = people.select("resp_id", "class_id")
-    if is_small(cells):
-        joined = people.join(F.broadcast(cells), "class_id")
-    else:
-        joined = blocked_join(people, cells, ["class_id"])
+    joined = lookup_join(people, cells, ["class_id"])
     return joined.select("resp_id", "item_id", "log_odds", "prob")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masterline.functions.scalar import clip_prob, mastered
-from masterline.operators.joins import left_join, nearest_join
+from masterline.operators.joins import left_join, lookup_join, nearest_join
 from masterline.operators.sampling import assign_labels
 from masterline.operators.verbs import across
 from masterline.plans.lineage import small
@@ -27,23 +27,24 @@ def node_table(pi: DataFrame, node: str = "class_id", extra: tuple[str, ...] = (
     )
 
 
-def node_loglik(resp: DataFrame, table: DataFrame, keys: list[str], n_nodes: int) -> DataFrame:
-    """(keys.., ll): log-likelihood of each key's answers at every node.
+def node_blocks(resp: DataFrame, table: DataFrame, keys: list[str], n_nodes: int) -> DataFrame:
+    """(keys.., block, ll): log-likelihood of each key's answers at the nodes.
 
-    One aggregation with a column per node, so answers are never multiplied by
-    the number of nodes.  More than 64 nodes go by blocks of 64, put together
-    per key at the end.
+    One aggregation with a column per node, so answers are not multiplied by
+    the number of nodes, only by the number of 64-node blocks.
     """
-    width = min(n_nodes, BLOCK)
-    answers = resp.filter(F.col("score").isNotNull()).join(table, "item_id")
-    sums = [f"sum(if(score = 1, get(lp, {j}), get(lq, {j})))" for j in range(width)]
-    ll = F.expr(f"array({', '.join(sums)})")
+    answers = lookup_join(resp.filter("score IS NOT NULL"), table, ["item_id"])
+    sums = (f"sum(if(score = 1, get(lp, {j}), get(lq, {j})))" for j in range(min(n_nodes, BLOCK)))
+    return answers.groupBy(*keys, "block").agg(F.expr(f"array_compact(array({', '.join(sums)})) AS ll"))
+
+
+def node_loglik(resp: DataFrame, table: DataFrame, keys: list[str], n_nodes: int) -> DataFrame:
+    """(keys.., ll) with all nodes in one array; blocks are put together per key."""
+    blocks = node_blocks(resp, table, keys, n_nodes)
     if n_nodes <= BLOCK:
-        return answers.groupBy(*keys).agg(ll.alias("ll"))
-    blocks = answers.groupBy(*keys, "block").agg(F.array_compact(ll).alias("ll"))
-    blocks = blocks.select(*keys, F.struct("block", "ll").alias("part"))
-    parts = F.sort_array(F.collect_list("part"))
-    return blocks.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["ll"])).alias("ll"))
+        return blocks.drop("block")
+    parts = F.sort_array(F.collect_list(F.struct("block", "ll")))
+    return blocks.groupBy(*keys).agg(F.flatten(parts["ll"]).alias("ll"))
 
 
 def log_weights(nu: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -73,7 +74,7 @@ def attribute_probs(w: str, n_attr: int) -> Column:
 
 def class_loglik(resp: DataFrame, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
     """(resp_id, ll array by class, w, loglik) in one shuffle by respondent."""
-    ll = node_loglik(resp, small(node_table(pi)), ["resp_id"], 2**n_attr)
+    ll = node_loglik(resp, node_table(pi), ["resp_id"], 2**n_attr)
     return with_posterior(ll, log_weights(nu).scalar())
 
 

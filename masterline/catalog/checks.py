@@ -131,13 +131,12 @@ _F2 = (
 
 
 def _pairs(table: str, by: str = "") -> str:
-    keys = f"{by}, " if by else ""
     same = f" AND a.{by} = b.{by}" if by else ""
     lead = f"a.{by}, " if by else ""
     return f"""SELECT {lead}a.item_id AS item_i, b.item_id AS item_j, CAST(sum(a.score * b.score) AS BIGINT) AS n11,
   CAST(sum(a.score * (1 - b.score)) AS BIGINT) AS n10, CAST(sum((1 - a.score) * b.score) AS BIGINT) AS n01,
   CAST(sum((1 - a.score) * (1 - b.score)) AS BIGINT) AS n00
-  FROM {table} a JOIN {table} b ON a.resp_id = b.resp_id{same} AND a.item_id < b.item_id GROUP BY {keys}item_i, item_j"""
+  FROM {table} a JOIN {table} b ON a.resp_id = b.resp_id{same} AND a.item_id < b.item_id GROUP BY {lead}item_i, item_j"""
 
 
 @query(
@@ -197,8 +196,8 @@ def m2(spark, sf):
 _DLL = f"WITH {sql.RESP},\n{sql.draws(DRAWS)},\n{sql.DRAW_POST}"
 
 
-def pointwise(spark, sf) -> DataFrame:
-    return information.pointwise_loglik(f1_patterns(spark, sf), form(spark), fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS))
+def pointwise(spark, sf, n: int = DRAWS) -> DataFrame:
+    return information.pointwise_loglik(f1_patterns(spark, sf), form(spark), fx.draws_pi(spark, n), fx.draws_nu(spark, n))
 
 
 @query(f"{_DLL} SELECT resp_id, draw, round(ll, 6) AS ll FROM dmarg")
@@ -224,7 +223,7 @@ def waic(spark, sf):
 
 @query(None)
 def psis_loo(spark, sf):
-    return information.psis_loo(pointwise(spark, sf))
+    return information.psis_loo(pointwise(spark, sf, 200))
 
 
 def second_pi(spark) -> DataFrame:
@@ -240,8 +239,8 @@ def second_pi(spark) -> DataFrame:
 rival AS (SELECT draw, item_id, class_id, 0.2 + 0.75 * (pi - 0.1) AS pi FROM draw_pi),
 {sql.DRAW_POST.replace('draw_pi', 'rival').replace('dll', 'ell').replace('dlw', 'elw').replace('dtop', 'etop').replace('dmarg', 'emarg')},
 {_WAIC.replace('dmarg', 'emarg').replace('top AS (', 'top2 AS (').replace('JOIN top', 'JOIN top2').replace('pw AS', 'pw2 AS')},
-both AS (SELECT resp_id, pw.elpd AS e0, pw2.elpd AS e1 FROM pw JOIN pw2 USING (resp_id)),
-s AS (SELECT sum(e0) AS s0, sum(e1) AS s1, sqrt(count(*) * var_samp(e1 - e0)) AS se FROM both)
+joint AS (SELECT resp_id, pw.elpd AS e0, pw2.elpd AS e1 FROM pw JOIN pw2 USING (resp_id)),
+s AS (SELECT sum(e0) AS s0, sum(e1) AS s1, sqrt(count(*) * var_samp(e1 - e0)) AS se FROM joint)
 SELECT 'first' AS model, round(s0, 4) AS elpd, round(least(s0 - s1, 0), 4) AS elpd_diff, CASE WHEN s0 >= s1 THEN 0 ELSE round(se, 4) END AS se_diff,
   s0 < s1 AND abs(s0 - s1) > 2.5 * se AS first_preferred FROM s
 UNION ALL SELECT 'rival', round(s1, 4), round(least(s1 - s0, 0), 4), CASE WHEN s1 > s0 THEN 0 ELSE round(se, 4) END, s1 <= s0 AND abs(s1 - s0) > 2.5 * se FROM s"""

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from masterline.catalog import fragments as sql
 from masterline.catalog.verbs import r6
-from masterline.functions.scalar import inv_logit
+from masterline.functions.hashing import bernoulli
 from masterline.operators import irt, model, sampling, scoring, verbs
-from masterline.operators.aggregates import sum_skip
 from masterline.operators.joins import left_join, lookup_join
 from masterline.plans import draws as pd_draws
 from masterline.plans import em
@@ -167,8 +166,7 @@ def response_probs(spark, sf):
     form = fx.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("item_id"))
     masks = bank_masks(spark, sf).join(form, "item_id", "left_semi")
     probs = model.response_probs(fx.known_classes(spark, sf), masks, 4)
-    scores = model.score_responses(probs, 71).select("score")  # noqa: F841 - same column, shown below
-    scored = probs.withColumn("score", model.bernoulli(F.col("prob"), "resp_id", "item_id", 71))
+    scored = probs.withColumn("score", bernoulli(F.col("prob"), "resp_id", "item_id", 71))
     return scored.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("log_odds"), 6).alias("log_odds"), F.round(F.avg("prob"), 6).alias("prob"), F.sum("score").alias("n_right")
     )
@@ -322,7 +320,7 @@ def long_form_replicates(spark, sf):
     long = scoring.with_posterior(ll, F.col("log_nu")).select("draw", "resp_id", F.posexplode("w").alias("class_id", "w"))
     held = sampling.sample_one(long, ["draw", "resp_id"], "class_id", "w", "resp_id + draw * 1000003", "class_id", 83)
     rows = lookup_join(held, pi, ["draw", "class_id"])
-    score = model.bernoulli(F.col("pi"), "resp_id + draw * 1000003", "item_id", 84)
+    score = bernoulli(F.col("pi"), "resp_id + draw * 1000003", "item_id", 84)
     totals = rows.withColumn("score", score).groupBy("draw", "resp_id").agg(F.sum("score").cast("int").alias("score"))
     return totals.groupBy("draw", "score").agg(F.count(F.lit(1)).alias("n"))
 
@@ -389,7 +387,7 @@ _IRT = f"""SELECT s_suppkey AS item, 0.7 + (3.0 - 0.7) * {sql.u('s_suppkey', 1,
 
 @query(
     f"""WITH it AS ({_IRT})
-SELECT item, CAST(range AS INTEGER) AS node, round(-3 + range * 0.01, 6) AS theta, round(a * ((-3 + range * 0.01) - b), 6) AS log_odds,
+SELECT item, CAST(range AS INTEGER) AS node, round(CAST(-3 + range * 0.01 AS DOUBLE), 6) AS theta, round(a * ((-3 + range * 0.01) - b), 6) AS log_odds,
   round(1 / (1 + exp(-(a * ((-3 + range * 0.01) - b)))), 6) AS prob_1, round(1 - 1 / (1 + exp(-(a * ((-3 + range * 0.01) - b)))), 6) AS prob_0
 FROM it, range(601)"""
 )
@@ -406,7 +404,7 @@ _CURVES = f"curves AS (SELECT item_id, 0.7 + (2.0 - 0.7) * {sql.u('item_id', 1,
 ll AS (SELECT resp_id, range AS node, sum(CASE WHEN score = 1 THEN ln(1 / (1 + exp(-(a * ((-3 + range * 0.01) - b)))))
   ELSE ln(1 - 1 / (1 + exp(-(a * ((-3 + range * 0.01) - b))))) END) AS ll FROM resp JOIN curves USING (item_id), range(601) GROUP BY 1, 2),
 pk AS (SELECT resp_id, node, ll, row_number() OVER (PARTITION BY resp_id ORDER BY ll DESC, node) AS rn FROM ll)
-SELECT resp_id, round(-3 + node * 0.01, 6) AS theta, round(exp(ll), 9) AS likelihood FROM pk WHERE rn = 1"""
+SELECT resp_id, round(CAST(-3 + node * 0.01 AS DOUBLE), 6) AS theta, round(exp(ll), 9) AS likelihood FROM pk WHERE rn = 1"""
 )
 def theta_grid_score(spark, sf):
     best = irt.theta_grid_score(fx.responses(spark, sf), fx.test_curves(spark), ["resp_id"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from masterline.functions.scalar import CLIP
 from masterline.operators.patterns import Codec
-from masterline.plans.lineage import cut, spread
+from masterline.plans.lineage import cut, n_partitions, spread
 
 
 class DcmFit(NamedTuple):
@@ -66,6 +66,20 @@ def batch_posterior(
 
 
 COUNTS = "cell int, total double, right double"
+DIRECT_CELLS = 1_000_000
+
+
+def add_up(parts: DataFrame, columns: list[str], n_cells: int) -> list[np.ndarray]:
+    """Sum the tasks' (cell, value..) vectors of parameter size.
+
+    Few tasks times few cells: fetched as they are and added here, which saves
+    a stage per iteration.  Beyond a million numbers Spark adds them first.
+    """
+    if n_partitions(parts.sparkSession) * n_cells > DIRECT_CELLS:
+        parts = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in columns])
+    got = parts.toArrow()
+    cells = got["cell"].to_numpy()
+    return [np.bincount(cells, weights=got[c].to_numpy(), minlength=n_cells) for c in columns]
 
 
 def expected_counts(
@@ -89,10 +103,8 @@ def expected_counts(
         cells = pa.array(np.arange(total.size), pa.int32())
         yield pa.RecordBatch.from_arrays([cells, pa.array(total.ravel()), pa.array(right.ravel())], ["cell", "total", "right"])
 
-    sums = patterns.mapInArrow(task, COUNTS).groupBy("cell").agg(F.sum("total").alias("t"), F.sum("right").alias("r"))
-    got = sums.toPandas().sort_values("cell")
-    total = got["t"].to_numpy().reshape(n_items + 2, n_nodes)
-    right = got["r"].to_numpy().reshape(n_items + 2, n_nodes)
+    sums = add_up(patterns.mapInArrow(task, COUNTS), ["total", "right"], (n_items + 2) * n_nodes)
+    total, right = (v.reshape(n_items + 2, n_nodes) for v in sums)
     return total[:n_items], right[:n_items], total[n_items], float(total[n_items + 1, 0])
 
 

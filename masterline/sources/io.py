@@ -37,8 +37,8 @@ def read_qmatrix(spark: SparkSession, path: str, order: list[str], attrs: list[s
 def number_items(q: DataFrame, order: list[str], attrs: list[str] | None = None) -> DataFrame:
     attrs = attrs or [c for c in q.columns if c not in order]
     mask = sum((F.col(a) * (1 << k) for k, a in enumerate(attrs)), F.lit(0))
-    numbered = rowid(q, "item_id", order)
-    return numbered.select(F.col("item_id").cast("int"), *attrs, mask.cast("int").alias("q_mask"))
+    numbered = rowid(q, "__item", order)
+    return numbered.select(F.col("__item").cast("int").alias("item_id"), *attrs, mask.cast("int").alias("q_mask"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -359,13 +359,13 @@ def _nearest(spark, sf, **kw):
 
 @query(_NEAREST)
 def nearest_match(spark, sf):
-    return _nearest(spark, sf, l_rows=0)
+    return _nearest(spark, sf, few=0)
 
 
 @query(_NEAREST)
 def nearest_match_few(spark, sf):
-    """The same join with the left side treated as few targets."""
-    return _nearest(spark, sf)
+    """The same join by gaps, with the left side treated as few targets."""
+    return _nearest(spark, sf, few=1 << 30)
 
 
 # --- aggregation -----------------------------------------------------------------

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from masterline.plans.lineage import BROADCAST_ROWS, is_small, range_parts
+from masterline.plans.lineage import is_small, range_parts
 
 On = list  # of "name" or ("left name", "right name")
 
@@ -61,25 +61,31 @@ def full_join_all(dfs: list[DataFrame], on: list[str]) -> DataFrame:
     return stacked.groupBy(*on).agg(*[F.max(f"`{c}`").alias(c) for c in values])
 
 
-def blocked_join(left: DataFrame, right: DataFrame, on: list[str], blocks: int = 32) -> DataFrame:
-    """Inner join on few distinct keys: right rows are dealt into blocks and
-    each left row visits every block, so one key makes ``blocks`` join keys."""
-    deal = F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int")
-    wide = left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return wide.join(right.withColumn("__block", deal), [*on, "__block"]).drop("__block")
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 32) -> DataFrame:
+    """Inner join where few keys hold most of the left rows: the smaller right
+    side is repeated once per salt and each left row meets one copy of it, so
+    one key is worked on by up to ``salts`` tasks.
+
+    The salt is a hash of the row, not a random number: a task run again after
+    a lost executor sends its rows to the same places.
+    """
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", salt).join(copies, [*on, "__salt"]).drop("__salt")
 
 
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Inner join of a large table with parameters on few distinct keys:
-    broadcast when counted small, otherwise dealt into blocks."""
+    broadcast when counted small, otherwise salted."""
     if is_small(table):
         return left.join(F.broadcast(table), on)
-    return blocked_join(left, table, on)
+    return salted_join(left, table, on)
 
 
-def expand_grid(left: DataFrame, right: DataFrame, blocks: int = 32) -> DataFrame:
-    """Every left row with every right row; the product is the result asked for."""
-    return blocked_join(left, right, [], blocks)
+def expand_grid(left: DataFrame, right: DataFrame, salts: int = 32) -> DataFrame:
+    """Every left row with every row of the (smaller) right table; the product
+    is the result asked for, and the salts are what it is distributed by."""
+    return salted_join(left, right, [], salts)
 
 
 def complete(df: DataFrame, cols: list[str], fill: dict[str, object]) -> DataFrame:
@@ -134,46 +140,58 @@ def neighbours(
     return found.select("__row.*", "before", "after")
 
 
-def _distance(value: str, target: str, ident: str) -> Column:
-    """Comparable record: distance first, then id."""
-    return F.struct(
-        F.abs(F.col(value) - F.col(target)).alias("d"), F.col(ident).alias("id"), F.col(value).alias("value")
+def _closest(l_val: str) -> Column:
+    """The nearer of ``before`` and ``after`` (value, id), then the smaller id."""
+    def scored(side: str) -> Column:
+        record = F.struct(
+            F.abs(F.col(f"{side}.value") - F.col(l_val)).alias("d"),
+            F.col(f"{side}.id").alias("id"),
+            F.col(f"{side}.value").alias("value"),
+        )
+        return F.when(F.col(f"{side}.id").isNotNull() & F.col(l_val).isNotNull(), record)
+
+    return F.array_min(F.array_compact(F.array(scored("before"), scored("after"))))
+
+
+def _few_neighbours(left: DataFrame, right: DataFrame, on: list[str], l_val: str, r_val: str, r_id: str) -> DataFrame:
+    """As :func:`neighbours` for a handful of left values.
+
+    The left values of a key cut the line into gaps.  A right row only needs to
+    know its gap, and a gap only its two end records, so the right side is
+    read once, not sorted, and shuffles as a few rows per task.
+    """
+    cuts = left.groupBy(*on).agg(F.sort_array(F.collect_set(F.col(l_val).cast("double"))).alias("__cuts"))
+    value = F.col(r_val).cast("double")
+    rows, pairs = _prepare(right.filter(value.isNotNull()).select(*on, value.alias("__v"), F.col(r_id).alias("__id")), on)
+    keyed = rows.join(F.broadcast(cuts), _match(pairs)).drop(*[r for _, r in pairs])
+    gap = F.expr("size(filter(__cuts, __c -> __c <= __v))")
+    ends = keyed.groupBy(*on, gap.alias("__gap")).agg(
+        F.expr("min(struct(__v AS value, __id AS id)) AS __lo"), F.expr("min(struct(-__v AS neg, __id AS id)) AS __hi")
+    )
+    at = F.expr(f"size(filter(__cuts, __c -> __c <= cast({l_val} as double))) AS __at")
+    targets = left_join(left.select(*on, l_val).distinct(), cuts, on).select(*on, l_val, at)
+    tails, pairs = _prepare(ends, on)
+    # At most (few values) x (few gaps) rows.
+    met = targets.join(F.broadcast(tails), _match(pairs), "left").groupBy(*on, l_val).agg(
+        F.expr("min(if(__gap < __at, __hi, NULL)) AS hi"), F.expr("min(if(__gap >= __at, __lo, NULL)) AS after")
     )
+    before = F.expr("if(hi IS NULL, NULL, struct(-hi.neg AS value, hi.id AS id)) AS before")
+    return left_join(left, met.select(*on, l_val, before, "after"), [*on, l_val])
+
+
+FEW = 256
 
 
 def nearest_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    l_val: str,
-    r_val: str,
-    r_id: str,
-    l_rows: int = BROADCAST_ROWS // 100,
+    left: DataFrame, right: DataFrame, on: list[str], l_val: str, r_val: str, r_id: str, few: int = FEW
 ) -> DataFrame:
     """Per left row, the right row with equal keys and the smallest distance
     |r_val - l_val|; ties go to the smallest ``r_id``; no candidate gives NULLs.
 
-    Few left rows: they are broadcast and the right side is read once into a
-    partial minimum.  Many: both sides are sorted together and only the two
-    neighbours of each value are compared.
+    Up to ``few`` left rows (counted), the right side is scanned once;
+    beyond, both sides are sorted together.  Either way only the neighbours of
+    a value are compared with it, never all pairs of a key.
     """
-    if left.limit(l_rows + 1).count() <= l_rows:
-        targets = left.withColumn("__row", F.struct(*left.columns))
-        right_named, pairs = _prepare(right.select(*on, r_val, r_id), on)
-        best = (
-            right_named.join(F.broadcast(targets.select(*on, "__row")), _match(pairs))
-            .filter(F.col(r_val).isNotNull() & F.col(f"__row.{l_val}").isNotNull())
-            .groupBy("__row")
-            .agg(F.min(_distance(r_val, f"__row.{l_val}", r_id)).alias("__best"))
-        )
-        out = left_join(targets, best, ["__row"])
-        return out.select(*left.columns, F.col("__best.id").alias(r_id), F.col("__best.value").alias(r_val))
-    near = neighbours(left, right, on, l_val, r_val, r_id)
-    scored = [
-        F.when(F.col(f"{s}.id").isNotNull() & F.col(l_val).isNotNull(), _distance(f"{s}.value", l_val, f"{s}.id"))
-        for s in ("before", "after")
-    ]
-    best = F.array_min(F.array_compact(F.array(*scored)))
-    return near.withColumn("__best", best).select(
-        *left.columns, F.col("__best.id").alias(r_id), F.col("__best.value").alias(r_val)
-    )
+    find = _few_neighbours if is_small(left, few) else neighbours
+    near = find(left, right, on, l_val, r_val, r_id).withColumn("__best", _closest(l_val))
+    return near.select(*left.columns, F.col("__best.id").alias(r_id), F.col("__best.value").alias(r_val))

@@ -35,7 +35,12 @@ def node_blocks(resp: DataFrame, table: DataFrame, keys: list[str], n_nodes: int
     """
     answers = lookup_join(resp.filter("score IS NOT NULL"), table, ["item_id"])
     sums = (f"sum(if(score = 1, get(lp, {j}), get(lq, {j})))" for j in range(min(n_nodes, BLOCK)))
-    return answers.groupBy(*keys, "block").agg(F.expr(f"array_compact(array({', '.join(sums)})) AS ll"))
+    ll = F.expr(f"array_compact(array({', '.join(sums)})) AS ll")
+    if n_nodes <= BLOCK:
+        # Grouped by the keys alone: the result stays partitioned by them, and
+        # a later join on them needs no shuffle of this side.
+        return answers.groupBy(*keys).agg(ll).withColumn("block", F.lit(0))
+    return answers.groupBy(*keys, "block").agg(ll)
 
 
 def node_loglik(resp: DataFrame, table: DataFrame, keys: list[str], n_nodes: int) -> DataFrame:

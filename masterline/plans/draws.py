@@ -39,20 +39,18 @@ def draw_blocks(pi: DataFrame, nu: DataFrame, items: list[int], max_cells: int =
     Draws are parameters: their size is draws x items x classes and does not
     grow with the respondents.  Each block is fetched by its own filter.
     """
-    ids = sorted(r.draw for r in nu.select("draw").distinct().collect())
-    n_classes = nu.agg(F.max("class_id")).first()[0] + 1
+    shares = nu.select("draw", "class_id", "nu").toPandas().sort_values(["draw", "class_id"])
+    ids = np.unique(shares["draw"].to_numpy())
+    shares = shares["nu"].to_numpy().reshape(len(ids), -1)
+    n_classes = shares.shape[1]
     step = max(1, max_cells // (len(items) * n_classes))
     blocks = []
     for at in range(0, len(ids), step):
         part = ids[at : at + step]
-        wanted = F.col("draw").between(part[0], part[-1])
-        p = pi.filter(wanted & F.col("item_id").isin(items)).select("draw", "item_id", "class_id", "pi").toPandas()
-        v = nu.filter(wanted).select("draw", "class_id", "nu").toPandas()
+        wanted = F.col("draw").between(int(part[0]), int(part[-1])) & F.col("item_id").isin(items)
+        p = pi.filter(wanted).select("draw", "item_id", "class_id", "pi").toPandas()
         p = p.sort_values(["draw", "item_id", "class_id"])["pi"].to_numpy()
-        v = v.sort_values(["draw", "class_id"])["nu"].to_numpy()
-        blocks.append(
-            DrawBlock(np.array(part), p.reshape(len(part), len(items), n_classes), v.reshape(len(part), n_classes))
-        )
+        blocks.append(DrawBlock(part, p.reshape(len(part), len(items), n_classes), shares[at : at + step]))
     return blocks
 
 

@@ -356,6 +356,49 @@ def em_one_step(spark, sf):
     return both.select("item_id", "class_id", r6("pi"), r6("nu"), F.lit(round(fit.loglik, 4)).alias("loglik"))
 
 
+_GROUP = {"lcdm": "class_id & q_mask", "dina": "CAST(class_id & q_mask = q_mask AS INTEGER)", "dino": "CAST(class_id & q_mask <> 0 AS INTEGER)"}
+
+
+def _em_steps_sql(name: str, steps: int = 3) -> str:
+    """EM written out: one block of common tables per iteration."""
+    g = _GROUP[name]
+    start = "0.2 + 0.6 * bit_count(class_id & q_mask) / bit_count(q_mask)" if name == "lcdm" else f"0.2 + 0.6 * {g}"
+    parts = [
+        sql.RESP,
+        sql.CLASSES,
+        f"pi0 AS (SELECT item_id, class_id, {g} AS g, {start} AS pi FROM items, classes)",
+        "nu0 AS (SELECT class_id, 0.125 AS nu FROM classes)",
+    ]
+    for k in range(steps):
+        parts.append(
+            f"""lw{k} AS (SELECT resp_id, class_id, ln(max(nu)) + sum(CASE WHEN score = 1 THEN ln(pi) ELSE ln(1 - pi) END) AS lw
+  FROM resp JOIN pi{k} USING (item_id) JOIN nu{k} USING (class_id) GROUP BY 1, 2),
+mg{k} AS (SELECT resp_id, max(lw) + ln(sum(exp(lw - (SELECT max(lw) FROM lw{k})))) + (SELECT max(lw) FROM lw{k}) - max(lw) AS m FROM lw{k} GROUP BY 1),
+w{k} AS (SELECT resp_id, class_id, exp(lw - m) AS w FROM lw{k} JOIN mg{k} USING (resp_id)),
+up{k} AS (SELECT item_id, g, sum(w * score) / sum(w) AS pi FROM resp JOIN w{k} USING (resp_id) JOIN pi{k} USING (item_id, class_id) GROUP BY 1, 2),
+pi{k + 1} AS (SELECT item_id, class_id, g, u.pi FROM pi{k} p JOIN up{k} u USING (item_id, g)),
+nu{k + 1} AS (SELECT class_id, avg(w) AS nu FROM w{k} GROUP BY 1)"""
+        )
+    return (
+        f"WITH {', '.join(parts)} SELECT item_id, class_id, round(pi, 6) AS pi, round(nu, 6) AS nu, "
+        f"round((SELECT sum(m) FROM mg{steps - 1}), 4) AS loglik FROM pi{steps} JOIN nu{steps} USING (class_id)"
+    )
+
+
+def _em_steps_query(name: str):
+    def run(spark, sf):
+        fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, name, max_iter=3)
+        both = fit.pi.join(fit.nu, "class_id")
+        return both.select("item_id", "class_id", r6("pi"), r6("nu"), F.lit(round(fit.loglik, 4)).alias("loglik"))
+
+    run.__name__ = f"em_three_steps_{name}"
+    query(_em_steps_sql(name))(run)
+
+
+for _name in _GROUP:
+    _em_steps_query(_name)
+
+
 def _em_query(name: str):
     def run(spark, sf):
         fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, name)

@@ -23,7 +23,7 @@ from masterline.operators.patterns import Codec
 from masterline.operators.scoring import first_class, log_weights, node_loglik, node_table, with_posterior
 from masterline.operators.verbs import union_all
 from masterline.plans.draws import DrawBlock, draw_blocks
-from masterline.plans.lineage import spread
+from masterline.plans.lineage import cut, spread
 
 
 def encode_people(resp: DataFrame, codec: Codec) -> DataFrame:
@@ -61,7 +61,11 @@ def _replicator(codec: Codec, block: DrawBlock, salt: int) -> Callable:
 
 
 def _summed(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, salt: int, shape: Callable, add: Callable) -> DataFrame:
-    """Run ``add(sums, class, answers)`` over all replicates: (draw, cell, v)."""
+    """Run ``add(sums, class, answers)`` over all replicates: (draw, cell, v).
+
+    The result is of parameter size and several statistics read it, so it is
+    stored: the replicates are drawn once.
+    """
     out = []
     for block in draw_blocks(pi, nu, codec.items):
         replicate = _replicator(codec, block, salt)
@@ -78,7 +82,7 @@ def _summed(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, salt:
 
         parts = people.mapInArrow(task, "draw int, cell int, v bigint")
         out.append(parts.groupBy("draw", "cell").agg(F.sum("v").alias("v")))
-    return union_all(out)
+    return cut(union_all(out))
 
 
 def ppmc_raw_scores(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, salt: int) -> DataFrame:

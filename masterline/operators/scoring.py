@@ -11,7 +11,7 @@ from masterline.functions.scalar import clip_prob, mastered
 from masterline.operators.joins import left_join, lookup_join, nearest_join
 from masterline.operators.sampling import assign_labels
 from masterline.operators.verbs import across
-from masterline.plans.lineage import small
+from masterline.plans.lineage import cut, small
 
 BLOCK = 64
 
@@ -132,8 +132,9 @@ def classify(post: DataFrame, attrs: list[str], threshold: float = 0.5, inclusiv
 
 def select_exemplars(targets: DataFrame, people: DataFrame) -> DataFrame:
     """Per target (profile and theta), the respondent of that profile whose
-    theta is nearest: adds ``resp_id`` and ``theta``, NULL when there is none."""
-    return nearest_join(targets, people, ["class_id"], "target_theta", "theta", "resp_id")
+    theta is nearest: adds ``resp_id`` and ``theta``, NULL when there is none.
+    Stored, as relabelling and the result table both start from it."""
+    return cut(nearest_join(targets, people, ["class_id"], "target_theta", "theta", "resp_id"))
 
 
 def relabel(people: DataFrame, exemplars: DataFrame, labels: DataFrame, salt: int) -> DataFrame:

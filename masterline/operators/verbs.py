@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from masterline.operators.aggregates import add_count
+
 
 def mutate(df: DataFrame, **exprs: Column) -> DataFrame:
     """Add columns one after another, so a later one may use an earlier one."""
@@ -94,10 +96,16 @@ def to_wide(df: DataFrame, ids: list[str], name: str, value: str, names: list) -
     return df.groupBy(*ids).agg(*cells)
 
 
-def nest(df: DataFrame, keys: list[str], cols: list[str], name: str = "data") -> DataFrame:
-    """One row per key with its records in an array; meant for keys whose
-    record count is bounded (items of a test, candidates of a profile cell)."""
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+def nest(df: DataFrame, keys: list[str], cols: list[str], name: str = "data", limit: int = 100_000) -> DataFrame:
+    """One row per key with its records in an array.
+
+    A key with more than ``limit`` records gets several rows, its records dealt
+    out by hash: nothing is dropped, ``unnest`` gives the same table back, and
+    no task holds a group of any size.
+    """
+    sized = add_count(df.select(*keys, *cols), *keys, name="__n")
+    deal = F.pmod(F.xxhash64(*cols), F.ceil(F.col("__n") / limit)).alias("__part")
+    return sized.groupBy(*keys, deal).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name)).drop("__part")
 
 
 def unnest(df: DataFrame, col: str) -> DataFrame:

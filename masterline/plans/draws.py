@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from masterline.operators.patterns import Codec
 from masterline.operators.sampling import merge_chains
-from masterline.plans.em import DcmFit, add_up, batch_posterior, class_groups, parameters_on_driver
+from masterline.plans.em import DcmFit, add_up, batch_posterior, class_groups, n_tasks, parameters_on_driver
 
 
 class Draws(NamedTuple):
@@ -96,7 +96,7 @@ def score_information(fit: DcmFit, patterns: DataFrame) -> ScoreInfo:
         cells = np.r_[first, second.ravel()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.size), pa.int32()), pa.array(cells)], ["cell", "v"])
 
-    (cells,) = add_up(patterns.mapInArrow(task, "cell int, v double"), ["v"], size + size * size)
+    (cells,) = add_up(patterns.mapInArrow(task, "cell int, v double"), ["v"], size + size * size, n_tasks(patterns))
     return ScoreInfo(cells[:size], cells[size:].reshape(size, size), groups, offsets)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from masterline.functions.scalar import CLIP
 from masterline.operators.patterns import Codec
-from masterline.plans.lineage import cut, n_partitions, spread
+from masterline.plans.lineage import cut
 
 
 class DcmFit(NamedTuple):
@@ -40,11 +40,18 @@ class Irt2plFit(NamedTuple):
     history: list[float]
 
 
+PATTERNS_PER_TASK = 50_000
+
+
 def pattern_table(resp: DataFrame, codec: Codec) -> DataFrame:
-    """Distinct patterns with counts, spread by their words and checkpointed:
-    later iterations never go back to the responses."""
-    counted = codec.count(codec.encode(resp, "resp_id"))
-    return cut(spread(counted, *codec.words))
+    """Distinct patterns with counts, checkpointed: later iterations never go
+    back to the responses.  The number of tasks follows the number of patterns,
+    so a short table is not scattered and a long one is not lumped."""
+    stored = cut(codec.count(codec.encode(resp, "resp_id")))
+    tasks = max(1, -(-stored.count() // PATTERNS_PER_TASK))
+    if tasks <= n_tasks(stored):
+        return stored.coalesce(tasks)
+    return cut(stored.repartition(tasks, *codec.words))
 
 
 def batch_posterior(
@@ -69,21 +76,26 @@ COUNTS = "cell int, total double, right double"
 DIRECT_CELLS = 1_000_000
 
 
-def add_up(parts: DataFrame, columns: list[str], n_cells: int) -> list[np.ndarray]:
+def add_up(parts: DataFrame, columns: list[str], n_cells: int, tasks: int) -> list[np.ndarray]:
     """Sum the tasks' (cell, value..) vectors of parameter size.
 
     Few tasks times few cells: fetched as they are and added here, which saves
     a stage per iteration.  Beyond a million numbers Spark adds them first.
     """
-    if n_partitions(parts.sparkSession) * n_cells > DIRECT_CELLS:
+    if tasks * n_cells > DIRECT_CELLS:
         parts = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in columns])
     got = parts.toArrow()
     cells = got["cell"].to_numpy()
     return [np.bincount(cells, weights=got[c].to_numpy(), minlength=n_cells) for c in columns]
 
 
+def n_tasks(patterns: DataFrame) -> int:
+    """Tasks of a job over a stored pattern table."""
+    return patterns.rdd.getNumPartitions()
+
+
 def expected_counts(
-    patterns: DataFrame, codec: Codec, pi: np.ndarray, log_nu: np.ndarray
+    patterns: DataFrame, codec: Codec, pi: np.ndarray, log_nu: np.ndarray, tasks: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """E-step: (respondents by item and node, right answers by item and node,
     respondents by node, log-likelihood)."""
@@ -103,7 +115,7 @@ def expected_counts(
         cells = pa.array(np.arange(total.size), pa.int32())
         yield pa.RecordBatch.from_arrays([cells, pa.array(total.ravel()), pa.array(right.ravel())], ["cell", "total", "right"])
 
-    sums = add_up(patterns.mapInArrow(task, COUNTS), ["total", "right"], (n_items + 2) * n_nodes)
+    sums = add_up(patterns.mapInArrow(task, COUNTS), ["total", "right"], (n_items + 2) * n_nodes, tasks)
     total, right = (v.reshape(n_items + 2, n_nodes) for v in sums)
     return total[:n_items], right[:n_items], total[n_items], float(total[n_items + 1, 0])
 
@@ -171,10 +183,11 @@ def fit_dcm(
     q_masks = q_masks_of(q)
     codec, masks = Codec(list(q_masks)), list(q_masks.values())
     patterns = pattern_table(resp, codec) if patterns is None else patterns
+    tasks = n_tasks(patterns)
     pi, nu = model_start(model, masks, n_attr), np.full(2**n_attr, 0.5**n_attr)
     history: list[float] = []
     while len(history) < max_iter:
-        total, right, mass, loglik = expected_counts(patterns, codec, pi, np.log(np.maximum(nu, 1e-300)))
+        total, right, mass, loglik = expected_counts(patterns, codec, pi, np.log(np.maximum(nu, 1e-300)), tasks)
         if model == "crum":
             pi = np.array([main_effects(t, r, m, n_attr) for t, r, m in zip(total, right, masks)])
         else:
@@ -250,11 +263,12 @@ def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int
     spark = resp.sparkSession
     codec = Codec(sorted(items))
     patterns = pattern_table(resp, codec)
+    tasks = n_tasks(patterns)
     a, d = np.ones(len(codec.items)), np.zeros(len(codec.items))
     history: list[float] = []
     while len(history) < max_iter:
         pi = 1 / (1 + np.exp(-(a[:, None] * NODES + d[:, None])))
-        total, right, _, loglik = expected_counts(patterns, codec, pi, node_log_weights())
+        total, right, _, loglik = expected_counts(patterns, codec, pi, node_log_weights(), tasks)
         history.append(float(loglik + (-np.log(a) ** 2 / 2 - np.log(a) - d**2 / 8).sum()))
         if len(history) > 1 and history[-1] - history[-2] < tol:
             break

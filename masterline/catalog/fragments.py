@@ -103,16 +103,20 @@ rep AS (
   FROM held JOIN draw_pi USING (draw, class_id))"""
 
 
-BANK = """bank AS (
-  SELECT p_partkey AS item_id, CAST(p_partkey % 15 + 1 AS INTEGER) AS q_mask FROM part),
+def bank(table: str = "part", key: str = "p_partkey") -> str:
+    return f"""bank AS (
+  SELECT {key} AS item_id, CAST({key} % 15 + 1 AS INTEGER) AS q_mask FROM {table}),
 items2 AS (SELECT * FROM bank WHERE bit_count(q_mask) BETWEEN 1 AND 2),
 par(parameter, mask) AS (VALUES ('(Intercept)', 0), ('att1', 1), ('att2', 2), ('att3', 4), ('att4', 8),
   ('att1:att2', 3), ('att1:att3', 5), ('att1:att4', 9), ('att2:att3', 6), ('att2:att4', 10), ('att3:att4', 12)),
 design AS (SELECT item_id, q_mask, parameter, mask FROM items2, par WHERE q_mask & mask = mask)"""
 
+
 _UB = u("item_id", "(length(parameter) * 7 + ascii(right(parameter, 1)))", 53)
 
-BANK_PARAMS = f"""{BANK},
+
+def bank_params(table: str = "part", key: str = "p_partkey") -> str:
+    return f"""{bank(table, key)},
 probs AS (
   SELECT item_id, q_mask, parameter, mask,
          CASE bit_count(mask) WHEN 0 THEN 0.05 + (0.45 - 0.05) * {_UB} WHEN 1 THEN 0.5 + (0.7 - 0.5) * {_UB}
@@ -126,3 +130,7 @@ params AS (
          CASE bit_count(mask) WHEN 0 THEN lg WHEN 1 THEN lg - base ELSE lg - base - mains END AS value
   FROM lg JOIN base USING (item_id) JOIN mains USING (item_id)),
 sixteen(class_id) AS (SELECT CAST(range AS INTEGER) FROM range(16))"""
+
+
+BANK = bank()
+BANK_PARAMS = bank_params()

@@ -92,13 +92,13 @@ def qmatrix_design(spark, sf):
     return model.item_parameters(model.possible_items(fx.raw_bank(spark, sf)), fx.BANK_ATTRS)
 
 
-def bank_params(spark, sf) -> DataFrame:
-    needed = model.item_parameters(model.possible_items(fx.raw_bank(spark, sf)), fx.BANK_ATTRS)
+def bank_params(spark, sf, *source: str) -> DataFrame:
+    needed = model.item_parameters(model.possible_items(fx.raw_bank(spark, sf, *source)), fx.BANK_ATTRS)
     return model.params_from_probs(fx.bank_probs(needed), fx.BANK_ATTRS)
 
 
-def bank_masks(spark, sf) -> DataFrame:
-    return model.with_masks(bank_params(spark, sf), fx.BANK_ATTRS)
+def bank_masks(spark, sf, *source: str) -> DataFrame:
+    return model.with_masks(bank_params(spark, sf, *source), fx.BANK_ATTRS)
 
 
 @query(f"WITH {sql.BANK_PARAMS} SELECT item_id, parameter, round(value, 6) AS value FROM params")
@@ -149,27 +149,33 @@ def lambda_from_pi(spark, sf):
     return back.select("item_id", model.parameter_name(F.col("mask"), fx.BANK_ATTRS).alias("parameter"), r6("value"))
 
 
-_SUPPLIER_ITEMS = f"""{sql.BANK_PARAMS},
-few AS (SELECT * FROM params WHERE item_id < (SELECT count(*) FROM supplier)),
-{sql.CLS}"""
-
-
 @query(
-    f"""WITH {_SUPPLIER_ITEMS},
-lo AS (SELECT resp_id, item_id, sum(CASE WHEN class_id & mask = mask THEN value ELSE 0 END) AS lo FROM cls, few GROUP BY 1, 2)
-SELECT item_id, count(*) AS n, round(avg(lo), 6) AS log_odds, round(avg(1 / (1 + exp(-lo))), 6) AS prob,
-  CAST(sum(CASE WHEN {sql.u('resp_id', 'item_id', 71)} < 1 / (1 + exp(-lo)) THEN 1 ELSE 0 END) AS BIGINT) AS n_right
-FROM lo GROUP BY 1"""
+    f"""WITH {sql.bank_params('nation', 'n_nationkey')},
+{sql.CLS},
+lo AS (SELECT resp_id, item_id, sum(CASE WHEN class_id & mask = mask THEN value ELSE 0 END) AS lo FROM cls, params GROUP BY 1, 2)
+SELECT resp_id, item_id, round(lo, 6) AS log_odds, round(1 / (1 + exp(-lo)), 6) AS prob,
+  CASE WHEN {sql.u('resp_id', 'item_id', 71)} < 1 / (1 + exp(-lo)) THEN 1 ELSE 0 END AS score
+FROM lo"""
 )
 def response_probs(spark, sf):
-    """Every respondent on a form with one item per supplier, summed by item."""
-    form = fx.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("item_id"))
-    masks = bank_masks(spark, sf).join(form, "item_id", "left_semi")
+    """Every respondent on every item of a form with one item per nation."""
+    masks = bank_masks(spark, sf, "nation", "n_nationkey")
     probs = model.response_probs(fx.known_classes(spark, sf), masks, 4)
-    scored = probs.withColumn("score", bernoulli(F.col("prob"), "resp_id", "item_id", 71))
-    return scored.groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("log_odds"), 6).alias("log_odds"), F.round(F.avg("prob"), 6).alias("prob"), F.sum("score").alias("n_right")
-    )
+    score = bernoulli(F.col("prob"), "resp_id", "item_id", 71)
+    return probs.select("resp_id", "item_id", r6("log_odds"), r6("prob"), score.alias("score"))
+
+
+@query(
+    f"""WITH {sql.bank_params('nation', 'n_nationkey')},
+{sql.CLS},
+lo AS (SELECT resp_id, item_id, sum(CASE WHEN class_id & mask = mask THEN value ELSE 0 END) AS lo FROM cls, params GROUP BY 1, 2),
+sc AS (SELECT item_id, CASE WHEN {sql.u('resp_id', 'item_id', 71)} < 1 / (1 + exp(-lo)) THEN 1 ELSE 0 END AS score FROM lo)
+SELECT item_id, count(*) AS n, CAST(sum(score) AS BIGINT) AS n_right FROM sc GROUP BY 1"""
+)
+def scored_responses(spark, sf):
+    probs = model.response_probs(fx.known_classes(spark, sf), bank_masks(spark, sf, "nation", "n_nationkey"), 4)
+    scores = model.score_responses(probs, 71)
+    return scores.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("n_right"))
 
 
 # --- classification ------------------------------------------------------------------
@@ -203,6 +209,16 @@ def attribute_probs(spark, sf):
     return long.select("resp_id", (F.col("k") + 1).alias("attribute"), r6("p"))
 
 
+@query(f"{sql.F1_POST},\n{sql.ATTR} SELECT resp_id, attribute, round(p, 6) AS p, round(loglik, 6) AS loglik FROM attr JOIN marg USING (resp_id)")
+def posterior_from_wide(spark, sf):
+    """The same probabilities from the wide table, row by row."""
+    wide = verbs.to_wide(fx.responses(spark, sf), ["resp_id"], "item_id", "score", list(range(1, 13)))
+    codec = em.Codec.of(fx.qmatrix(spark))
+    post = em.posterior_encoded(codec.encode_wide(wide, "resp_id"), codec, fx.start_pi(spark), fx.start_nu(spark), fx.N_ATTR)
+    long = post.select("resp_id", r6("loglik"), F.posexplode("p").alias("k", "p"))
+    return long.select("resp_id", (F.col("k") + 1).alias("attribute"), r6("p"), "loglik")
+
+
 _FIRST_POST = f"WITH {sql.RESP},\n{sql.draws(1)},\n{sql.FIRST},\n{sql.POST}"
 
 

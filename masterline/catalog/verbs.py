@@ -273,10 +273,10 @@ def threshold_band(spark, sf):
 
 
 @query(
-    "SELECT s_suppkey, s_name, n_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON s_nationkey = n_nationkey"
+    "SELECT s_suppkey, s_name, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"
 )
 def enrich_supplier(spark, sf):
-    dim = io.read_dim(spark, f"{sf}/nation.parquet").filter("n_nationkey < 20")
+    dim = io.read_dim(spark, f"{sf}/nation.parquet")
     df = fx.read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     return io.enrich(df, dim, [("s_nationkey", "n_nationkey")], ["n_name"]).drop("s_nationkey")
 
@@ -293,30 +293,25 @@ def left_join_null_keys(spark, sf):
 
 
 @query(
-    """WITH g AS (SELECT c_nationkey, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000 GROUP BY 1, 2),
-s AS (SELECT s_nationkey, count(*) AS m FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
-SELECT coalesce(c_nationkey, s_nationkey) AS nation, o_orderstatus, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM g FULL JOIN s ON c_nationkey = s_nationkey"""
+    """WITH c AS (SELECT CAST(floor(c_acctbal / 50) AS BIGINT) AS band, count(*) AS n FROM customer GROUP BY 1),
+s AS (SELECT CAST(floor(s_acctbal / 50) AS BIGINT) AS band, count(*) AS m FROM supplier GROUP BY 1)
+SELECT band, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM c FULL JOIN s USING (band)"""
 )
 def full_join_counts(spark, sf):
-    orders = fx.read(spark, sf, "orders").filter("o_totalprice > 400000").select("o_custkey", "o_orderstatus")
-    cust = fx.read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    left = aggregates.count_by(orders.join(cust, F.col("o_custkey") == F.col("c_custkey")), "nation", "o_orderstatus")
-    right = aggregates.count_by(fx.read(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation")), "nation", name="m")
-    return verbs.replace_na(joins.full_join(left, right, ["nation"]), {"n": 0, "m": 0})
+    customers = fx.read(spark, sf, "customer").select(F.floor(F.col("c_acctbal") / 50).alias("band"))
+    suppliers = fx.read(spark, sf, "supplier").select(F.floor(F.col("s_acctbal") / 50).alias("band"))
+    both = joins.full_join(aggregates.count_by(customers, "band"), aggregates.count_by(suppliers, "band", name="m"), ["band"])
+    return verbs.replace_na(both, {"n": 0, "m": 0})
 
 
 @query(
-    """WITH g AS (SELECT n_name, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_totalprice > 450000 GROUP BY 1, 2)
-SELECT a.n_name, b.o_orderstatus, coalesce(n, 0) AS n FROM (SELECT DISTINCT n_name FROM g) a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM g) b
-LEFT JOIN g ON g.n_name = a.n_name AND g.o_orderstatus = b.o_orderstatus"""
+    """WITH g AS (SELECT s_nationkey, CAST(floor(s_acctbal / 500) AS BIGINT) AS band, count(*) AS n FROM supplier GROUP BY 1, 2)
+SELECT a.s_nationkey, b.band, coalesce(n, 0) AS n FROM (SELECT DISTINCT s_nationkey FROM g) a CROSS JOIN (SELECT DISTINCT band FROM g) b
+LEFT JOIN g ON g.s_nationkey = a.s_nationkey AND g.band = b.band"""
 )
 def complete_counts(spark, sf):
-    orders = fx.read(spark, sf, "orders").filter("o_totalprice > 450000").select("o_custkey", "o_orderstatus")
-    cust = fx.read(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    nation = fx.read(spark, sf, "nation").select("n_nationkey", "n_name")
-    named = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joins.complete(aggregates.count_by(named, "n_name", "o_orderstatus"), ["n_name", "o_orderstatus"], {"n": 0})
+    rows = fx.read(spark, sf, "supplier").select("s_nationkey", F.floor(F.col("s_acctbal") / 500).alias("band"))
+    return joins.complete(aggregates.count_by(rows, "s_nationkey", "band"), ["s_nationkey", "band"], {"n": 0})
 
 
 @query(
@@ -346,26 +341,32 @@ def expand_grid(spark, sf):
     return joins.expand_grid(fx.read(spark, sf, "supplier").select("s_suppkey"), fx.read(spark, sf, "region").select("r_name"))
 
 
-_NEAREST = """WITH cand AS (SELECT c_custkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(s_acctbal - c_acctbal), s_suppkey) AS rn
+@query(
+    """WITH cand AS (SELECT c_custkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(s_acctbal - c_acctbal), s_suppkey) AS rn
   FROM customer JOIN supplier ON c_nationkey = s_nationkey)
 SELECT c.c_custkey, s_suppkey, s_acctbal FROM customer c LEFT JOIN (SELECT * FROM cand WHERE rn = 1) b ON c.c_custkey = b.c_custkey"""
-
-
-def _nearest(spark, sf, **kw):
+)
+def nearest_match(spark, sf):
+    """Supplier of the same nation with the nearest balance, per customer."""
     cust = fx.read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     supp = fx.read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    return joins.nearest_join(cust, supp, ["nation"], "c_acctbal", "s_acctbal", "s_suppkey", **kw).select("c_custkey", "s_suppkey", "s_acctbal")
+    near = joins.nearest_join(cust, supp, ["nation"], "c_acctbal", "s_acctbal", "s_suppkey", few=0)
+    return near.select("c_custkey", "s_suppkey", "s_acctbal")
 
 
-@query(_NEAREST)
-def nearest_match(spark, sf):
-    return _nearest(spark, sf, few=0)
-
-
-@query(_NEAREST)
+@query(
+    """WITH cand AS (SELECT n_nationkey, c_custkey, c_acctbal,
+  row_number() OVER (PARTITION BY n_nationkey ORDER BY abs(c_acctbal - (n_nationkey * 400.5 - 700)), c_custkey) AS rn
+  FROM nation JOIN customer ON c_nationkey = n_nationkey)
+SELECT n.n_nationkey, c_custkey, c_acctbal FROM nation n LEFT JOIN (SELECT * FROM cand WHERE rn = 1) b ON n.n_nationkey = b.n_nationkey"""
+)
 def nearest_match_few(spark, sf):
-    """The same join by gaps, with the left side treated as few targets."""
-    return _nearest(spark, sf, few=1 << 30)
+    """One target balance per nation against all its customers: few targets."""
+    target = (F.col("n_nationkey") * 400.5 - 700).alias("target")
+    targets = fx.read(spark, sf, "nation").select("n_nationkey", target)
+    cust = fx.read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), "c_acctbal")
+    near = joins.nearest_join(targets, cust, ["n_nationkey"], "target", "c_acctbal", "c_custkey")
+    return near.select("n_nationkey", "c_custkey", "c_acctbal")
 
 
 # --- aggregation -----------------------------------------------------------------

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from masterline.operators.joins import lookup_join
 from masterline.operators.patterns import Codec
-from masterline.operators.joins import left_join
 from masterline.operators.verbs import union_all
 from masterline.plans.draws import draw_blocks
 from masterline.plans.em import batch_posterior
@@ -48,8 +48,9 @@ def _block_loglik(patterns: DataFrame, codec: Codec, block) -> DataFrame:
 
 
 def by_respondent(pointwise: DataFrame, people: DataFrame, codec: Codec) -> DataFrame:
-    """(resp_id, draw position, ll): pointwise values back on respondents."""
-    long = people.join(pointwise.drop("n"), codec.words).select("resp_id", F.posexplode("ll").alias("position", "ll"))
+    """(resp_id, draw, ll): pointwise values back on respondents.  A pattern row
+    is as long as the number of draws, hence the lower limit for a broadcast."""
+    long = lookup_join(people, pointwise.drop("n"), codec.words, rows=10_000).select("resp_id", F.posexplode("ll").alias("position", "ll"))
     return long.select("resp_id", (F.col("position") + 1).alias("draw"), "ll")
 
 

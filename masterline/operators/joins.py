@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from masterline.plans.lineage import is_small, range_parts
+from masterline.plans.lineage import BROADCAST_ROWS, is_small, range_parts
 
 On = list  # of "name" or ("left name", "right name")
 
@@ -74,10 +74,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 3
     return left.withColumn("__salt", salt).join(copies, [*on, "__salt"]).drop("__salt")
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of a large table with parameters on few distinct keys:
     broadcast when counted small, otherwise salted."""
-    if is_small(table):
+    if is_small(table, rows):
         return left.join(F.broadcast(table), on)
     return salted_join(left, table, on)
 

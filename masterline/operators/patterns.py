@@ -49,6 +49,16 @@ class Codec:
             aggs.append(F.expr(f"bit_or(if(__w = {w} AND score = 1, shiftleft(1L, __b), 0L)) AS x{w}"))
         return placed.groupBy(*keys).agg(*aggs)
 
+    def encode_wide(self, wide: DataFrame, *keys: str) -> DataFrame:
+        """Words from a wide table with one 0/1 column per item: row by row, so
+        neither an unpivot nor a shuffle stands between the file and the words."""
+        words = []
+        for w in range(self.n_words):
+            part = list(enumerate(self.items[w * WORD : (w + 1) * WORD]))
+            words.append(" | ".join(f"if(`{item}` IS NULL, 0L, {1 << b}L)" for b, item in part) + f" AS a{w}")
+            words.append(" | ".join(f"if(`{item}` = 1, {1 << b}L, 0L)" for b, item in part) + f" AS x{w}")
+        return wide.selectExpr(*keys, *words)
+
     def count(self, encoded: DataFrame) -> DataFrame:
         """Distinct patterns with the number of respondents ``n``."""
         return encoded.groupBy(*self.words).agg(F.count(F.lit(1)).alias("n"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from masterline.functions.scalar import CLIP
 from masterline.operators.patterns import Codec
+from masterline.operators.scoring import attribute_probs
 from masterline.plans.lineage import cut
 
 
@@ -44,10 +45,11 @@ PATTERNS_PER_TASK = 50_000
 
 
 def pattern_table(resp: DataFrame, codec: Codec) -> DataFrame:
-    """Distinct patterns with counts, checkpointed: later iterations never go
-    back to the responses.  The number of tasks follows the number of patterns,
+    """Distinct patterns with counts, from long responses or encoded ones,
+    checkpointed: later iterations never go back to the responses.  The number of tasks follows the number of patterns,
     so a short table is not scattered and a long one is not lumped."""
-    stored = cut(codec.count(codec.encode(resp, "resp_id")))
+    encoded = resp if set(codec.words) <= set(resp.columns) else codec.encode(resp, "resp_id")
+    stored = cut(codec.count(encoded))
     tasks = max(1, -(-stored.count() // PATTERNS_PER_TASK))
     if tasks <= n_tasks(stored):
         return stored.coalesce(tasks)
@@ -72,6 +74,28 @@ def batch_posterior(
     return solve
 
 
+def posterior_encoded(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
+    """(other columns.., w, p, loglik) of encoded respondents or patterns.
+
+    Row by row: with words made from a wide table, scoring is one scan.
+    """
+    keep = [f for f in people.schema.fields if f.name not in codec.words]
+    cells, shares = parameters_on_driver(pi, nu, codec)
+    posterior = batch_posterior(codec, cells, np.log(np.maximum(shares, 1e-300)))
+    names = [f.name for f in keep]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, w, loglik = posterior(batch)
+            ends = pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists, pa.array(loglik)], [*names, "w", "loglik"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "w array<double>", "loglik double"])
+    post = people.mapInArrow(task, schema)
+    return post.select(*[f"`{c}`" for c in names], "w", attribute_probs("w", n_attr).alias("p"), "loglik")
+
+
 COUNTS = "cell int, total double, right double"
 DIRECT_CELLS = 1_000_000
 

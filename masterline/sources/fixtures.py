@@ -99,11 +99,11 @@ def draws_nu(spark: SparkSession, n: int) -> DataFrame:
 BANK_ATTRS = ["att1", "att2", "att3", "att4"]
 
 
-def raw_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item candidates from the part table: all fifteen non-empty masks occur."""
-    mask = (F.col("p_partkey") % 15 + 1).cast("int")
+def raw_bank(spark: SparkSession, sf_dir: str, table: str = "part", key: str = "p_partkey") -> DataFrame:
+    """Item candidates, one per row of a table: all fifteen non-empty masks occur."""
+    mask = (F.col(key) % 15 + 1).cast("int")
     bits = [bit(mask, k).alias(a) for k, a in enumerate(BANK_ATTRS)]
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), mask.alias("q_mask"), *bits)
+    return read(spark, sf_dir, table).select(F.col(key).alias("item_id"), mask.alias("q_mask"), *bits)
 
 
 def bank_probs(params: DataFrame) -> DataFrame:

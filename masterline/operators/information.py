@@ -19,12 +19,15 @@ from masterline.operators.patterns import Codec
 from masterline.operators.verbs import union_all
 from masterline.plans.draws import draw_blocks
 from masterline.plans.em import batch_posterior
+from masterline.plans.lineage import spread
 
 
 def pointwise_loglik(patterns: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame) -> DataFrame:
     """(words.., n, ll): log-likelihood of each pattern under every draw, as an
-    array in draw order.  Row-wise over the patterns; draws are parameters."""
+    array in draw order.  Row-wise over the patterns, which are spread first, as
+    every row is worth many draws; draws are parameters."""
     blocks = draw_blocks(pi, nu, codec.items)
+    patterns = spread(patterns, *codec.words)
     if len(blocks) > 1:
         parts = [_block_loglik(patterns, codec, b).withColumn("part", F.lit(k)) for k, b in enumerate(blocks)]
         arrays = F.sort_array(F.collect_list(F.struct("part", "ll")))
@@ -64,19 +67,20 @@ def _weight(df: DataFrame) -> Column:
     return F.col("n") if "n" in df.columns else F.lit(1)
 
 
+def _with_lppd(df: DataFrame) -> DataFrame:
+    """Adds lppd, the log mean likelihood; the maximum is a column of its own,
+    so it is found once per row and not once per draw."""
+    df = df.withColumn("__top", F.expr("array_max(ll)"))
+    text = "__top + ln(aggregate(ll, 0D, (a, x) -> a + exp(x - __top)) / size(ll))"
+    return df.withColumn("lppd", F.expr(text)).drop("__top")
+
+
 def waic_pointwise(pointwise: DataFrame) -> DataFrame:
-    """Adds lppd (log mean likelihood), p_waic (variance of the log-likelihood)
-    and elpd to each row.  Row-wise."""
-    steps = {
-        "top": "array_max(ll)",
-        "mean": "aggregate(ll, 0D, (a, x) -> a + x) / size(ll)",
-        "lppd": "top + ln(aggregate(ll, 0D, (a, x) -> a + exp(x - top)) / size(ll))",
-        "p": "aggregate(ll, 0D, (a, x) -> a + (x - mean) * (x - mean)) / (size(ll) - 1)",
-        "elpd": "lppd - p",
-    }
-    for name, text in steps.items():
-        pointwise = pointwise.withColumn(name, F.expr(text))
-    return pointwise.drop("top", "mean")
+    """Adds lppd, p (variance of the log-likelihood over draws) and elpd to
+    each row.  Row-wise."""
+    df = _with_lppd(pointwise).withColumn("__mean", F.expr("aggregate(ll, 0D, (a, x) -> a + x) / size(ll)"))
+    df = df.withColumn("p", F.expr("aggregate(ll, 0D, (a, x) -> a + (x - __mean) * (x - __mean)) / (size(ll) - 1)"))
+    return df.withColumn("elpd", F.col("lppd") - F.col("p")).drop("__mean")
 
 
 def _sum_and_se(df: DataFrame, value: str) -> tuple[Column, Column]:
@@ -147,8 +151,7 @@ def psis_pointwise(pointwise: DataFrame) -> DataFrame:
     """Adds elpd (leave-one-out) and pareto_k per row, batch by batch in place."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pointwise.schema.fields)
     out = pointwise.mapInPandas(psis_smoother(), f"{schema}, elpd double, pareto_k double")
-    lppd = "array_max(ll) + ln(aggregate(ll, 0D, (a, x) -> a + exp(x - array_max(ll))) / size(ll))"
-    return out.withColumn("p", F.expr(lppd) - F.col("elpd"))
+    return _with_lppd(out).withColumn("p", F.col("lppd") - F.col("elpd")).drop("lppd")
 
 
 def psis_loo(pointwise: DataFrame) -> DataFrame:

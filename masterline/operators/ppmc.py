@@ -27,8 +27,9 @@ from masterline.plans.lineage import cut, spread
 
 
 def encode_people(resp: DataFrame, codec: Codec) -> DataFrame:
-    """(resp_id, words..), spread evenly for the draws to multiply."""
-    return spread(codec.encode(resp, "resp_id"), "resp_id")
+    """(resp_id, words..), spread evenly for the draws to multiply and stored:
+    every check starts from it and none goes back to the responses."""
+    return cut(spread(codec.encode(resp, "resp_id"), "resp_id"))
 
 
 def _replicator(codec: Codec, block: DrawBlock, salt: int) -> Callable:

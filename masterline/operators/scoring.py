@@ -114,9 +114,9 @@ def map_profile(post: DataFrame) -> DataFrame:
 
     The posterior is an array, so this is a row-wise step without a shuffle.
     """
-    cells = F.transform("w", lambda x, c: F.struct(c.alias("class_id"), x.alias("prob")))
-    best = F.filter(cells, lambda s: s["prob"] == F.array_max("w"))
-    return post.select("resp_id", F.inline(best))
+    top = post.withColumn("__top", F.expr("array_max(w)"))
+    cells = "transform(w, (x, c) -> struct(c AS class_id, x AS prob))"
+    return top.select("resp_id", F.expr(f"inline(filter({cells}, s -> s.prob = __top))"))
 
 
 def first_class(w: Column) -> Column:

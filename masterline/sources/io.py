@@ -55,7 +55,7 @@ def read_dim(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """Write and hand back the stored table, so a pipeline may go on with it."""
+    """Write and hand back the stored table, so later steps may go on from it."""
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

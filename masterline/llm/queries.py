@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masterline.llm import sharding
+from masterline.llm import bpe, line_dedup, sharding, token_counts
 from masterline.llm.common import table
 
 SHARDS = 24
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
+
+def _ranks() -> dict[bytes, int]:
+    return bpe.read_ranks(public_tokenizers.path(RANK_FILE))
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _ranks()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +41,36 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents)),
+firsts AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10
+           GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT l.*, coalesce(l.doc_id > f.first, false) AS gone FROM lines l LEFT JOIN firsts f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.context_table(token_counts.lengths(docs, _ranks(), public_tokenizers.PATTERN))
+
+
 QUERIES = {
+    "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_sharding": (op2_sharding, None),
+    "op3_line_dedup": (op3_line_dedup, OP3_SQL),
+    "op4_token_counts": (op4_token_counts, None),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,54 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def grouped(batches, *keys: str):
+    """Consecutive rows with equal keys, as one table each, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_pylist() for k in keys]
+        marks = list(zip(*columns, strict=True))
+        start = 0
+        for i, mark in enumerate(marks):
+            if mark != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, mark
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root, the smallest node that links reach, for the nodes of ``a``-``b`` links.
+
+    Large-star and small-star steps in turn, each an aggregate and a join, until
+    nothing changes; a node with very many links is a skewed join key only. Nodes
+    without links are left out.
+    """
+
+    def mark(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+
+    links = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    was = mark(links)
+    while was[0]:
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = store(large.where("a > b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        small = large.join(least, F.col("a") == F.col("u")).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = store(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a > b").distinct())
+        now = mark(links)
+        if now == was:
+            break
+        was = now
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masterline.llm import bpe, line_dedup, sharding, token_counts
+from masterline.llm import bpe, decontaminate, language_id, line_dedup, ngram_join, quality, sharding, token_counts
 from masterline.llm.common import table
 
 SHARDS = 24
@@ -68,9 +68,42 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.lengths(docs, _ranks(), public_tokenizers.PATTERN))
 
 
+def _bucket(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _bucket(5) == 0
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out), "quality")
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _bucket(4) == 2
+    profiles = language_id.fit(docs.where(~held_out))
+    named = language_id.predict(docs.select("doc_id", "text"), profiles)
+    return named.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_sharding": (op2_sharding, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op6_quality": (op6_quality, None),
+    "op8_language_id": (op8_language_id, None),
+    "op9_ngram_join": (op9_ngram_join, None),
+    "op10_decontamination": (op10_decontamination, None),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masterline.llm import bpe, decontaminate, language_id, line_dedup, ngram_join, quality, sharding, token_counts
+from masterline.llm import bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, quality, sharding, suffix_dedup, token_counts
 from masterline.llm.common import table
 
 SHARDS = 24
@@ -81,6 +81,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = _bucket(4) == 2
@@ -102,7 +111,9 @@ QUERIES = {
     "op2_sharding": (op2_sharding, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_quality": (op6_quality, None),
+    "op7_embedding_dedup": (op7_embedding_dedup, None),
     "op8_language_id": (op8_language_id, None),
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_decontamination": (op10_decontamination, None),

@@ -2,16 +2,18 @@
 
 Documents are cut into words (the tokenizer's pre-tokens) chunk by chunk. A chunk
 keeps, in order of position, the numbers its words have in a dictionary of its
-own; only dictionary entries are shuffled by word, so a word costs one row for
-each chunk in which it occurs, not one for each occurrence. Every distinct word is
-encoded once, its ids are joined back to the dictionaries (a word found in all
-chunks is a skewed key that the join may split), and a chunk's ids are put together
-by position where its dictionary meets it.
+own. The dictionaries' words are dealt out over the corpus by their hash, packed
+as one row for each chunk and part; a word costs one entry for each chunk in which
+it occurs, however often it does, so no word makes a part much larger than others.
+A part encodes each of its distinct words once and sends the ids back to the
+chunks, which put them together by position.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,16 +22,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masterline.llm.common import store
+from masterline.llm.common import n_partitions, store
+from masterline.llm.packing import binary_rows, gather, pack, unpack, unzip_bytes, zip_bytes
+from masterline.llm.packing import blocks as blocks_of
 
 #: Characters of text in a chunk; a longer document is a chunk by itself.
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 25
 #: Words or tokens laid out at once.
 BLOCK = 1 << 20
 
@@ -45,90 +48,48 @@ def whole_piece_encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
     return tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
-def _pack(numbers: list[int]) -> bytes:
-    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def _chunk_rows(chunk: int, ids: list, counts: list[int], numbers: array, index: dict[str, int], n_parts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row with the chunk's documents, and one for each part with its words."""
+    words = [w.encode("utf-8", "surrogatepass") for w in index]
+    parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.uint32, len(words))
+    order = np.argsort(parts, kind="stable")
+    edges = np.flatnonzero(np.diff(parts[order])) + 1
+    empty = dict.fromkeys(schema.names)
+    rows = [empty | {"chunk": chunk, "doc_ids": ids, "counts": counts, "packed": pack(numbers), "parts": pack(parts)}]
+    for own in np.split(order, edges) if len(order) else []:
+        mine = [words[i] for i in own]
+        sizes = pack([len(w) for w in mine])
+        rows.append(empty | {"chunk": chunk, "part": int(parts[own[0]]), "words": zip_bytes(b"".join(mine)), "sizes": sizes})
+    yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def _cut(pattern: str, chunk_chars: int, n_parts: int, id_type: pa.DataType):
+    fields = {"doc_ids": pa.list_(id_type), "counts": pa.list_(pa.int32()), "packed": pa.binary(), "parts": pa.binary()}
+    schema = pa.schema({"chunk": pa.int64()} | fields | {"part": pa.int32(), "words": pa.binary(), "sizes": pa.binary()})
 
-
-def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The pieces flat[s : s + n] one after another."""
-    shift = starts - (np.cumsum(lengths) - lengths)
-    return flat[np.repeat(shift, lengths) + np.arange(lengths.sum())]
-
-
-def _blocks(sizes: np.ndarray, most: int = BLOCK) -> Iterator[slice]:
-    """Runs of rows of about ``most`` in all, at least one row each."""
-    ends = np.cumsum(sizes)
-    start = 0
-    while start < len(sizes):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-        yield slice(start, stop)
-        start = stop
-
-
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Rows of bytes from one buffer; ``ends`` in bytes, without the leading 0."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def _cut(pattern: str, chunk_chars: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        first = TaskContext.get().partitionId() << 32
-        names = ["chunk", "doc_ids", "counts", "packed", "number", "word"]
-
-        def rows(chunk: int, ids: list, counts: list[int], numbers: list[int], index: dict[str, int]):
-            n = len(index)
-            words = pa.array(index, pa.string()).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk], pa.int64()),
-                    pa.array([ids], pa.list_(id_type)),
-                    pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([_pack(numbers)], pa.binary()),
-                    pa.nulls(1, pa.int32()),
-                    pa.nulls(1, pa.binary()),
-                ],
-                names,
-            )
-            for at in range(0, n, 100_000):
-                k = min(100_000, n - at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(k, chunk)),
-                        pa.nulls(k, pa.list_(id_type)),
-                        pa.nulls(k, pa.list_(pa.int32())),
-                        pa.nulls(k, pa.binary()),
-                        pa.array(np.arange(at, at + k, dtype=np.int32)),
-                        words.slice(at, k),
-                    ],
-                    names,
-                )
-
-        def fresh() -> defaultdict:
+        chunk, chars = TaskContext.get().partitionId() << 32, 0
+
+        def fresh() -> tuple:
             index: defaultdict[str, int] = defaultdict()
             index.default_factory = index.__len__
-            return index
+            return [], [], array("I"), index
 
-        chunk, chars, ids, counts, numbers, index = first, 0, [], [], [], fresh()
+        ids, counts, numbers, index = fresh()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if ids and chars + len(text) > chunk_chars:
-                    yield from rows(chunk, ids, counts, numbers, index)
-                    chunk, chars, ids, counts, numbers, index = chunk + 1, 0, [], [], [], fresh()
+                    yield from _chunk_rows(chunk, ids, counts, numbers, index, n_parts, schema)
+                    chunk, chars = chunk + 1, 0
+                    ids, counts, numbers, index = fresh()
                 words = find(text)
                 numbers.extend(map(index.__getitem__, words))
                 ids.append(doc_id)
                 counts.append(len(words))
                 chars += len(text)
         if ids:
-            yield from rows(chunk, ids, counts, numbers, index)
+            yield from _chunk_rows(chunk, ids, counts, numbers, index, n_parts, schema)
 
     return run
 
@@ -136,32 +97,43 @@ def _cut(pattern: str, chunk_chars: int, id_type: pa.DataType):
 def _encode_words(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = whole_piece_encoder(ranks.value).encode_ordinary
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            words = batch.column("word")
-            ids = [np.array(encode(w), "<u4").tobytes() for w in words.cast(pa.string()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], ["word", "ids"])
+            for row in batch.to_pylist():
+                ends = np.cumsum(unpack(row["sizes"]), dtype=np.int64).tolist()
+                data, start, ids = unzip_bytes(row["words"]), 0, []
+                for end in ends:
+                    word = data[start:end]
+                    start = end
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+                    ids.append(found)
+                columns = {"of": [row["chunk"]], "part": [row["part"]], "ids": [pack(np.frombuffer(b"".join(ids), "<u4"))], "lengths": [pack([len(x) // 4 for x in ids])]}
+                yield pa.RecordBatch.from_pydict(columns, pa.schema({"of": pa.int64(), "part": pa.int32(), "ids": pa.binary(), "lengths": pa.binary()}))
 
     return run
 
 
 def _assemble(id_type: pa.DataType):
-    def run(chunk: pa.Table, dictionary: pa.Table) -> pa.Table:
-        numbers = dictionary.column("number").to_numpy()
-        pieces = dictionary.column("ids").combine_chunks().take(pa.array(np.argsort(numbers)))
-        flat = np.frombuffer(b"".join(pieces.to_pylist()), "<u4")
-        lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        starts = np.cumsum(lengths) - lengths
+    def run(chunk: pa.Table, blocks: pa.Table) -> pa.Table:
         out = []
-        for row in chunk.select(["doc_ids", "counts", "packed"]).to_pylist():
-            counts, words = np.array(row["counts"], np.int64), _unpack(row["packed"])
+        for row in chunk.select(["doc_ids", "counts", "packed", "parts"]).to_pylist():
+            found = blocks.sort_by("part").select(["ids", "lengths"]).to_pylist()
+            flat = np.concatenate([unpack(r["ids"]) for r in found] or [np.empty(0, "<u4")])
+            order = np.argsort(unpack(row["parts"]), kind="stable")
+            lengths, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            lengths[order] = np.concatenate([unpack(r["lengths"]) for r in found] or [np.empty(0, np.int64)])
+            starts[order] = np.cumsum(lengths[order]) - lengths[order]
+            counts, words = np.array(row["counts"], np.int64), unpack(row["packed"])
             ends = np.cumsum(counts)
-            for part in _blocks(counts):
-                own = words[ends[part.start] - counts[part.start] : ends[part.stop - 1]]
+            for part in blocks_of(counts, BLOCK):
+                first = ends[part.start] - counts[part.start]
+                own = words[first : ends[part.stop - 1]]
                 sums = np.concatenate([[0], np.cumsum(lengths[own])])
-                stops = sums[ends[part] - (ends[part.start] - counts[part.start])]
-                ids = _gather(flat, starts[own], lengths[own])
+                ids = gather(flat, starts[own], lengths[own])
                 doc_ids = pa.array(row["doc_ids"][part], id_type)
-                out.append(pa.Table.from_arrays([doc_ids, _binary(ids, 4 * stops)], ["doc_id", "ids"]))
+                out.append(pa.Table.from_arrays([doc_ids, binary_rows(ids, 4 * sums[ends[part] - first])], ["doc_id", "ids"]))
         return pa.concat_tables(out)
 
     return run
@@ -175,18 +147,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     ids repeat or are null; other columns are left out.
     """
     spark = docs.sparkSession
+    n = n_partitions(spark)
     id_type = docs.schema[id_col].dataType
     arrow_id = pa.int64() if isinstance(id_type, T.LongType) else pa.int32() if isinstance(id_type, T.IntegerType) else pa.string()
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"chunk long, doc_ids array<{id_type.simpleString()}>, counts array<int>, packed binary, number int, word binary"
-    cut = store(plain.mapInArrow(_cut(pattern, chunk_chars, arrow_id), schema))
-    words = cut.where("word IS NOT NULL").select("chunk", "number", "word")
-    encoded = words.select("word").distinct().mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks)), "word binary, ids binary")
-    dictionaries = words.join(encoded, "word").select(F.col("chunk").alias("of"), "number", "ids")
-    chunks = cut.where("packed IS NOT NULL").select("chunk", "doc_ids", "counts", "packed")
+    chunk = f"chunk long, doc_ids array<{id_type.simpleString()}>, counts array<int>, packed binary, parts binary"
+    cut = store(plain.mapInArrow(_cut(pattern, chunk_chars, n, arrow_id), f"{chunk}, part int, words binary, sizes binary"))
+    words = cut.where("part IS NOT NULL").select("chunk", "part", "words", "sizes").repartition(n, "part")
+    blocks = words.mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks)), "of long, part int, ids binary, lengths binary")
+    chunks = cut.where("packed IS NOT NULL").select("chunk", "doc_ids", "counts", "packed", "parts")
     return (
         chunks.groupBy("chunk")
-        .cogroup(dictionaries.groupBy("of"))
+        .cogroup(blocks.groupBy("of"))
         .applyInArrow(_assemble(arrow_id), f"doc_id {id_type.simpleString()}, ids binary")
     )
 
@@ -198,12 +170,12 @@ def _decode(token_bytes):
             column = batch.column("ids")
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
             out = []
-            for part in _blocks(sizes):
+            for part in blocks_of(sizes, BLOCK):
                 ids = np.frombuffer(b"".join(x or b"" for x in column.slice(part.start, part.stop - part.start).to_pylist()), "<u4")
                 if len(ids) and ids.max() >= len(lengths) or (lengths[ids] == 0).any():
                     raise ValueError("an id that the token table doesn't hold")
                 sums = np.concatenate([[0], np.cumsum(lengths[ids])])
-                out.append(_binary(_gather(flat, starts[ids], lengths[ids]), sums[np.cumsum(sizes[part])]))
+                out.append(binary_rows(gather(flat, starts[ids], lengths[ids]), sums[np.cumsum(sizes[part])]))
             decoded = pa.concat_arrays(out) if out else pa.array([], pa.binary())
             yield batch.append_column("bytes", decoded)
 

@@ -10,7 +10,6 @@ repeated key, so its size only decides how many suspects prove to be single.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masterline.llm.common import n_partitions, store
+from masterline.llm.common import store
+from masterline.llm.repeats import filter_bits, repeat_filter, suspected
 
 BLANK = b" \t\n\x0b\x0c\r"
-SLICE_BITS = 1 << 21
-#: Bounds of a filter's size; 2**30 bits are 128 MB, the most that is broadcast.
-LEAST_BITS, MOST_BITS = 1 << 21, 1 << 30
 LAST_ID = (1 << 63) - 1
 
 
@@ -38,82 +35,28 @@ def counts_as_key(key: bytes, min_chars: int) -> bool:
     return len(key) >= 4 * min_chars or (len(key) >= min_chars and len(key.decode()) >= min_chars)
 
 
-def _hashes(keys) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
-
-
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
-
-
-def _has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _set(bitmap: np.ndarray, places: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, places >> np.uint64(3), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
-
-
 def _doc_keys(text: bytes | None, min_chars: int) -> list[bytes]:
     return [k for k in dict.fromkeys(line_keys(text or b"")) if counts_as_key(k, min_chars)]
 
 
-def _fill(bits: int, min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            keys = [k for t in batch.column("text").to_pylist() for k in _doc_keys(t, min_chars)]
-            found, n = np.unique(_hashes(keys), return_counts=True)
-            a, b = _places(found, bits)
-            again = (n > 1) | (_has(once, a) & _has(once, b))
-            for places in (a, b):
-                _set(twice, places[again])
-                _set(once, places)
-        for k in range(bits // SLICE_BITS):
-            part = slice(k * SLICE_BITS // 8, (k + 1) * SLICE_BITS // 8)
-            if once[part].any():
-                yield pa.RecordBatch.from_pydict(
-                    {"slice": [k], "once": [zlib.compress(once[part], 1)], "twice": [zlib.compress(twice[part], 1)]}
-                )
+def _hashes(keys) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
+
+
+def _key_hashes(min_chars: int):
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _hashes([k for t in batch.column("text").to_pylist() for k in _doc_keys(t, min_chars)])
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            once, twice = (np.frombuffer(zlib.decompress(row[c]), np.uint8) for c in ("once", "twice"))
-            if row["slice"] in slices:
-                seen, again = slices[row["slice"]]
-                slices[row["slice"]] = (seen | once, again | twice | (seen & once))
-            else:
-                slices[row["slice"]] = (once, twice)
-    for k, (_, again) in slices.items():
-        yield pa.RecordBatch.from_pydict({"slice": [k], "twice": [zlib.compress(again, 1)]})
-
-
-def repeat_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The bitmap of keys that may occur twice; ``bits`` bound it whatever the table holds."""
-    schema = "slice long, once binary, twice binary"
-    filled = docs.select("text").mapInArrow(_fill(bits, min_chars), schema)
-    merged = filled.repartition(n_partitions(docs.sparkSession), "slice").mapInArrow(_merge, "slice long, twice binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        start = row["slice"] * SLICE_BITS // 8
-        bitmap[start : start + SLICE_BITS // 8] = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
-    return bitmap
-
-
-def _suspects(shared, bits: int, min_chars: int):
+def _suspects(shared, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = _doc_keys(text, min_chars)
-                a, b = _places(_hashes(own), bits)
-                own = [own[i] for i in np.flatnonzero(_has(shared.value, a) & _has(shared.value, b))]
+                own = [own[i] for i in np.flatnonzero(suspected(shared.value, _hashes(own)))]
                 ids += [doc_id] * len(own)
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
@@ -165,10 +108,12 @@ def dedup_lines(
     plain = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     if bits is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (size // 4).bit_length()))
-    shared = spark.sparkContext.broadcast(repeat_filter(plain, bits, min_chars))
-    suspects = store(plain.mapInArrow(_suspects(shared, bits, min_chars), "doc_id long, key binary"))
-    first = (
+        bits = filter_bits(size // 64)
+    shared = spark.sparkContext.broadcast(repeat_filter(plain.select("text"), bits, _key_hashes(min_chars)))
+    suspects = store(plain.mapInArrow(_suspects(shared, min_chars), "doc_id long, key binary"))
+    # Stored, so that the join has an exchange of its own on either side and can
+    # split a key that very many documents hold.
+    first = store(
         suspects.groupBy("key")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last")

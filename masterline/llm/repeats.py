@@ -1,4 +1,4 @@
-"""Bloom filters of hashes that may occur twice in a table.
+"""Bloom filters of hashes that may occur in a table, once or twice.
 
 Every task fills two filters, of hashes seen once and seen twice; they are merged
 slice by slice, where a bit set by two tasks, or twice by one, counts as seen
@@ -25,7 +25,7 @@ LEAST_BITS, MOST_BITS = SLICE_BITS, 1 << 30
 
 def filter_bits(hashes: int) -> int:
     """About 16 bits for each of so many expected hashes, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * hashes).bit_length() - 1))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * hashes).bit_length()))
 
 
 def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,17 +75,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slices[row["slice"]] = (seen | once, again | twice | (seen & once))
             else:
                 slices[row["slice"]] = (once, twice)
-    for k, (_, again) in slices.items():
-        yield pa.RecordBatch.from_pydict({"slice": [k], "twice": [zlib.compress(again, 1)]})
+    for k, (seen, again) in slices.items():
+        yield pa.RecordBatch.from_pydict({"slice": [k], "once": [zlib.compress(seen, 1)], "twice": [zlib.compress(again, 1)]})
 
 
-def repeat_filter(rows: DataFrame, bits: int, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """The bitmap of hashes that may occur twice. ``hashes_of`` gives a batch's
-    hashes in arrays, each without repeats that don't count."""
-    filled = rows.mapInArrow(_fill(bits, hashes_of), "slice long, once binary, twice binary")
-    merged = filled.repartition(n_partitions(rows.sparkSession), "slice").mapInArrow(_merge, "slice long, twice binary")
+def _bitmap(rows: DataFrame, bits: int, hashes_of: Callable, which: str) -> np.ndarray:
+    schema = "slice long, once binary, twice binary"
+    filled = rows.mapInArrow(_fill(bits, hashes_of), schema).repartition(n_partitions(rows.sparkSession), "slice")
     bitmap = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in filled.mapInArrow(_merge, schema).select("slice", which).toLocalIterator():
         start = row["slice"] * SLICE_BITS // 8
-        bitmap[start : start + SLICE_BITS // 8] = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
+        bitmap[start : start + SLICE_BITS // 8] = np.frombuffer(zlib.decompress(bytes(row[which])), np.uint8)
     return bitmap
+
+
+def repeat_filter(rows: DataFrame, bits: int, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """The bitmap of hashes that may occur twice. ``hashes_of`` gives a batch's
+    hashes in arrays, each without repeats that don't count."""
+    return _bitmap(rows, bits, hashes_of, "twice")
+
+
+def seen_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of hashes that may occur in the table's only column, of longs."""
+
+    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    return _bitmap(hashes, bits, hashes_of, "once")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from masterline.llm.common import store
+
 #: Lengths in a block of the running sums: windows run within blocks and over blocks.
 BLOCK = 1024
 
@@ -48,7 +50,8 @@ def context_table(counted: DataFrame) -> DataFrame:
     length, whose first row at or above q is the q-quantile. No rows for an empty
     table.
     """
-    hist = counted.groupBy("length").agg(F.count("*").alias("n_docs"))
+    # Read twice below; stored, so that texts are encoded once.
+    hist = store(counted.groupBy("length").agg(F.count("*").alias("n_docs")))
     hist = hist.withColumns({"block": F.expr(f"length div {BLOCK}"), "tokens": F.col("length") * F.col("n_docs")})
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("sum"))
     beyond = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -32,9 +32,9 @@ from masterline.llm.packing import binary_rows, gather, pack, unpack, unzip_byte
 from masterline.llm.packing import blocks as blocks_of
 
 #: Characters of text in a chunk; a longer document is a chunk by itself.
-CHUNK_CHARS = 1 << 25
+CHUNK_CHARS = 1 << 24
 #: Words or tokens laid out at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,13 +49,21 @@ def whole_piece_encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
 
 
 def _chunk_rows(chunk: int, ids: list, counts: list[int], numbers: array, index: dict[str, int], n_parts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row with the chunk's documents, and one for each part with its words."""
-    words = [w.encode("utf-8", "surrogatepass") for w in index]
+    """A row with the chunk's documents, and one for each part with its words.
+
+    Words are numbered anew, the most frequent first: small numbers pack better.
+    """
+    found = np.frombuffer(numbers, np.uint32)
+    by_count = np.argsort(-np.bincount(found, minlength=len(index)), kind="stable")
+    place = np.empty(len(index), np.uint32)
+    place[by_count] = np.arange(len(index))
+    known = list(index)
+    words = [known[i].encode("utf-8", "surrogatepass") for i in by_count]
     parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.uint32, len(words))
     order = np.argsort(parts, kind="stable")
     edges = np.flatnonzero(np.diff(parts[order])) + 1
     empty = dict.fromkeys(schema.names)
-    rows = [empty | {"chunk": chunk, "doc_ids": ids, "counts": counts, "packed": pack(numbers), "parts": pack(parts)}]
+    rows = [empty | {"chunk": chunk, "doc_ids": ids, "counts": counts, "packed": pack(place[found]), "parts": pack(parts)}]
     for own in np.split(order, edges) if len(order) else []:
         mine = [words[i] for i in own]
         sizes = pack([len(w) for w in mine])

@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masterline.catalog import fragments as sql
-from masterline.catalog.people import _FIRST_POST, f1_post
+from masterline.catalog.people import _MEAN_POST, DRAWS, mean_post
 from masterline.catalog.verbs import r6
 from masterline.operators import aggregates, information, limited_fit, ppmc, reliability
 from masterline.operators.patterns import Codec
 from masterline.plans import em
+from masterline.plans.lineage import cut
 from masterline.sources import fixtures as fx
 
 QUERIES: dict[str, tuple] = {}
-DRAWS, SALT = 20, 47
+SALT = 47
 
 
 def query(oracle: str | None):
@@ -39,8 +40,8 @@ def f1_patterns(spark, sf) -> DataFrame:
     return codec.count(codec.encode(fx.responses(spark, sf), "resp_id"))
 
 
-def raw_scores(spark, sf) -> DataFrame:
-    return ppmc.ppmc_raw_scores(f1_people(spark, sf), form(spark), fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS), SALT)
+def raw_scores(spark, people: DataFrame) -> DataFrame:
+    return ppmc.ppmc_raw_scores(people, form(spark), fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS), SALT)
 
 
 _REP = f"WITH {sql.RESP},\n{sql.draws(DRAWS)},\n{sql.replicates(SALT)}"
@@ -58,12 +59,26 @@ obsq AS (
 
 @query(f"{_RAW} SELECT draw, score, n FROM raw")
 def ppmc_raw_scores(spark, sf):
-    return raw_scores(spark, sf)
+    return raw_scores(spark, f1_people(spark, sf))
+
+
+_NOT_ASKED = "resp_id % 2 = 0 AND item_id > 6"
+
+
+@query(
+    _RAW.replace("AS score FROM truth)", f"AS score FROM truth WHERE NOT ({_NOT_ASKED}))")
+    .replace("FROM held JOIN draw_pi USING (draw, class_id))", f"FROM held JOIN draw_pi USING (draw, class_id) WHERE NOT ({_NOT_ASKED}))")
+    + " SELECT draw, score, n FROM raw"
+)
+def ppmc_raw_scores_missing(spark, sf):
+    """Every second respondent was not given items 7 to 12."""
+    resp = fx.responses(spark, sf).filter(f"NOT ({_NOT_ASKED})")
+    return raw_scores(spark, ppmc.encode_people(resp, form(spark)))
 
 
 @query(f"{_RAW} SELECT score, round(exp, 6) AS n, round((SELECT sum(n) FROM raw r WHERE r.score = expd.score) / {DRAWS}.0, 6) AS n_all FROM expd")
 def score_expected(spark, sf):
-    raw = raw_scores(spark, sf)
+    raw = raw_scores(spark, f1_people(spark, sf))
     every = ppmc.expected_scores(raw, "all").select("score", F.round("n", 6).alias("n_all"))
     return ppmc.expected_scores(raw).select("score", r6("n")).join(every, "score")
 
@@ -75,20 +90,21 @@ def score_observed(spark, sf):
 
 @query(f"{_RAW} SELECT draw, round(chisq, 6) AS chisq FROM chisq")
 def ppmc_chisq(spark, sf):
-    raw = raw_scores(spark, sf)
+    raw = raw_scores(spark, f1_people(spark, sf))
     return ppmc.ppmc_chisq(raw, ppmc.expected_scores(raw)).select("draw", r6("chisq"))
 
 
 @query(f"{_RAW} SELECT floor(ceil(chisq / 2) - 1) * 2.0 AS lo, ceil(chisq / 2) * 2.0 AS hi, count(*) AS n FROM chisq GROUP BY 1, 2")
 def chisq_histogram(spark, sf):
-    raw = raw_scores(spark, sf)
+    raw = raw_scores(spark, f1_people(spark, sf))
     return aggregates.histogram(ppmc.ppmc_chisq(raw, ppmc.expected_scores(raw)), "chisq")
 
 
 @query(f"{_RAW} SELECT round(chisq, 6) AS chisq FROM obsq")
 def obs_chisq(spark, sf):
-    expected = ppmc.expected_scores(raw_scores(spark, sf))
-    return ppmc.observed_chisq(ppmc.observed_scores(fx.responses(spark, sf)), expected).select(r6("chisq"))
+    people = f1_people(spark, sf)
+    expected = ppmc.expected_scores(raw_scores(spark, people))
+    return ppmc.observed_chisq(ppmc.observed_scores_encoded(people, form(spark)), expected).select(r6("chisq"))
 
 
 @query(
@@ -96,17 +112,16 @@ def obs_chisq(spark, sf):
 SELECT round(ppp, 6) AS ppp, ppp > 0.025 AND ppp < 0.975 AS acceptable FROM p"""
 )
 def ppp(spark, sf):
-    raw = raw_scores(spark, sf)
+    people = f1_people(spark, sf)
+    raw = raw_scores(spark, people)
     expected = ppmc.expected_scores(raw)
-    observed = ppmc.observed_chisq(ppmc.observed_scores(fx.responses(spark, sf)), expected)
+    observed = ppmc.observed_chisq(ppmc.observed_scores_encoded(people, form(spark)), expected)
     return ppmc.ppp(ppmc.ppmc_chisq(raw, expected), observed).select(r6("ppp"), "acceptable")
 
 
 @query(
     f"""{_REP},
-pi AS (SELECT item_id, class_id, pi FROM draw_pi WHERE draw = 1),
-nu AS (SELECT class_id, nu FROM draw_nu WHERE draw = 1),
-{sql.POST},
+{sql.MEAN_POST},
 best AS (SELECT resp_id, class_id FROM (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY w DESC, class_id) AS rn FROM post) WHERE rn = 1),
 obs AS (SELECT item_id, class_id, avg(score) AS obs FROM resp JOIN best USING (resp_id) GROUP BY 1, 2),
 r AS (SELECT draw, item_id, class_id, avg(score) AS rep FROM rep GROUP BY 1, 2, 3)
@@ -116,9 +131,9 @@ FROM r LEFT JOIN obs USING (item_id, class_id) GROUP BY 1, 2"""
 )
 def ppmc_conditional(spark, sf):
     codec, pi, nu = form(spark), fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS)
-    replicated = ppmc.replicated_conditional(f1_people(spark, sf), codec, pi, nu, SALT)
-    first = [t.filter("draw = 1").drop("draw") for t in (pi, nu)]
-    observed = ppmc.observed_conditional(fx.responses(spark, sf), codec, *first, fx.N_ATTR)
+    people = f1_people(spark, sf)
+    replicated = ppmc.replicated_conditional(people, codec, pi, nu, SALT)
+    observed = ppmc.observed_conditional(people, codec, pi, nu, fx.N_ATTR)
     out = ppmc.ppmc_conditional(replicated, observed)
     return out.select("item_id", "class_id", *[r6(c) for c in ("obs", "rep_mean", "rep_low", "rep_high", "ppp")])
 
@@ -163,8 +178,9 @@ FROM r LEFT JOIN o USING (item_i, item_j) GROUP BY 1, 2"""
 )
 def ppmc_odds_ratio(spark, sf):
     codec = form(spark)
-    replicated = ppmc.replicated_odds_ratio(f1_people(spark, sf), codec, fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS), SALT)
-    out = ppmc.ppmc_odds_ratio(replicated, ppmc.observed_odds_ratio(f1_patterns(spark, sf), codec))
+    people = f1_people(spark, sf)
+    replicated = ppmc.replicated_odds_ratio(people, codec, fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS), SALT)
+    out = ppmc.ppmc_odds_ratio(replicated, ppmc.observed_odds_ratio(codec.count(people), codec))
     return out.select("item_i", "item_j", "n_undefined", *[r6(c) for c in ("obs", "rep_mean", "rep_low", "rep_high", "ppp")])
 
 
@@ -223,7 +239,7 @@ def waic(spark, sf):
 
 @query(None)
 def psis_loo(spark, sf):
-    return information.psis_loo(pointwise(spark, sf, 200))
+    return information.psis_loo(pointwise(spark, sf))
 
 
 def second_pi(spark) -> DataFrame:
@@ -247,28 +263,44 @@ UNION ALL SELECT 'rival', round(s1, 4), round(least(s1 - s0, 0), 4), CASE WHEN s
 )
 def loo_compare(spark, sf):
     codec = form(spark)
-    patterns = f1_patterns(spark, sf)
-    one = information.waic_pointwise(pointwise(spark, sf))
+    patterns = cut(f1_patterns(spark, sf))
+    one = information.waic_pointwise(
+        information.pointwise_loglik(patterns, codec, fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS))
+    )
     two = information.waic_pointwise(information.pointwise_loglik(patterns, codec, second_pi(spark), fx.draws_nu(spark, DRAWS)))
     out = information.loo_compare({"first": one, "rival": two}, codec.words)
     return out.select("model", *[F.round(c, 4).alias(c) for c in ("elpd", "elpd_diff", "se_diff")], "first_preferred")
 
 
+@query(None)
+def loo_compare_psis(spark, sf):
+    """As ``loo_compare``, on leave-one-out values."""
+    codec = form(spark)
+    patterns = cut(f1_patterns(spark, sf))
+    rivals = {"first": fx.draws_pi(spark, DRAWS), "rival": second_pi(spark)}
+    values = {
+        name: information.psis_pointwise(information.pointwise_loglik(patterns, codec, pi, fx.draws_nu(spark, DRAWS)))
+        for name, pi in rivals.items()
+    }
+    out = information.loo_compare(values, codec.words)
+    return out.select("model", *[F.round(c, 4).alias(c) for c in ("elpd", "elpd_diff", "se_diff")], "first_preferred")
+
+
 # --- reliability -------------------------------------------------------------------------
 
 
 @query(
-    f"""{_FIRST_POST},
+    f"""{_MEAN_POST},
 best AS (SELECT resp_id, class_id AS k FROM (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY w DESC, class_id) AS rn FROM post) WHERE rn = 1),
 c AS (SELECT class_id, k, sum(w) AS m FROM post JOIN best USING (resp_id) GROUP BY 1, 2),
 s AS (SELECT class_id, sum(m) AS size, sum(CASE WHEN k = class_id THEN m ELSE 0 END) AS hit, sum(m * m) AS sq FROM c GROUP BY 1)
 SELECT round(sum(hit) / sum(size), 6) AS p_a, round(sum(sq / size) / sum(size), 6) AS p_c FROM s"""
 )
 def pattern_reliability(spark, sf):
-    return reliability.pattern_reliability(f1_post(spark, sf, first_draw=True), fx.N_ATTR).select(r6("p_a"), r6("p_c"))
+    return reliability.pattern_reliability(mean_post(spark, sf), fx.N_ATTR).select(r6("p_a"), r6("p_c"))
 
 
-_AGREE = f"""{_FIRST_POST},
+_AGREE = f"""{_MEAN_POST},
 {sql.ATTR},
 t AS (SELECT attribute, count(*) AS n, sum(CASE WHEN p >= 0.5 THEN p ELSE 0 END) AS t11, sum(CASE WHEN p < 0.5 THEN p ELSE 0 END) AS t10,
   sum(CASE WHEN p >= 0.5 THEN 1 - p ELSE 0 END) AS t01, sum(CASE WHEN p < 0.5 THEN 1 - p ELSE 0 END) AS t00 FROM attr GROUP BY 1),
@@ -285,17 +317,17 @@ SELECT attribute, round(acc, 6) AS acc, round((acc - pe) / (1 - pe), 6) AS acc_k
   round(c11 / f + c00 / (1 - f) - 1, 6) AS con_youden FROM c"""
 )
 def map_reliability(spark, sf):
-    out = reliability.map_reliability(f1_post(spark, sf, first_draw=True), fx.N_ATTR)
+    out = reliability.map_reliability(mean_post(spark, sf), fx.N_ATTR)
     return out.select("attribute", *[r6(c) for c in reliability.MAP_COLUMNS[1:]])
 
 
 @query(None)
 def map_reliability_tetrachoric(spark, sf):
-    return reliability.map_reliability_tetrachoric(f1_post(spark, sf, first_draw=True), fx.N_ATTR)
+    return reliability.map_reliability_tetrachoric(mean_post(spark, sf), fx.N_ATTR)
 
 
 @query(
-    f"""{_FIRST_POST},
+    f"""{_MEAN_POST},
 {sql.ATTR},
 s AS (SELECT attribute, avg(p) AS m, var_pop(p) AS v, sum(p * p) / sum(p) AS e1, sum(p * (1 - p)) / sum(1 - p) AS e0,
   avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS h FROM attr GROUP BY 1)
@@ -303,5 +335,5 @@ SELECT attribute, round(v / (m * (1 - m)), 6) AS rho_pf, round(m * (1 - m) * (e1
   round(1 - exp(-2 * (-(m * ln(m) + (1 - m) * ln(1 - m)) - h)), 6) AS rho_i FROM s"""
 )
 def eap_reliability(spark, sf):
-    out = reliability.eap_reliability(f1_post(spark, sf, first_draw=True), fx.N_ATTR)
+    out = reliability.eap_reliability(mean_post(spark, sf), fx.N_ATTR)
     return out.select("attribute", r6("rho_pf"), r6("rho_tb"), r6("rho_i"))

@@ -74,10 +74,6 @@ draw_raw AS (SELECT draw, class_id, 0.125 + 0.02 * ({u('draw', 'class_id', 43)}
 draw_nu AS (SELECT draw, class_id, v / sum(v) OVER (PARTITION BY draw) AS nu FROM draw_raw)"""
 
 
-# Parameters of the first draw: no two classes tie under them.
-FIRST = """pi AS (SELECT item_id, class_id, pi FROM draw_pi WHERE draw = 1),
-nu AS (SELECT class_id, nu FROM draw_nu WHERE draw = 1)"""
-
 DRAW_POST = """dll AS (
   SELECT draw, resp_id, class_id, sum(CASE WHEN score = 1 THEN ln(pi) ELSE ln(1 - pi) END) AS ll
   FROM resp JOIN draw_pi USING (item_id) GROUP BY 1, 2, 3),
@@ -87,6 +83,11 @@ dmarg AS (SELECT draw, resp_id, top + ln(sum(exp(lw - top))) AS ll
           FROM dlw JOIN dtop USING (draw, resp_id) GROUP BY draw, resp_id, top)"""
 
 
+# Class posterior averaged over the draws, one row per respondent and class.
+MEAN_POST = """post AS (
+  SELECT resp_id, class_id, avg(exp(lw - ll)) AS w FROM dlw JOIN dmarg USING (draw, resp_id) GROUP BY 1, 2)"""
+
+
 def replicates(salt: int) -> str:
     """rep(draw, resp_id, class_id, item_id, score): replicated answers."""
     return f"""{DRAW_POST},

@@ -181,13 +181,14 @@ def scored_responses(spark, sf):
 # --- classification ------------------------------------------------------------------
 
 
-def f1_post(spark, sf, first_draw: bool = False) -> DataFrame:
-    if first_draw:
-        pi = fx.draws_pi(spark, 1).drop("draw")
-        nu = fx.draws_nu(spark, 1).drop("draw")
-    else:
-        pi, nu = fx.start_pi(spark), fx.start_nu(spark)
-    return scoring.posterior(fx.responses(spark, sf), pi, nu, fx.N_ATTR)
+DRAWS = 500
+
+
+def mean_post(spark, sf) -> DataFrame:
+    """(resp_id, w, p) averaged over all draws: what classification starts from."""
+    codec = em.Codec.of(fx.qmatrix(spark))
+    people = codec.encode(fx.responses(spark, sf), "resp_id")
+    return pd_draws.mean_posterior(people, codec, fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS), fx.N_ATTR)
 
 
 @query(f"{sql.F1_POST} SELECT resp_id, class_id, round(ll, 6) AS ll, round(loglik, 6) AS loglik FROM post")
@@ -219,25 +220,25 @@ def posterior_from_wide(spark, sf):
     return long.select("resp_id", (F.col("k") + 1).alias("attribute"), r6("p"), "loglik")
 
 
-_FIRST_POST = f"WITH {sql.RESP},\n{sql.draws(1)},\n{sql.FIRST},\n{sql.POST}"
+_MEAN_POST = f"WITH {sql.RESP},\n{sql.draws(DRAWS)},\n{sql.DRAW_POST},\n{sql.MEAN_POST}"
 
 
 @query(
-    f"""{_FIRST_POST},
+    f"""{_MEAN_POST},
 {sql.ATTR}
 SELECT resp_id, {', '.join(f'max(CASE WHEN attribute = {k} AND p > 0.5 THEN 1 ELSE 0 END) AS strict_{k}, max(CASE WHEN attribute = {k} AND p >= 0.8 THEN 1 ELSE 0 END) AS high_{k}' for k in (1, 2, 3))}
 FROM attr GROUP BY 1"""
 )
 def attribute_class(spark, sf):
-    post = f1_post(spark, sf, first_draw=True)
+    post = mean_post(spark, sf)
     strict = scoring.classify(post, ["strict_1", "strict_2", "strict_3"], inclusive=False)
     high = scoring.classify(post, ["high_1", "high_2", "high_3"], threshold=0.8)
     return strict.join(high, "resp_id")
 
 
-@query(f"{_FIRST_POST} SELECT resp_id, class_id, round(w, 6) AS prob FROM (SELECT *, rank() OVER (PARTITION BY resp_id ORDER BY w DESC) AS rk FROM post) WHERE rk = 1")
+@query(f"{_MEAN_POST} SELECT resp_id, class_id, round(w, 6) AS prob FROM (SELECT *, rank() OVER (PARTITION BY resp_id ORDER BY w DESC) AS rk FROM post) WHERE rk = 1")
 def map_profile(spark, sf):
-    return scoring.map_profile(f1_post(spark, sf, first_draw=True)).select("resp_id", "class_id", r6("prob"))
+    return scoring.map_profile(mean_post(spark, sf)).select("resp_id", "class_id", r6("prob"))
 
 
 def people(spark, sf) -> DataFrame:
@@ -287,10 +288,7 @@ def relabel(spark, sf):
 
 
 @query(
-    f"""WITH {sql.RESP},
-{sql.draws(1)},
-{sql.FIRST},
-{sql.POST},
+    f"""{_MEAN_POST},
 {sql.ATTR},
 {_EXEMPLARS.replace(sql.CLS + ',', '')},
 {_UNIQUE_EX},
@@ -303,7 +301,7 @@ LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP B
 )
 def result_table(spark, sf):
     attrs = ["att1", "att2", "att3"]
-    classified = scoring.classify(f1_post(spark, sf, first_draw=True), attrs)
+    classified = scoring.classify(mean_post(spark, sf), attrs)
     found = scoring.select_exemplars(targets(spark, sf), people(spark, sf)).filter("resp_id IS NOT NULL")
     unique = found.groupBy("resp_id").agg(F.min("name").alias("name"), F.first("class_id").alias("class_id"), F.first("theta").alias("theta"))
     bits = [F.expr(f"cast(shiftright(class_id, {k}) & 1 as int) AS {a}") for k, a in enumerate(attrs)]
@@ -317,7 +315,7 @@ def result_table(spark, sf):
 
 @query(
     f"""WITH {sql.RESP},
-{sql.draws(3)},
+{sql.draws(DRAWS)},
 {sql.DRAW_POST},
 race AS (SELECT draw, resp_id, class_id, row_number() OVER (PARTITION BY draw, resp_id
   ORDER BY -ln(greatest({sql.u(sql.fold('resp_id', 'draw'), 'class_id', 83)}, 1.0 / 2147483647)) / exp(lw - ll), class_id) AS rn
@@ -329,10 +327,10 @@ SELECT draw, score, count(*) AS n FROM (SELECT draw, resp_id, CAST(sum(score) AS
 def long_form_replicates(spark, sf):
     """The predictive check's steps as separate verbs on long tables: weighted
     class draw, many-to-many join, Bernoulli, totals, counts."""
-    pi, nu = fx.draws_pi(spark, 3), fx.draws_nu(spark, 3)
+    pi, nu = fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS)
     table = scoring.node_table(pi, extra=("draw",))
     ll = scoring.node_loglik(fx.responses(spark, sf), table, ["draw", "resp_id"], fx.N_CLASSES)
-    ll = ll.join(F.broadcast(scoring.log_weights(nu, ("draw",))), "draw")
+    ll = lookup_join(ll, scoring.log_weights(nu, ("draw",)), ["draw"])
     long = scoring.with_posterior(ll, F.col("log_nu")).select("draw", "resp_id", F.posexplode("w").alias("class_id", "w"))
     held = sampling.sample_one(long, ["draw", "resp_id"], "class_id", "w", "resp_id + draw * 1000003", "class_id", 83)
     rows = lookup_join(held, pi, ["draw", "class_id"])
@@ -343,17 +341,38 @@ def long_form_replicates(spark, sf):
 
 @query(
     f"""WITH {sql.RESP},
-{sql.draws(3)},
+{sql.draws(DRAWS)},
 {sql.DRAW_POST}
 SELECT resp_id, class_id, round(avg(exp(lw - ll)), 6) AS w FROM dlw JOIN dmarg USING (draw, resp_id) GROUP BY 1, 2"""
 )
 def draw_mean(spark, sf):
     """Posterior expectation of class probabilities over draws."""
-    table = scoring.node_table(fx.draws_pi(spark, 3), extra=("draw",))
-    ll = scoring.node_loglik(fx.responses(spark, sf), table, ["draw", "resp_id"], fx.N_CLASSES)
-    ll = ll.join(F.broadcast(scoring.log_weights(fx.draws_nu(spark, 3), ("draw",))), "draw")
-    long = scoring.with_posterior(ll, F.col("log_nu")).select("draw", "resp_id", F.posexplode("w").alias("class_id", "w"))
-    return scoring.draw_mean(long, ["resp_id", "class_id"], "w").select("resp_id", "class_id", r6("w"))
+    return mean_post(spark, sf).select("resp_id", F.posexplode("w").alias("class_id", "w")).select("resp_id", "class_id", r6("w"))
+
+
+@query(
+    f"""WITH {sql.RESP},
+{sql.draws(DRAWS)}
+SELECT item_id, class_id, round(avg(pi), 6) AS pi, round(max(nu), 6) AS nu
+FROM draw_pi JOIN (SELECT class_id, avg(nu) AS nu FROM draw_nu GROUP BY 1) USING (class_id) GROUP BY 1, 2"""
+)
+def draw_mean_parameters(spark, sf):
+    """Posterior means of the parameters, from a long table of draws."""
+    pi = scoring.draw_mean(fx.draws_pi(spark, DRAWS), ["item_id", "class_id"], "pi")
+    nu = scoring.draw_mean(fx.draws_nu(spark, DRAWS), ["class_id"], "nu")
+    return pi.join(nu, "class_id").select("item_id", "class_id", r6("pi"), r6("nu"))
+
+
+@query(
+    f"""{sql.F1_POST}
+SELECT c_name AS resp_id, class_id, round(w, 6) AS w FROM post JOIN customer ON c_custkey = resp_id"""
+)
+def class_posterior_by_name(spark, sf):
+    """Respondents known by a text id."""
+    names = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("resp_id"), "c_name")
+    resp = fx.responses(spark, sf).join(names, "resp_id").drop("resp_id").withColumnRenamed("c_name", "resp_id")
+    post = scoring.posterior(resp, fx.start_pi(spark), fx.start_nu(spark), fx.N_ATTR)
+    return post.select("resp_id", F.posexplode("w").alias("class_id", "w")).select("resp_id", "class_id", r6("w"))
 
 
 # --- estimation --------------------------------------------------------------------------
@@ -485,5 +504,5 @@ def eap_theta(spark, sf):
 
 @query(None)
 def fit_2pl(spark, sf):
-    fit = em.fit_2pl(fx.responses(spark, sf), list(range(1, 13)), tol=1e-2)
+    fit = em.fit_2pl(fx.responses(spark, sf), list(range(1, 13)))
     return fit.items.withColumns({"loglik": F.lit(fit.loglik), "n_iter": F.lit(fit.n_iter)})

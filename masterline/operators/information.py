@@ -26,7 +26,7 @@ def pointwise_loglik(patterns: DataFrame, codec: Codec, pi: DataFrame, nu: DataF
     """(words.., n, ll): log-likelihood of each pattern under every draw, as an
     array in draw order.  Row-wise over the patterns, which are spread first, as
     every row is worth many draws; draws are parameters."""
-    blocks = draw_blocks(pi, nu, codec.items)
+    blocks = list(draw_blocks(pi, nu, codec.items))
     patterns = spread(patterns, *codec.words)
     if len(blocks) > 1:
         parts = [_block_loglik(patterns, codec, b).withColumn("part", F.lit(k)) for k, b in enumerate(blocks)]
@@ -57,12 +57,6 @@ def by_respondent(pointwise: DataFrame, people: DataFrame, codec: Codec) -> Data
     return long.select("resp_id", (F.col("position") + 1).alias("draw"), "ll")
 
 
-def to_arrays(long: DataFrame, key: str = "resp_id", draw: str = "draw", value: str = "ll") -> DataFrame:
-    """Long (key, draw, value) to one array per key; its size is the number of draws."""
-    cells = F.sort_array(F.collect_list(F.struct(draw, value)))
-    return long.groupBy(key).agg(cells[value].alias("ll"))
-
-
 def _weight(df: DataFrame) -> Column:
     return F.col("n") if "n" in df.columns else F.lit(1)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from masterline.functions.scalar import inv_logit
-from masterline.operators.scoring import node_blocks, node_loglik, node_table, with_posterior
+from masterline.functions.scalar import CLIP, inv_logit
+from masterline.operators.patterns import Codec
 from masterline.plans.em import NODES, node_log_weights
 from masterline.sources.grid import n_points, with_axis
 
@@ -21,27 +25,61 @@ def icc_grid(items: DataFrame, lo: float = -3.0, hi: float = 3.0, step: float =
     return points.withColumn("prob_0", 1.0 - F.col("prob_1"))
 
 
+def _score_encoded(people: DataFrame, codec: Codec, prob: np.ndarray, pick: Callable, schema: str) -> DataFrame:
+    """Row by row over encoded respondents: log-likelihood at every node by two
+    matrix products, of which ``pick`` keeps what is asked for."""
+    unpack = codec.unpacker()
+    p = np.clip(prob, CLIP, 1 - CLIP)
+    slope, base = np.log(p) - np.log1p(-p), np.log1p(-p)
+    keep = [f for f in people.schema.fields if f.name not in codec.words]
+    names = [f.name for f in keep]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answered, right = unpack(batch)
+            found = pick(right @ slope + answered @ base)
+            columns = [*[batch.column(c) for c in names], *[pa.array(v) for v in found.values()]]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *found])
+
+    return people.mapInArrow(task, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], schema]))
+
+
+def _curves_on_driver(curves: DataFrame, *columns: str) -> tuple[Codec, list[np.ndarray]]:
+    """The test's curves, one row per item, as arrays in order of the items."""
+    rows = curves.select("item_id", *columns).orderBy("item_id").collect()
+    return Codec([r.item_id for r in rows]), [np.array([r[c] for r in rows], float)[:, None] for c in columns]
+
+
 def theta_grid_score(resp: DataFrame, curves: DataFrame, keys: list[str], lo: float = -3.0, hi: float = 3.0, step: float = 0.01) -> DataFrame:
     """(keys.., theta, likelihood): the grid point where the product of a
     respondent's item curves peaks, the first one when tied.
 
-    ``curves`` is (item_id, a, b).  Blocks of 64 grid points are reduced to
-    their own peak before they are compared.
+    ``curves`` is (item_id, a, b).  Answers are shuffled once, as one short row
+    of bit words per respondent; a respondent without an answer gets the first
+    point and likelihood 1.
     """
-    grid = icc_grid(curves, lo, hi, step).select("item_id", "node", F.col("prob_1").alias("pi"))
-    blocks = node_blocks(resp, node_table(grid, "node"), keys, n_points(lo, hi, step))
-    peak = F.expr("struct(-array_max(ll) AS neg, block * 64 + cast(array_position(ll, array_max(ll)) as int) - 1 AS node)")
-    best = blocks.select(*keys, peak.alias("peak")).groupBy(*keys).agg(F.min("peak").alias("best"))
-    return best.select(*keys, (lo + F.col("best.node") * step).alias("theta"), F.exp(-F.col("best.neg")).alias("likelihood"))
+    codec, (a, b) = _curves_on_driver(curves, "a", "b")
+    theta = lo + np.arange(n_points(lo, hi, step)) * step
+
+    def pick(ll):
+        # Peaks closer than rounding are one; the first of them is taken.
+        at = (ll >= ll.max(axis=1, keepdims=True) - 1e-13).argmax(axis=1)
+        return {"theta": theta[at], "likelihood": np.exp(ll.max(axis=1))}
+
+    prob = 1 / (1 + np.exp(-a * (theta - b)))
+    return _score_encoded(codec.encode(resp, *keys), codec, prob, pick, "theta double, likelihood double")
 
 
 def eap_theta(resp: DataFrame, items: DataFrame) -> DataFrame:
     """(resp_id, theta): posterior mean ability under curves (item_id, a, d),
-    logit = a theta + d, and a standard normal prior on 61 nodes."""
-    nodes = F.expr("array(" + ", ".join(f"{v!r}D" for v in NODES.tolist()) + ")")
-    cells = items.select("item_id", "a", "d", F.posexplode(nodes).alias("node", "theta"))
-    cells = cells.select("item_id", "node", inv_logit(F.col("a") * F.col("theta") + F.col("d")).alias("pi"))
-    weights = F.expr("array(" + ", ".join(f"{v!r}D" for v in node_log_weights().tolist()) + ")")
-    post = with_posterior(node_loglik(resp, node_table(cells, "node"), ["resp_id"], len(NODES)), weights)
-    post = post.withColumn("__nodes", nodes)
-    return post.select("resp_id", F.expr("aggregate(zip_with(w, __nodes, (x, t) -> x * t), 0D, (a, v) -> a + v)").alias("theta"))
+    logit = a theta + d, and a standard normal prior on 61 nodes; a respondent
+    without an answer gets the prior's mean."""
+    codec, (a, d) = _curves_on_driver(items, "a", "d")
+    nodes, weights = NODES, node_log_weights()
+
+    def pick(ll):
+        lw = ll + weights
+        w = np.exp(lw - lw.max(axis=1, keepdims=True))
+        return {"theta": w @ nodes / w.sum(axis=1)}
+
+    return _score_encoded(codec.encode(resp, "resp_id"), codec, 1 / (1 + np.exp(-(a * nodes + d))), pick, "theta double")

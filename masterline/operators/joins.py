@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from masterline.plans.lineage import BROADCAST_ROWS, is_small, range_parts
+from masterline.plans.lineage import BROADCAST_ROWS, is_small, n_partitions, range_parts
 
 On = list  # of "name" or ("left name", "right name")
 
@@ -61,28 +61,30 @@ def full_join_all(dfs: list[DataFrame], on: list[str]) -> DataFrame:
     return stacked.groupBy(*on).agg(*[F.max(f"`{c}`").alias(c) for c in values])
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 32) -> DataFrame:
-    """Inner join where few keys hold most of the left rows: the smaller right
-    side is repeated once per salt and each left row meets one copy of it, so
-    one key is worked on by up to ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int | None = None, how: str = "inner") -> DataFrame:
+    """Join where few keys hold most of the left rows: the smaller right side
+    is repeated once per salt and each left row meets one copy of it, so one
+    key is worked on by up to ``salts`` tasks, by default one for each shuffle
+    partition.
 
     The salt is a hash of the row, not a random number: a task run again after
     a lost executor sends its rows to the same places.
     """
+    salts = salts or n_partitions(left.sparkSession)
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", salt).join(copies, [*on, "__salt"]).drop("__salt")
+    return left.withColumn("__salt", salt).join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of a large table with parameters on few distinct keys:
-    broadcast when counted small, otherwise salted."""
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str], rows: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Join of a large table with parameters on few distinct keys: broadcast
+    when counted small, otherwise salted."""
     if is_small(table, rows):
-        return left.join(F.broadcast(table), on)
-    return salted_join(left, table, on)
+        return left.join(F.broadcast(table), on, how)
+    return salted_join(left, table, on, how=how)
 
 
-def expand_grid(left: DataFrame, right: DataFrame, salts: int = 32) -> DataFrame:
+def expand_grid(left: DataFrame, right: DataFrame, salts: int | None = None) -> DataFrame:
     """Every left row with every row of the (smaller) right table; the product
     is the result asked for, and the salts are what it is distributed by."""
     return salted_join(left, right, [], salts)
@@ -101,16 +103,20 @@ def _carry(rows: DataFrame, keys: list[str], value: str, payload: Column) -> Dat
     part; what crosses a part boundary comes from one summary row per part and
     key, so no key is ever gathered in one task.
     """
-    part = Window.partitionBy("__part", *keys).orderBy(value)
-    back = part.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = part.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both windows grow from the start of their order: a frame that ends at the last
+    # row is worked out anew for every row, one that begins at the first is not.
+    part = Window.partitionBy("__part", *keys)
+    back = part.orderBy(F.asc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = part.orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edges = rows.groupBy("__part", *keys).agg(F.max(payload).alias("__hi"), F.min(payload).alias("__lo"))
-    parts = Window.partitionBy(*keys).orderBy("__part")
+    parts = Window.partitionBy(*keys)
+    earlier = parts.orderBy(F.asc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = parts.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         "__part",
         *keys,
-        F.max("__hi").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"),
-        F.min("__lo").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
+        F.max("__hi").over(earlier).alias("__prev"),
+        F.min("__lo").over(later).alias("__next"),
     )
     inside = rows.withColumns({"__at_or_before": F.max(payload).over(back), "__at_or_after": F.min(payload).over(ahead)})
     right, pairs = _prepare(edges, ["__part", *keys])

@@ -74,9 +74,10 @@ def fit_m2(patterns: DataFrame, pi: DataFrame, nu: DataFrame, q_masks: dict[int,
     codec = Codec(list(q_masks))
     n_items = len(codec.items)
     place = {item: k for k, item in enumerate(codec.items)}
-    rows = pair_margins(patterns, codec).collect()
-    if len({r.n for r in rows}) != 1:
+    held = " + ".join(f"bit_count(a{w})" for w in range(codec.n_words))
+    if not patterns.filter(F.expr(f"{held} < {n_items}")).isEmpty():
         raise ValueError("M2 needs complete responses")
+    rows = pair_margins(patterns, codec).collect()
     total = rows[0].n
     first, second = np.zeros(n_items), np.zeros((n_items, n_items))
     for r in rows:
@@ -90,7 +91,12 @@ def fit_m2(patterns: DataFrame, pi: DataFrame, nu: DataFrame, q_masks: dict[int,
     cell = np.array([np.prod(p[list(s)], axis=0) for s in sets])
     model_margin = cell @ share
     observed = np.array([*first, *[second[i, j] for i, j in pairs]])
-    union = np.array([[np.prod(p[sorted({*a, *b})], axis=0) @ share for b in sets] for a in sets])
+    # Joint margins: a product of two cells, but an item that both hold counts once.
+    union = (cell * share) @ cell.T
+    for i in range(n_items):
+        own = np.array([k for k, s in enumerate(sets) if i in s])
+        union[np.ix_(own, own)] = (cell[own] * (share / p[i])) @ cell[own].T
+    np.fill_diagonal(union, model_margin)
     xi = union - np.outer(model_margin, model_margin)
     columns = []
     for i, mask in enumerate(q_masks.values()):
@@ -104,6 +110,8 @@ def fit_m2(patterns: DataFrame, pi: DataFrame, nu: DataFrame, q_masks: dict[int,
             columns.append(col)
     columns += [cell[:, c] - cell[:, 0] for c in range(1, len(share))]
     d = np.column_stack(columns)
+    if len(sets) <= d.shape[1]:
+        raise ValueError("M2 needs more margins than parameters")
     inv = np.linalg.inv(xi)
     project = inv - inv @ d @ np.linalg.pinv(d.T @ inv @ d) @ d.T @ inv
     e = observed - model_margin

@@ -41,13 +41,19 @@ class Codec:
 
     def encode(self, resp: DataFrame, *keys: str) -> DataFrame:
         """(item_id, score) rows -> one row of words per key; OR has map-side
-        partials, so what is shuffled is one short row per key and map task."""
-        placed = resp.filter(F.col("score").isNotNull()).join(F.broadcast(self._table(resp.sparkSession)), "item_id")
-        aggs = []
+        partials, so what is shuffled is one short row per key and map task.
+
+        A NULL answer keeps its key.  An item that is not on the list, or one
+        answered twice by a key, fails the job."""
+        placed = resp.join(F.broadcast(self._table(resp.sparkSession)), "item_id", "left")
+        placed = placed.withColumn("__b", F.expr("coalesce(__b, raise_error(concat('not an item of the form: ', item_id)))"))
+        aggs = [F.count("score").alias("__answers")]
         for w in range(self.n_words):
-            aggs.append(F.expr(f"bit_or(if(__w = {w}, shiftleft(1L, __b), 0L)) AS a{w}"))
+            aggs.append(F.expr(f"bit_or(if(__w = {w} AND score IS NOT NULL, shiftleft(1L, __b), 0L)) AS a{w}"))
             aggs.append(F.expr(f"bit_or(if(__w = {w} AND score = 1, shiftleft(1L, __b), 0L)) AS x{w}"))
-        return placed.groupBy(*keys).agg(*aggs)
+        held = " + ".join(f"bit_count(a{w})" for w in range(self.n_words))
+        once = F.expr(f"if(__answers = {held}, a0, raise_error('an item answered twice by one respondent'))")
+        return placed.groupBy(*keys).agg(*aggs).withColumn("a0", once).drop("__answers")
 
     def encode_wide(self, wide: DataFrame, *keys: str) -> DataFrame:
         """Words from a wide table with one 0/1 column per item: row by row, so

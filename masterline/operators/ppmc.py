@@ -14,26 +14,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from masterline.functions.hashing import PRIME
 from masterline.functions.scalar import CLIP
 from masterline.operators.aggregates import sum_strict
 from masterline.operators.joins import complete, full_join, left_join
 from masterline.operators.patterns import Codec
-from masterline.operators.scoring import first_class, log_weights, node_loglik, node_table, with_posterior
+from masterline.operators.scoring import first_class
 from masterline.operators.verbs import union_all
-from masterline.plans.draws import DrawBlock, draw_blocks
+from masterline.plans.draws import DrawBlock, draw_blocks, mean_posterior
 from masterline.plans.lineage import cut, spread
 
 
-def encode_people(resp: DataFrame, codec: Codec) -> DataFrame:
-    """(resp_id, words..), spread evenly for the draws to multiply and stored:
-    every check starts from it and none goes back to the responses."""
-    return cut(spread(codec.encode(resp, "resp_id"), "resp_id"))
+def encode_people(resp: DataFrame, codec: Codec, id_col: str = "resp_id") -> DataFrame:
+    """(id, draw_key, words..), spread evenly for the draws to multiply and
+    stored: every check starts from it and none goes back to the responses.
+
+    Random numbers hang on ``draw_key``, which is the id itself or, where that
+    is no integer, its hash."""
+    whole = isinstance(resp.schema[id_col].dataType, IntegralType)
+    key = F.col(id_col).cast("bigint") if whole else F.pmod(F.xxhash64(id_col), F.lit(PRIME))
+    return cut(spread(codec.encode(resp, id_col), id_col).withColumn("draw_key", key))
 
 
 def _replicator(codec: Codec, block: DrawBlock, salt: int) -> Callable:
-    """Function from a batch of respondents to (draw index, class, answers)."""
+    """Function from a batch of respondents to (draw index, class, answers,
+    answered); only what a respondent was asked and answered is replicated."""
     unpack, items = codec.unpacker(), np.array(codec.items, dtype=np.int64)
     ids, pi, nu = block.ids, block.pi, block.nu
     clipped = np.clip(pi, CLIP, 1 - CLIP)
@@ -47,7 +54,8 @@ def _replicator(codec: Codec, block: DrawBlock, salt: int) -> Callable:
 
     def replicate(batch):
         answered, right = unpack(batch)
-        resp = batch.column("resp_id").to_numpy().astype(np.int64)
+        resp = batch.column("draw_key").to_numpy().astype(np.int64)
+        asked = answered > 0
         for d, draw in enumerate(ids):
             lw = right @ slope[d] + answered @ base[d] + log_nu[d]
             w = np.exp(lw - lw.max(axis=1, keepdims=True))
@@ -56,47 +64,54 @@ def _replicator(codec: Codec, block: DrawBlock, salt: int) -> Callable:
             u = uniforms(r, np.int64(0), salt)
             held = (cum[:, :-1] <= (u * cum[:, -1])[:, None]).sum(axis=1)
             p = pi[d].T[held]
-            yield d, held, (uniforms(r[:, None], items[None, :], salt + 1) < p)
+            yield d, held, (uniforms(r[:, None], items[None, :], salt + 1) < p) & asked, asked
 
     return replicate
 
 
 def _summed(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, salt: int, shape: Callable, add: Callable) -> DataFrame:
-    """Run ``add(sums, class, answers)`` over all replicates: (draw, cell, v).
+    """Run ``add(sums, class, answers, answered)`` over all replicates: (draw, cell, v).
 
     The result is of parameter size and several statistics read it, so it is
     stored: the replicates are drawn once.
     """
     out = []
-    for block in draw_blocks(pi, nu, codec.items):
-        replicate = _replicator(codec, block, salt)
-        ids, size = block.ids, shape(len(codec.items), block.nu.shape[1])
+    n_classes = nu.select("class_id").distinct().count()
+    size = shape(len(codec.items), n_classes)
+    for block in draw_blocks(pi, nu, codec.items, size):
+        replicate, ids = _replicator(codec, block, salt), block.ids
 
         def task(batches: Iterator[pa.RecordBatch], replicate=replicate, ids=ids, size=size) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((len(ids), size))
             for batch in batches:
-                for d, held, answers in replicate(batch):
-                    add(sums[d], held, answers)
+                for d, held, answers, asked in replicate(batch):
+                    add(sums[d], held, answers, asked)
             d, cell = np.nonzero(sums)
             cols = [pa.array(ids[d], pa.int32()), pa.array(cell, pa.int32()), pa.array(sums[d, cell].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, ["draw", "cell", "v"])
 
         parts = people.mapInArrow(task, "draw int, cell int, v bigint")
-        out.append(parts.groupBy("draw", "cell").agg(F.sum("v").alias("v")))
-    return cut(union_all(out))
+        # Stored block by block, so that the driver lets go of each before the next.
+        out.append(cut(parts.groupBy("draw", "cell").agg(F.sum("v").alias("v"))))
+    return union_all(out)
 
 
 def ppmc_raw_scores(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, salt: int) -> DataFrame:
-    """(draw, score, n): respondents at each total score, per draw; a score no
-    respondent reaches has no row."""
+    """(draw, score, n): respondents at each total score over the items they
+    answered, per draw; a score no respondent reaches has no row."""
 
-    def add(sums, held, answers):
+    def add(sums, held, answers, asked):
         sums += np.bincount(answers.sum(axis=1), minlength=len(sums))
 
     cells = _summed(people, codec, pi, nu, salt, lambda items, classes: items + 1, add)
     return cells.select("draw", F.col("cell").alias("score"), F.col("v").alias("n"))
 
 
+def observed_scores_encoded(people: DataFrame, codec: Codec) -> DataFrame:
+    """(score, n) of encoded respondents, over the items they answered."""
+    return people.groupBy(codec.total_score().cast("int").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def observed_scores(resp: DataFrame) -> DataFrame:
     """(score, n) of the data; an unanswered (NULL) score makes a NULL total."""
     totals = resp.groupBy("resp_id").agg(sum_strict(F.col("score")).cast("int").alias("score"))
@@ -137,31 +152,31 @@ def ppp(replicated: DataFrame, observed: DataFrame, lo: float = 0.025, hi: float
 
 
 def replicated_conditional(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, salt: int) -> DataFrame:
-    """(draw, item_id, class_id, rep): share right by drawn class."""
+    """(draw, item_id, class_id, rep): share right by drawn class, among those
+    who answered the item."""
+    n = len(codec.items)
 
-    def add(sums, held, answers):
-        table = sums.reshape(-1, answers.shape[1] + 1)
+    def add(sums, held, answers, asked):
+        table = sums.reshape(-1, 2 * n)
         member = np.eye(len(table))[held]
-        table[:, 0] += member.sum(axis=0)
-        table[:, 1:] += member.T @ answers
-
-    cells = _summed(people, codec, pi, nu, salt, lambda items, classes: classes * (items + 1), add)
-    width = len(codec.items) + 1
-    wide = cells.groupBy("draw", F.expr(f"cast(cell div {width} as int) AS class_id")).agg(
-        F.expr(f"sum(if(cell % {width} = 0, v, 0L)) AS total"),
-        *[F.expr(f"sum(if(cell % {width} = {i + 1}, v, 0L)) AS r{i}") for i in range(len(codec.items))],
+        table[:, :n] += member.T @ asked
+        table[:, n:] += member.T @ answers
+
+    cells = _summed(people, codec, pi, nu, salt, lambda items, classes: 2 * classes * items, add)
+    items = "array(" + ", ".join(str(i) for i in codec.items) + ")"
+    placed = cells.groupBy("draw", F.expr(f"cast(cell div {2 * n} as int) AS class_id"), F.expr(f"cast(cell % {n} as int) AS i"))
+    rows = placed.agg(
+        F.expr(f"sum(if(cell % {2 * n} < {n}, v, 0L)) AS total"), F.expr(f"sum(if(cell % {2 * n} < {n}, 0L, v)) AS hits")
     )
-    rows = ", ".join(f"struct({item} AS item_id, r{i} / total AS rep)" for i, item in enumerate(codec.items))
-    return wide.selectExpr("draw", "class_id", f"inline(array({rows}))")
+    return rows.selectExpr("draw", f"get({items}, i) AS item_id", "class_id", "hits / total AS rep")
 
 
-def observed_conditional(resp: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
-    """(item_id, class_id, obs): share right among respondents placed in their
-    most likely class under the given parameters."""
-    people = codec.encode(resp, "resp_id")
-    keys = ["resp_id", *codec.words]
-    post = with_posterior(node_loglik(codec.decode(people), node_table(pi), keys, 2**n_attr), log_weights(nu).scalar())
-    rows = codec.decode(post.withColumn("class_id", first_class(F.col("w"))).select(*keys, "class_id"))
+def observed_conditional(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
+    """(item_id, class_id, obs): share right among the encoded respondents
+    placed in the class that is most likely on average over the draws."""
+    kept = people.select(*codec.words, *[F.col(w).alias(f"__{w}") for w in codec.words])
+    placed = mean_posterior(kept, codec, pi, nu, n_attr).withColumn("class_id", first_class(F.col("w")))
+    rows = codec.decode(placed.select("class_id", *[F.col(f"__{w}").alias(w) for w in codec.words]))
     return rows.groupBy("item_id", "class_id").agg(F.avg("score").alias("obs"))
 
 
@@ -213,9 +228,9 @@ def replicated_odds_ratio(people: DataFrame, codec: Codec, pi: DataFrame, nu: Da
     """(draw, item_i, item_j, rep), one row per pair and draw."""
     n = len(codec.items)
 
-    def add(sums, held, answers):
+    def add(sums, held, answers, asked):
         x = answers.astype(float)
-        y = 1.0 - x
+        y = asked - x
         sums += np.concatenate([(x.T @ x).ravel(), (x.T @ y).ravel(), (y.T @ y).ravel()])
 
     cells = _summed(people, codec, pi, nu, salt, lambda items, classes: 3 * items * items, add)

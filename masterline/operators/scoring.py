@@ -31,10 +31,13 @@ def node_blocks(resp: DataFrame, table: DataFrame, keys: list[str], n_nodes: int
     """(keys.., block, ll): log-likelihood of each key's answers at the nodes.
 
     One aggregation with a column per node, so answers are not multiplied by
-    the number of nodes, only by the number of 64-node blocks.
+    the number of nodes, only by the number of 64-node blocks.  A NULL answer
+    adds nothing but keeps its respondent; an item without parameters fails.
     """
-    answers = lookup_join(resp.filter("score IS NOT NULL"), table, ["item_id"])
-    sums = (f"sum(if(score = 1, get(lp, {j}), get(lq, {j})))" for j in range(min(n_nodes, BLOCK)))
+    answers = lookup_join(resp, table, ["item_id"], how="left")
+    known = F.expr("coalesce(lp, raise_error(concat('no parameters for item ', item_id)))")
+    answers = answers.withColumn("lp", known)
+    sums = (f"sum(if(score IS NULL, 0D, if(score = 1, get(lp, {j}), get(lq, {j}))))" for j in range(min(n_nodes, BLOCK)))
     ll = F.expr(f"array_compact(array({', '.join(sums)})) AS ll")
     if n_nodes <= BLOCK:
         # Grouped by the keys alone: the result stays partitioned by them, and
@@ -89,7 +92,8 @@ class Prediction(NamedTuple):
 
 
 def posterior(resp: DataFrame, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
-    """(resp_id, w, p, loglik) for every respondent with an answer."""
+    """(resp_id, w, p, loglik) for every respondent; one whose answers are all
+    NULL has the class proportions."""
     post = class_loglik(resp, pi, nu, n_attr)
     return post.select("resp_id", "w", attribute_probs("w", n_attr).alias("p"), "loglik")
 
@@ -104,11 +108,6 @@ def draw_mean(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     return draws.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def array_mean(x: Column) -> Column:
-    """Expectation over draws held in an array."""
-    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.size(x)
-
-
 def map_profile(post: DataFrame) -> DataFrame:
     """(resp_id, class_id, prob) of the most likely class; ties all kept.
 

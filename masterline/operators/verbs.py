@@ -96,16 +96,20 @@ def to_wide(df: DataFrame, ids: list[str], name: str, value: str, names: list) -
     return df.groupBy(*ids).agg(*cells)
 
 
-def nest(df: DataFrame, keys: list[str], cols: list[str], name: str = "data", limit: int = 100_000) -> DataFrame:
-    """One row per key with its records in an array.
+def nest(df: DataFrame, keys: list[str], cols: list[str], name: str = "data") -> DataFrame:
+    """One row per key with all its records in a sorted array.
 
-    A key with more than ``limit`` records gets several rows, its records dealt
-    out by hash: nothing is dropped, ``unnest`` gives the same table back, and
-    no task holds a group of any size.
+    The array is a value of one row, so this is for keys whose records fit one;
+    ``nest_parts`` is for keys of any size.
     """
-    sized = add_count(df.select(*keys, *cols), *keys, name="__n")
-    deal = F.pmod(F.xxhash64(*cols), F.ceil(F.col("__n") / limit)).alias("__part")
-    return sized.groupBy(*keys, deal).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name)).drop("__part")
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+
+
+def nest_parts(df: DataFrame, keys: list[str], cols: list[str], parts: int, name: str = "data") -> DataFrame:
+    """As :func:`nest`, with every key's records dealt out by their hash to rows
+    numbered ``part``, 0 to parts - 1 (a part without records has no row)."""
+    part = F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int").alias("part")
+    return df.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
 
 
 def unnest(df: DataFrame, col: str) -> DataFrame:

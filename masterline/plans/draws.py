@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masterline.operators.patterns import Codec
+from masterline.operators.scoring import attribute_probs
 from masterline.operators.sampling import merge_chains
 from masterline.plans.em import DcmFit, add_up, batch_posterior, class_groups, n_tasks, parameters_on_driver
 
@@ -33,25 +34,59 @@ class DrawBlock(NamedTuple):
     nu: np.ndarray
 
 
-def draw_blocks(pi: DataFrame, nu: DataFrame, items: list[int], max_cells: int = 8_000_000) -> list[DrawBlock]:
-    """Split draws into blocks of at most ``max_cells`` probabilities (64 MB).
+def draw_blocks(
+    pi: DataFrame, nu: DataFrame, items: list[int], sums: int = 0, max_cells: int = 8_000_000
+) -> Iterator[DrawBlock]:
+    """Draws in blocks of at most ``max_cells`` numbers (64 MB), one at a time.
 
-    Draws are parameters: their size is draws x items x classes and does not
-    grow with the respondents.  Each block is fetched by its own filter.
+    A draw takes items x classes probabilities or, where that is more, the
+    ``sums`` that a task keeps for it.  Draws are parameters and do not grow
+    with the respondents; each block is fetched by its own filter when it is
+    asked for.
     """
     shares = nu.select("draw", "class_id", "nu").toPandas().sort_values(["draw", "class_id"])
     ids = np.unique(shares["draw"].to_numpy())
     shares = shares["nu"].to_numpy().reshape(len(ids), -1)
     n_classes = shares.shape[1]
-    step = max(1, max_cells // (len(items) * n_classes))
-    blocks = []
+    step = max(1, max_cells // max(len(items) * n_classes, sums))
     for at in range(0, len(ids), step):
         part = ids[at : at + step]
         wanted = F.col("draw").between(int(part[0]), int(part[-1])) & F.col("item_id").isin(items)
         p = pi.filter(wanted).select("draw", "item_id", "class_id", "pi").toPandas()
         p = p.sort_values(["draw", "item_id", "class_id"])["pi"].to_numpy()
-        blocks.append(DrawBlock(part, p.reshape(len(part), len(items), n_classes), shares[at : at + step]))
-    return blocks
+        yield DrawBlock(part, p.reshape(len(part), len(items), n_classes), shares[at : at + step])
+
+
+def mean_posterior(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
+    """(other columns.., w, p): class and attribute probabilities of encoded
+    respondents, averaged over the draws.
+
+    Row by row inside tasks: a respondent is never multiplied by draws.  Several
+    blocks of draws are several steps of one pass, each adding to ``w``.
+    """
+    keep = [f for f in people.schema.fields if f.name not in codec.words]
+    n_draws = nu.select("draw").distinct().count()
+
+    def adder(block: DrawBlock, first: bool):
+        solvers = [batch_posterior(codec, p, np.log(np.maximum(v, 1e-300))) for p, v in zip(block.pi, block.nu)]
+        names = people.columns
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                w = sum(solve(batch)[2] for solve in solvers) / n_draws
+                if not first:
+                    w = w + batch.column("w").flatten().to_numpy().reshape(w.shape)
+                ends = pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(w.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], [*names, "w"])
+
+        return task
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in people.schema.fields], "w array<double>"])
+    out = people
+    for k, block in enumerate(draw_blocks(pi, nu, codec.items)):
+        out = out.mapInArrow(adder(block, k == 0), schema)
+    return out.select(*[f"`{f.name}`" for f in keep], "w", attribute_probs("w", n_attr).alias("p"))
 
 
 class ScoreInfo(NamedTuple):

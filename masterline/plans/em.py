@@ -23,7 +23,14 @@ from masterline.operators.scoring import attribute_probs
 from masterline.plans.lineage import cut
 
 
+#: Iterations after which a fit that has not converged is given up as an error.
+GIVE_UP, NEWTON_STEPS = 5000, 200
+
+
 class DcmFit(NamedTuple):
+    """``loglik`` is that of ``pi`` and ``nu`` if ``converged``; a fit stopped by
+    ``max_iter`` has taken one more M-step since."""
+
     pi: DataFrame
     nu: DataFrame
     loglik: float
@@ -32,6 +39,7 @@ class DcmFit(NamedTuple):
     model: str
     q_masks: dict[int, int]
     n_attr: int
+    converged: bool = True
 
 
 class Irt2plFit(NamedTuple):
@@ -39,6 +47,7 @@ class Irt2plFit(NamedTuple):
     loglik: float
     n_iter: int
     history: list[float]
+    converged: bool = True
 
 
 PATTERNS_PER_TASK = 50_000
@@ -176,14 +185,17 @@ def main_effects(total: np.ndarray, right: np.ndarray, q_mask: int, n_attr: int)
     x = np.column_stack([np.ones(len(classes)), *[(classes >> k) & 1 for k in bits]])
     mean = np.clip(right.sum() / max(total.sum(), 1e-12), 0.01, 0.99)
     beta = np.r_[np.log(mean / (1 - mean)), np.zeros(len(bits))]
-    for _ in range(50):
+    for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(-x @ beta))
         info = (x * (total * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(len(beta))
-        move = np.clip(np.linalg.solve(info, x.T @ (right - total * p)), -2, 2)
+        slope = x.T @ (right - total * p)
+        move = np.clip(np.linalg.solve(info, slope), -2, 2)
         beta = beta + move
-        if np.abs(move).max() < 1e-10:
-            break
-    return 1 / (1 + np.exp(-x @ beta))
+        # What the step can gain is the measure: near 0 and 1 the effects move on
+        # by rounding alone.
+        if abs(move @ slope) < 1e-12 * max(1.0, total.sum()) or np.abs(move).max() < 1e-10:
+            return 1 / (1 + np.exp(-x @ beta))
+    raise ArithmeticError(f"no maximum for an item's main effects in {NEWTON_STEPS} steps")
 
 
 def q_masks_of(q: DataFrame) -> dict[int, int]:
@@ -196,12 +208,14 @@ def fit_dcm(
     n_attr: int,
     model: str = "lcdm",
     tol: float = 1e-6,
-    max_iter: int = 1000,
+    max_iter: int | None = None,
     patterns: DataFrame | None = None,
 ) -> DcmFit:
     """Estimate class proportions and item probabilities.
 
-    Stops when an iteration raises the log-likelihood by less than ``tol``.
+    Stops when an iteration raises the log-likelihood by less than ``tol``; not
+    getting there in ``GIVE_UP`` iterations is an error.  ``max_iter`` stops
+    earlier, with ``converged`` false.
     """
     spark = resp.sparkSession
     q_masks = q_masks_of(q)
@@ -210,19 +224,23 @@ def fit_dcm(
     tasks = n_tasks(patterns)
     pi, nu = model_start(model, masks, n_attr), np.full(2**n_attr, 0.5**n_attr)
     history: list[float] = []
-    while len(history) < max_iter:
+    converged = False
+    while len(history) < (max_iter or GIVE_UP):
         total, right, mass, loglik = expected_counts(patterns, codec, pi, np.log(np.maximum(nu, 1e-300)), tasks)
+        history.append(loglik)
+        converged = len(history) > 1 and history[-1] - history[-2] < tol
+        if converged:
+            break
         if model == "crum":
             pi = np.array([main_effects(t, r, m, n_attr) for t, r, m in zip(total, right, masks)])
         else:
             groups = [class_groups(model, m, n_attr) for m in masks]
             pi = np.array([grouped_ratio(*row) for row in zip(total, right, groups, pi)])
         pi, nu = np.clip(pi, CLIP, 1 - CLIP), mass / mass.sum()
-        history.append(loglik)
-        if len(history) > 1 and history[-1] - history[-2] < tol:
-            break
+    if not converged and max_iter is None:
+        raise ArithmeticError(f"no convergence in {GIVE_UP} iterations")
     tables = pi_table(spark, codec.items, pi), nu_table(spark, nu)
-    return DcmFit(*tables, history[-1], len(history), history, model, q_masks, n_attr)
+    return DcmFit(*tables, history[-1], len(history), history, model, q_masks, n_attr, converged)
 
 
 def pi_table(spark: SparkSession, items: list[int], pi: np.ndarray) -> DataFrame:
@@ -264,7 +282,7 @@ def curve_mode(total: np.ndarray, right: np.ndarray, a: float, d: float) -> tupl
         return (right * z - total * np.logaddexp(0, z)).sum() - s * s / 2 - s - d * d / 8
 
     s = np.log(a)
-    for _ in range(50):
+    for _ in range(NEWTON_STEPS):
         slope = np.exp(s)
         p = 1 / (1 + np.exp(-(slope * NODES + d)))
         e, v = right - total * p, total * p * (1 - p)
@@ -275,28 +293,33 @@ def curve_mode(total: np.ndarray, right: np.ndarray, a: float, d: float) -> tupl
         while size > 1e-8 and value(s + size * move[0], d + size * move[1]) < old:
             size /= 2
         s, d = s + size * move[0], d + size * move[1]
-        if np.abs(size * move).max() < 1e-10:
-            break
-    return float(np.exp(s)), float(d)
+        if np.abs(size * move).max() < 1e-8:
+            return float(np.exp(s)), float(d)
+    raise ArithmeticError(f"no mode of an item's curve in {NEWTON_STEPS} steps")
 
 
-def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int = 500) -> Irt2plFit:
+def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int | None = None) -> Irt2plFit:
     """Two-parameter curves, logit = a * theta + d, theta ~ N(0, 1): the same
     E-step with 61 grid points in place of classes.  ``history`` is the
-    penalised log-likelihood, which EM never lowers."""
+    penalised log-likelihood, which EM never lowers.  ``tol``, ``max_iter`` and
+    ``converged`` as in :func:`fit_dcm`."""
     spark = resp.sparkSession
     codec = Codec(sorted(items))
     patterns = pattern_table(resp, codec)
     tasks = n_tasks(patterns)
     a, d = np.ones(len(codec.items)), np.zeros(len(codec.items))
     history: list[float] = []
-    while len(history) < max_iter:
+    converged = False
+    while len(history) < (max_iter or GIVE_UP):
         pi = 1 / (1 + np.exp(-(a[:, None] * NODES + d[:, None])))
         total, right, _, loglik = expected_counts(patterns, codec, pi, node_log_weights(), tasks)
         history.append(float(loglik + (-np.log(a) ** 2 / 2 - np.log(a) - d**2 / 8).sum()))
-        if len(history) > 1 and history[-1] - history[-2] < tol:
+        converged = len(history) > 1 and history[-1] - history[-2] < tol
+        if converged:
             break
         solved = [curve_mode(*row) for row in zip(total, right, a, d)]
         a, d = np.array([s[0] for s in solved]), np.array([s[1] for s in solved])
+    if not converged and max_iter is None:
+        raise ArithmeticError(f"no convergence in {GIVE_UP} iterations")
     table = pa.table({"item_id": pa.array(codec.items, pa.int32()), "a": pa.array(a), "d": pa.array(d)})
-    return Irt2plFit(spark.createDataFrame(table), history[-1], len(history), history)
+    return Irt2plFit(spark.createDataFrame(table), history[-1], len(history), history, converged)

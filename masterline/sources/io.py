@@ -99,7 +99,9 @@ def fit_or_load(spark: SparkSession, path: str, fit_fn: Callable[[], dict[str, D
     """
     try:
         names = [r.name for r in spark.read.parquet(f"{path}/tables").collect()]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # an unreadable store is not an absent one
+            raise
         tables = fit_fn()
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masterline.llm.common import n_partitions, store
-from masterline.llm.packing import binary_rows, gather, pack, unpack, unzip_bytes, zip_bytes
+from masterline.llm.packing import binary_rows, gather, pack, pack_ranks, unpack, unpack_ranks, unzip_bytes, zip_bytes
 from masterline.llm.packing import blocks as blocks_of
 
 #: Characters of text in a chunk; a longer document is a chunk by itself.
@@ -63,11 +63,11 @@ def _chunk_rows(chunk: int, ids: list, counts: list[int], numbers: array, index:
     order = np.argsort(parts, kind="stable")
     edges = np.flatnonzero(np.diff(parts[order])) + 1
     empty = dict.fromkeys(schema.names)
-    rows = [empty | {"chunk": chunk, "doc_ids": ids, "counts": counts, "packed": pack(place[found]), "parts": pack(parts)}]
+    rows = [empty | {"chunk": chunk, "doc_ids": ids, "counts": counts, "packed": pack_ranks(place[found]), "parts": pack(parts)}]
     for own in np.split(order, edges) if len(order) else []:
         mine = [words[i] for i in own]
         sizes = pack([len(w) for w in mine])
-        rows.append(empty | {"chunk": chunk, "part": int(parts[own[0]]), "words": zip_bytes(b"".join(mine)), "sizes": sizes})
+        rows.append(empty | {"chunk": chunk, "part": int(parts[own[0]]), "words": zip_bytes(b"".join(mine), 5), "sizes": sizes})
     yield pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -133,7 +133,7 @@ def _assemble(id_type: pa.DataType):
             lengths, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             lengths[order] = np.concatenate([unpack(r["lengths"]) for r in found] or [np.empty(0, np.int64)])
             starts[order] = np.cumsum(lengths[order]) - lengths[order]
-            counts, words = np.array(row["counts"], np.int64), unpack(row["packed"])
+            counts, words = np.array(row["counts"], np.int64), unpack_ranks(row["packed"])
             ends = np.cumsum(counts)
             for part in blocks_of(counts, BLOCK):
                 first = ends[part.start] - counts[part.start]

@@ -9,8 +9,8 @@ import pyarrow as pa
 import zstandard
 
 
-def zip_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def zip_bytes(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unzip_bytes(data: bytes) -> bytes:
@@ -29,6 +29,22 @@ def unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def pack_ranks(numbers) -> bytes:
+    """Numbers of which most are small, as of words numbered by frequency: those from
+    255 on stand in a list of their own."""
+    flat = np.asarray(numbers, "<u4")
+    small = np.minimum(flat, 255).astype(np.uint8)
+    head = zip_bytes(small.tobytes())
+    return len(head).to_bytes(8, "little") + head + pack(flat[small == 255] - np.uint32(255))
+
+
+def unpack_ranks(data: bytes) -> np.ndarray:
+    stop = 8 + int.from_bytes(data[:8], "little")
+    out = np.frombuffer(unzip_bytes(data[8:stop]), np.uint8).astype("<u4")
+    out[out == 255] += unpack(data[stop:])
+    return out
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces flat[s : s + n] one after another."""
     shift = starts - (np.cumsum(lengths) - lengths)

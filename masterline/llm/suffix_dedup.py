@@ -126,7 +126,7 @@ def _chunks(shared, length: int, n_parts: int, chunk_bytes: int):
             out.append(
                 empty
                 | {"chunk": chunk, "part": int(parts[own[0]]), "texts": zip_bytes(b"".join(mine)), "sizes": pack([len(t) for t in mine], "<u2")}
-                | {"anchors": pack([facts[i][0] for i in own], "<u8"), "ids": pack([facts[i][1] for i in own], "<i8")}
+                | {"anchors": pack([facts[i][0] >> 32 for i in own]), "ids": pack([facts[i][1] for i in own], "<i8")}
             )
         yield pa.RecordBatch.from_pylist(out, SCHEMA)
 
@@ -247,7 +247,7 @@ def _sort(length: int, sort_bytes: int):
             for row in batch.to_pylist():
                 data, own = unzip_bytes(row["texts"]), []
                 end = 0
-                for size, anchor, doc_id in zip(unpack(row["sizes"], "<u2").tolist(), unpack(row["anchors"], "<u8").tolist(), unpack(row["ids"], "<i8").tolist(), strict=True):
+                for size, anchor, doc_id in zip(unpack(row["sizes"], "<u2").tolist(), unpack(row["anchors"]).tolist(), unpack(row["ids"], "<i8").tolist(), strict=True):
                     text = data[end : end + size]
                     end += size
                     k = index.setdefault(text, len(ids))
@@ -261,9 +261,10 @@ def _sort(length: int, sort_bytes: int):
         if not ids:
             return
         texts, all_ids = list(index), np.array(ids)
-        # Pieces under one minimizer are sorted together, several minimizers at once.
-        order = np.argsort(np.array(anchors, np.uint64), kind="stable")
-        keys = np.array(anchors, np.uint64)[order]
+        # Pieces under one minimizer are sorted together, several minimizers at once. Half
+        # a hash stands for it: minimizers that share it are only sorted together, too.
+        order = np.argsort(np.array(anchors, np.uint32), kind="stable")
+        keys = np.array(anchors, np.uint32)[order]
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.array([len(t) for t in texts])[order]
         totals = np.add.reduceat(sizes, edges)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masterline.llm import bpe, decontaminate, embedding_dedup, hard_negatives, language_id, line_dedup, ngram_join, quality, sharding, suffix_dedup, token_counts
+from masterline.llm import bpe, decontaminate, embedding_dedup, hard_negatives, html_extraction, language_id, lexical_search, line_dedup, ngram_join, quality, sharding, suffix_dedup, token_counts
 from masterline.llm.common import table
 
 SHARDS = 24
@@ -132,6 +132,35 @@ QUALIFY rank <= 10
 """
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH terms AS (
+  SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM documents
+  UNION ALL
+  SELECT 'i', item_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+counted AS (SELECT kind, id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf
+            FROM terms GROUP BY ALL),
+lengths AS (SELECT id, sum(tf)::BIGINT AS n FROM counted WHERE kind = 'd' GROUP BY id),
+sums AS (SELECT count(*) AS docs, sum(n)::BIGINT AS occurrences FROM lengths),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM counted WHERE kind = 'd' GROUP BY term), sums),
+norms AS (SELECT id, 75 + (25 * n * docs) // occurrences AS m FROM lengths, sums),
+scores AS (SELECT i.id AS item_id, d.id AS doc_id, sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * m)))::BIGINT AS score
+           FROM counted i JOIN weights USING (term) JOIN counted d USING (term) JOIN norms ON norms.id = d.id
+           WHERE i.kind = 'i' AND d.kind = 'd' GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_sharding": (op2_sharding, None),
@@ -144,4 +173,6 @@ QUERIES = {
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_decontamination": (op10_decontamination, None),
     "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_lexical_search": (op12_lexical_search, OP12_SQL),
+    "op13_html_extraction": (op13_html_extraction, None),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masterline.catalog import fragments as sql
-from masterline.catalog.people import _MEAN_POST, DRAWS, mean_post
+from masterline.catalog.people import _MEAN_POST, DRAWS, EM_TOL, _em_fit_sql, mean_post
 from masterline.catalog.verbs import r6
 from masterline.operators import aggregates, information, limited_fit, ppmc, reliability
 from masterline.operators.patterns import Codec
@@ -193,20 +193,63 @@ def pair_margins(spark, sf):
     return out.select("item_i", "item_j", "n", r6("p_i"), r6("p_j"), r6("p_ij"))
 
 
-@query(None)
-def m2(spark, sf):
-    """M2 of the general model and of its conjunctive restriction."""
+def _m2_fits(spark, sf) -> list:
     codec, q = form(spark), fx.qmatrix(spark)
     resp = fx.responses(spark, sf)
     patterns = em.pattern_table(resp, codec)
-    rows = []
+    out = []
     for name in ("lcdm", "dina"):
-        fit = em.fit_dcm(resp, q, fx.N_ATTR, name, patterns=patterns)
-        got = limited_fit.fit_m2(patterns, fit.pi, fit.nu, fit.q_masks, fx.N_ATTR, name)
-        rows.append((name, *map(float, got[:5]), got.acceptable))
+        fit = em.fit_dcm(resp, q, fx.N_ATTR, name, patterns=patterns, **EM_TOL)
+        out.append((name, limited_fit.fit_m2(patterns, fit.pi, fit.nu, fit.q_masks, fx.N_ATTR, name)))
+    return out
+
+
+@query(None)
+def m2(spark, sf):
+    """M2 of the general model and of its conjunctive restriction."""
+    rows = [(name, *map(float, got[:5]), got.acceptable) for name, got in _m2_fits(spark, sf)]
     return spark.createDataFrame(rows, "model string, m2 double, df double, p_value double, rmsea double, srmsr double, acceptable boolean")
 
 
+@query(
+    f"""{sql.F1_POST}, p AS ({_pairs('resp')}),
+o AS (SELECT item_i, item_j, n11 + n10 + n01 + n00 AS n, (n11 + n10) / (n11 + n10 + n01 + n00) AS a, (n11 + n01) / (n11 + n10 + n01 + n00) AS b,
+  n11 / (n11 + n10 + n01 + n00) AS ab FROM p),
+m AS (SELECT x.item_id AS item_i, y.item_id AS item_j, sum(x.pi * nu) AS a, sum(y.pi * nu) AS b, sum(x.pi * y.pi * nu) AS ab
+  FROM pi x JOIN pi y ON x.class_id = y.class_id AND x.item_id < y.item_id JOIN nu ON nu.class_id = x.class_id GROUP BY 1, 2)
+SELECT o.item_i, o.item_j, o.n, round(o.ab, 6) AS p_ij, round(m.ab, 6) AS model_ij,
+  round((o.ab - o.a * o.b) / sqrt(o.a * (1 - o.a) * o.b * (1 - o.b)), 6) AS r_ij,
+  round((m.ab - m.a * m.b) / sqrt(m.a * (1 - m.a) * m.b * (1 - m.b)), 6) AS model_r_ij
+FROM o JOIN m USING (item_i, item_j)"""
+)
+def margin_residuals(spark, sf):
+    """Observed and modelled second-order margins at given parameters."""
+    out = limited_fit.margin_residuals(f1_patterns(spark, sf), form(spark), fx.start_pi(spark), fx.start_nu(spark))
+    return out.select("item_i", "item_j", "n", *[r6(c) for c in ("p_ij", "model_ij", "r_ij", "model_r_ij")])
+
+
+_FITTED = {name: _em_fit_sql(name) for name in ("lcdm", "dina")}
+
+
+def _srmsr_sql(name: str) -> str:
+    groups = {"lcdm": "1 << bit_count(q_mask)", "dina": "2"}[name]
+    return f"""(SELECT '{name}' AS model, 78 - 7 - CAST((SELECT sum({groups}) FROM items) AS INTEGER) AS df, round(sqrt(avg((r - mr) * (r - mr))), 6) AS srmsr FROM (
+  {_FITTED[name]},
+  p AS ({_pairs('resp')}),
+  o AS (SELECT item_i, item_j, n11 / t AS ab, (n11 + n10) / t AS a, (n11 + n01) / t AS b FROM (SELECT *, n11 + n10 + n01 + n00 AS t FROM p)),
+  m AS (SELECT x.item_id AS item_i, y.item_id AS item_j, sum(x.pi * x.nu) AS a, sum(y.pi * x.nu) AS b, sum(x.pi * y.pi * x.nu) AS ab
+    FROM fit x JOIN fit y ON x.class_id = y.class_id AND x.item_id < y.item_id GROUP BY 1, 2)
+  SELECT (o.ab - o.a * o.b) / sqrt(o.a * (1 - o.a) * o.b * (1 - o.b)) AS r, (m.ab - m.a * m.b) / sqrt(m.a * (1 - m.a) * m.b * (1 - m.b)) AS mr
+  FROM o JOIN m USING (item_i, item_j)))"""
+
+
+@query(f"WITH {sql.ITEMS} {_srmsr_sql('lcdm')} UNION ALL {_srmsr_sql('dina')}")
+def m2_srmsr(spark, sf):
+    """Degrees of freedom and SRMSR of two fitted models."""
+    got = [(name, fit.df, round(fit.srmsr, 6)) for name, fit in _m2_fits(spark, sf)]
+    return spark.createDataFrame(got, "model string, df int, srmsr double")
+
+
 # --- relative fit -------------------------------------------------------------------
 
 _DLL = f"WITH {sql.RESP},\n{sql.draws(DRAWS)},\n{sql.DRAW_POST}"

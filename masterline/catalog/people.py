@@ -386,7 +386,7 @@ SELECT item_id, class_id, round(m.pi, 6) AS pi, round(nu, 6) AS nu, round((SELEC
 FROM items CROSS JOIN classes JOIN m USING (item_id) JOIN v USING (class_id) WHERE class_id & q_mask = g"""
 )
 def em_one_step(spark, sf):
-    fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, max_iter=1)
+    fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, max_iter=1, accelerate=False)
     both = fit.pi.join(fit.nu, "class_id")
     return both.select("item_id", "class_id", r6("pi"), r6("nu"), F.lit(round(fit.loglik, 4)).alias("loglik"))
 
@@ -422,7 +422,7 @@ nu{k + 1} AS (SELECT class_id, avg(w) AS nu FROM w{k} GROUP BY 1)"""
 
 def _em_steps_query(name: str):
     def run(spark, sf):
-        fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, name, max_iter=3)
+        fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, name, max_iter=3, accelerate=False)
         both = fit.pi.join(fit.nu, "class_id")
         return both.select("item_id", "class_id", r6("pi"), r6("nu"), F.lit(round(fit.loglik, 4)).alias("loglik"))
 
@@ -434,28 +434,127 @@ for _name in _GROUP:
     _em_steps_query(_name)
 
 
+# One Newton step from the probabilities at hand for an item on two attributes without an
+# interaction; t, r by (first, second) attribute held.  EM with such steps has the same optimum.
+_CRUM = """ef AS (SELECT item_id, q_mask,
+    (SELECT min(k) FROM range(3) b(k) WHERE (q_mask >> k) & 1 = 1) AS k1, (SELECT max(k) FROM range(3) b(k) WHERE (q_mask >> k) & 1 = 1) AS k2
+    FROM items WHERE bit_count(q_mask) = 2),
+  gr AS (SELECT item_id, (c.class_id >> k1) & 1 AS g1, (c.class_id >> k2) & 1 AS g2, sum(t) AS t, sum(r) AS r, max(c.pi) AS p
+    FROM cnt c JOIN ef USING (item_id) GROUP BY 1, 2, 3),
+  nw AS (SELECT item_id, sum(t * p * (1 - p)) AS a, sum(g1 * t * p * (1 - p)) AS b, sum(g2 * t * p * (1 - p)) AS c, sum(g1 * g2 * t * p * (1 - p)) AS d,
+      sum(r - t * p) AS e, sum(g1 * (r - t * p)) AS f, sum(g2 * (r - t * p)) AS h,
+      max(CASE WHEN g1 = 0 AND g2 = 0 THEN ln(p / (1 - p)) END) AS l0, max(CASE WHEN g1 = 1 AND g2 = 0 THEN ln(p / (1 - p)) END) AS l1,
+      max(CASE WHEN g1 = 0 AND g2 = 1 THEN ln(p / (1 - p)) END) AS l2 FROM gr GROUP BY 1),
+  dt AS (SELECT *, a * (b * c - d * d) - b * (b * c - d * c) + c * (b * d - b * c) AS det FROM nw),
+  mv AS (SELECT item_id, l0, l1, l2, (e * (b * c - d * d) - b * (f * c - d * h) + c * (f * d - b * h)) / det AS m0,
+      (a * (f * c - d * h) - e * (b * c - d * c) + c * (b * h - f * c)) / det AS m1,
+      (a * (b * h - f * d) - b * (b * h - f * c) + e * (b * d - b * c)) / det AS m2 FROM dt),
+  two AS (SELECT c.item_id, c.class_id, 1 / (1 + exp(-(l0 + m0 + ((c.class_id >> k1) & 1) * (l1 - l0 + m1) + ((c.class_id >> k2) & 1) * (l2 - l0 + m2)))) AS pi
+    FROM cnt c JOIN ef USING (item_id) JOIN mv USING (item_id)),"""
+
+
+def _em_fit_sql(name: str) -> str:
+    """Plain EM as a recursive table over the distinct patterns, until nothing moves."""
+    g = _GROUP["lcdm" if name == "crum" else name]
+    start = f"0.2 + 0.6 * {g}" if name in ("dina", "dino") else "0.2 + 0.6 * bit_count(class_id & q_mask) / bit_count(q_mask)"
+    pi = "coalesce(two.pi, ratio.pi)" if name == "crum" else "ratio.pi"
+    pi = f"greatest(least({pi}, 0.999999), 0.000001)"
+    return f"""WITH RECURSIVE {sql.RESP},
+{sql.CLASSES},
+pat AS (SELECT x, count(*) AS n FROM (SELECT resp_id, CAST(sum(score << (item_id - 1)) AS BIGINT) AS x FROM resp GROUP BY 1) GROUP BY 1),
+em(it, item_id, class_id, pi, nu, moved) AS (
+  SELECT 0, item_id, class_id, CAST({start} AS DOUBLE), CAST(0.125 AS DOUBLE), CAST(1 AS DOUBLE) FROM items, classes
+  UNION ALL
+  (WITH cur AS (SELECT * FROM em WHERE moved > 1e-11 AND it < 3000),
+  lw AS (SELECT x, n, class_id, ln(max(nu)) + sum(CASE WHEN (x >> (item_id - 1)) & 1 = 1 THEN ln(pi) ELSE ln(1 - pi) END) AS lw FROM pat, cur GROUP BY 1, 2, 3),
+  w AS (SELECT x, class_id, n * exp(lw - max(lw) OVER p) / sum(exp(lw - top)) OVER p AS w
+    FROM (SELECT *, max(lw) OVER (PARTITION BY x) AS top FROM lw) WINDOW p AS (PARTITION BY x)),
+  cnt AS (SELECT c.item_id, q_mask, c.class_id, max(c.pi) AS pi, sum(w) AS t, sum(CASE WHEN (x >> (c.item_id - 1)) & 1 = 1 THEN w ELSE 0 END) AS r
+    FROM cur c JOIN items USING (item_id) JOIN w USING (class_id) GROUP BY 1, 2, 3),
+  {_CRUM if name == 'crum' else ''}
+  ratio AS (SELECT item_id, class_id, sum(r) OVER g / sum(t) OVER g AS pi FROM cnt WINDOW g AS (PARTITION BY item_id, {g})),
+  shares AS (SELECT class_id, sum(w) / (SELECT sum(n) FROM pat) AS nu FROM w GROUP BY 1),
+  new AS (SELECT c.it + 1 AS it, c.item_id, c.class_id, {pi} AS pi, s.nu, greatest(abs({pi} - c.pi), abs(s.nu - c.nu)) AS moved
+    FROM cur c JOIN ratio USING (item_id, class_id) JOIN shares s USING (class_id) {'LEFT JOIN two USING (item_id, class_id)' if name == 'crum' else ''})
+  SELECT it, item_id, class_id, pi, nu, max(moved) OVER () FROM new)),
+fit AS (SELECT * FROM em WHERE it = (SELECT max(it) FROM em)),
+ll AS (SELECT x, n, class_id, ln(max(nu)) + sum(CASE WHEN (x >> (item_id - 1)) & 1 = 1 THEN ln(pi) ELSE ln(1 - pi) END) AS lw FROM pat, fit GROUP BY 1, 2, 3),
+one AS (SELECT x, max(n) AS n, max(lw) AS top FROM ll GROUP BY 1),
+mll AS (SELECT sum(n * m) AS loglik FROM (SELECT x, max(one.n) AS n, max(top) + ln(sum(exp(lw - top))) AS m FROM ll JOIN one USING (x) GROUP BY 1))"""
+
+
+EM_TOL = {"tol": 1e-8, "step_tol": 1e-9}
+
+
 def _em_query(name: str):
     def run(spark, sf):
-        fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, name)
+        fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, name, **EM_TOL)
         both = fit.pi.join(fit.nu, "class_id")
-        return both.select("item_id", "class_id", "pi", "nu", F.lit(fit.loglik).alias("loglik"), F.lit(fit.n_iter).alias("n_iter"))
+        return both.select("item_id", "class_id", F.round("pi", 5).alias("pi"), F.round("nu", 5).alias("nu"), F.lit(round(fit.loglik, 4)).alias("loglik"))
 
     run.__name__ = f"em_fit_{name}"
-    query(None)(run)
+    query(f"{_em_fit_sql(name)} SELECT item_id, class_id, round(pi, 5) AS pi, round(nu, 5) AS nu, round(loglik, 4) AS loglik FROM fit, mll")(run)
 
 
 for _name in model.MODELS:
     _em_query(_name)
 
 
-@query(None)
+def _hash_normal(r: str, k: str, salt: int) -> str:
+    return f"(sqrt(-2 * ln(greatest({sql.u(r, k, salt)}, 1.0 / 2147483647))) * cos(2 * pi() * {sql.u(r, k, salt + 1)}))"
+
+
+# Scores at the estimate, their information, its Cholesky factor column by column, the
+# factor's inverse row by row, and draws from both.
+_DRAWN = f"""{_em_fit_sql('lcdm')},
+par AS (SELECT CAST(row_number() OVER (ORDER BY item_id, g) - 1 AS INTEGER) AS p, item_id, g, pi
+  FROM (SELECT item_id, class_id & q_mask AS g, max(pi) AS pi FROM fit JOIN items USING (item_id) GROUP BY 1, 2)),
+shr AS (SELECT CAST((SELECT count(*) FROM par) + class_id - 1 AS INTEGER) AS p, class_id, nu FROM (SELECT DISTINCT class_id, nu FROM fit) WHERE class_id > 0),
+wt AS (SELECT x, max(n) OVER (PARTITION BY x) AS n, class_id, exp(lw - top) / sum(exp(lw - top)) OVER (PARTITION BY x) AS w
+  FROM (SELECT *, max(lw) OVER (PARTITION BY x) AS top FROM ll)),
+score AS (
+  SELECT x, max(n) AS n, p, sum(w) * (max((x >> (item_id - 1)) & 1) - max(pi)) AS s
+  FROM wt JOIN items ON true JOIN par USING (item_id) WHERE class_id & q_mask = g GROUP BY x, p
+  UNION ALL SELECT x, n, p, w - nu FROM wt JOIN shr USING (class_id)),
+info AS (SELECT a.p AS i, b.p AS j, sum(a.n * a.s * b.s) + CASE WHEN a.p = b.p THEN 0.001 ELSE 0 END AS v FROM score a JOIN score b USING (x) GROUP BY 1, 2),
+chol(k, i, j, v) AS (
+  SELECT 0, i, j, v FROM info
+  UNION ALL
+  (WITH c AS (SELECT * FROM chol), l AS (SELECT i, v / sqrt((SELECT v FROM c WHERE i = k AND j = k)) AS l FROM c WHERE j = k)
+  SELECT c.k + 1, c.i, c.j, c.v - a.l * b.l FROM c JOIN l a ON a.i = c.i JOIN l b ON b.i = c.j WHERE c.i > c.k AND c.j > c.k)),
+root AS (SELECT c.i, c.k AS j, c.v / sqrt(d.v) AS v FROM chol c JOIN chol d ON d.k = c.k AND d.i = c.k AND d.j = c.k WHERE c.j = c.k),
+inv(k, i, j, v) AS (
+  SELECT 0, 0, 0, 1 / v FROM root WHERE i = 0 AND j = 0
+  UNION ALL
+  (WITH m AS (SELECT * FROM inv), r AS (SELECT root.* FROM root WHERE i = (SELECT max(k) + 1 FROM m)),
+  made AS (SELECT m.j, -sum(r.v * m.v) / (SELECT v FROM r WHERE i = j) AS v FROM m JOIN r ON r.j = m.i GROUP BY 1)
+  SELECT k + 1, i, j, v FROM m WHERE EXISTS (FROM r)
+  UNION ALL SELECT (SELECT max(k) + 1 FROM m), (SELECT max(k) + 1 FROM m), j, v FROM made
+  UNION ALL SELECT i, i, i, 1 / v FROM r WHERE i = j)),
+back AS (SELECT i, j, v FROM inv WHERE k = (SELECT max(k) FROM inv)),
+drw AS (SELECT CAST(range AS INTEGER) AS draw FROM range(1, 501)),
+noise AS (SELECT draw, q.i AS q, {_hash_normal('draw', 'q.i', 89)} AS z FROM drw, (SELECT DISTINCT i FROM back) q),
+theta AS (SELECT draw, back.j AS p, sum(back.v * z) AS dev FROM noise JOIN back ON back.i = noise.q GROUP BY 1, 2),
+cells AS (SELECT draw, par.item_id, c.class_id, 1 / (1 + exp(-(ln(par.pi / (1 - par.pi)) + dev))) AS pi
+  FROM theta JOIN par USING (p) JOIN items USING (item_id), classes c WHERE c.class_id & q_mask = g),
+lognu AS (SELECT draw, class_id, ln(nu / (SELECT max(nu) FROM fit WHERE class_id = 0)) + dev AS v FROM theta JOIN shr USING (p) UNION ALL SELECT draw, 0, 0 FROM drw),
+shares2 AS (SELECT draw, class_id, exp(v) / sum(exp(v)) OVER (PARTITION BY draw) AS nu FROM lognu)"""
+
+
+@query(
+    f"""{_DRAWN}
+SELECT c.item_id, c.class_id, round(avg(c.pi), 4) AS mean, round(stddev_samp(c.pi), 4) AS sd, round(avg(s.nu), 4) AS mean_nu, round(stddev_samp(s.nu), 4) AS sd_nu
+FROM cells c JOIN shares2 s USING (draw, class_id) GROUP BY 1, 2"""
+)
 def approx_draws(spark, sf):
-    """Mean and spread of 500 normal-approximation draws of every probability."""
+    """Mean and spread of 500 normal-approximation draws of every probability and share."""
     codec = em.Codec.of(fx.qmatrix(spark))
     patterns = em.pattern_table(fx.responses(spark, sf), codec)
-    fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, patterns=patterns)
+    fit = em.fit_dcm(fx.responses(spark, sf), fx.qmatrix(spark), fx.N_ATTR, patterns=patterns, **EM_TOL)
     made = pd_draws.approx_draws(fit, patterns, 500, 89)
-    return made.pi.groupBy("item_id", "class_id").agg(F.avg("pi").alias("mean"), F.stddev_samp("pi").alias("sd"))
+    spread = lambda t, keys, c, a, b: t.groupBy(*keys).agg(F.round(F.avg(c), 4).alias(a), F.round(F.stddev_samp(c), 4).alias(b))
+    cells = spread(made.pi, ["item_id", "class_id"], "pi", "mean", "sd")
+    return cells.join(spread(made.nu, ["class_id"], "nu", "mean_nu", "sd_nu"), "class_id")
 
 
 # --- item-response companion ---------------------------------------------------------------

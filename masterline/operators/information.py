@@ -17,34 +17,41 @@ from pyspark.sql import functions as F
 from masterline.operators.joins import lookup_join
 from masterline.operators.patterns import Codec
 from masterline.operators.verbs import union_all
-from masterline.plans.draws import draw_blocks
-from masterline.plans.em import batch_posterior
-from masterline.plans.lineage import spread
+from masterline.plans.draws import block_posterior, draw_blocks
+from masterline.plans.lineage import cut, spread
 
 
 def pointwise_loglik(patterns: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame) -> DataFrame:
     """(words.., n, ll): log-likelihood of each pattern under every draw, as an
     array in draw order.  Row-wise over the patterns, which are spread first, as
-    every row is worth many draws; draws are parameters."""
-    blocks = list(draw_blocks(pi, nu, codec.items))
+    every row is worth many draws; draws are parameters.
+
+    Blocks of draws come one at a time; where there are several, each one's part is stored
+    before the next is fetched."""
     patterns = spread(patterns, *codec.words)
-    if len(blocks) > 1:
-        parts = [_block_loglik(patterns, codec, b).withColumn("part", F.lit(k)) for k, b in enumerate(blocks)]
-        arrays = F.sort_array(F.collect_list(F.struct("part", "ll")))
-        return union_all(parts).groupBy(*codec.words, "n").agg(F.flatten(arrays["ll"]).alias("ll"))
-    return _block_loglik(patterns, codec, blocks[0])
+    parts = []
+    blocks = draw_blocks(pi, nu, codec.items)
+    block = next(blocks)
+    while block is not None:
+        part, block = _block_loglik(patterns, codec, block), next(blocks, None)
+        if block is None and not parts:
+            return part
+        parts.append(cut(part.withColumn("part", F.lit(len(parts)))))
+    arrays = F.sort_array(F.collect_list(F.struct("part", "ll")))
+    return union_all(parts).groupBy(*codec.words, "n").agg(F.flatten(arrays["ll"]).alias("ll"))
 
 
 def _block_loglik(patterns: DataFrame, codec: Codec, block) -> DataFrame:
-    solvers = [batch_posterior(codec, p, np.log(np.maximum(v, 1e-300))) for p, v in zip(block.pi, block.nu)]
+    solve = block_posterior(codec, block)
     keep = [*codec.words, "n"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ll = np.column_stack([solve(batch)[3] for solve in solvers])
-            ends = pa.array(np.arange(0, ll.size + 1, ll.shape[1]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "ll"])
+            for rows, _, ll in solve(batch):
+                ends = pa.array(np.arange(0, ll.size + 1, ll.shape[1]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(ll.ravel()))
+                some = batch.slice(rows.start, ll.shape[0])
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in keep], lists], [*keep, "ll"])
 
     schema = ", ".join(f"{c} bigint" for c in keep) + ", ll array<double>"
     return patterns.select(*keep).mapInArrow(task, schema)

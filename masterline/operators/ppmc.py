@@ -19,11 +19,11 @@ from pyspark.sql.types import IntegralType
 from masterline.functions.hashing import PRIME
 from masterline.functions.scalar import CLIP
 from masterline.operators.aggregates import sum_strict
-from masterline.operators.joins import complete, full_join, left_join
+from masterline.operators.joins import complete, full_join, left_join, lookup_join
 from masterline.operators.patterns import Codec
 from masterline.operators.scoring import first_class
 from masterline.operators.verbs import union_all
-from masterline.plans.draws import DrawBlock, draw_blocks, mean_posterior
+from masterline.plans.draws import DrawBlock, draw_blocks, pattern_posterior
 from masterline.plans.lineage import cut, spread
 
 
@@ -173,11 +173,27 @@ def replicated_conditional(people: DataFrame, codec: Codec, pi: DataFrame, nu: D
 
 def observed_conditional(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
     """(item_id, class_id, obs): share right among the encoded respondents
-    placed in the class that is most likely on average over the draws."""
-    kept = people.select(*codec.words, *[F.col(w).alias(f"__{w}") for w in codec.words])
-    placed = mean_posterior(kept, codec, pi, nu, n_attr).withColumn("class_id", first_class(F.col("w")))
-    rows = codec.decode(placed.select("class_id", *[F.col(f"__{w}").alias(w) for w in codec.words]))
-    return rows.groupBy("item_id", "class_id").agg(F.avg("score").alias("obs"))
+    placed in the class that is most likely on average over the draws.
+
+    Patterns are counted and placed, and each task adds up answers by class and item."""
+    unpack, items = codec.unpacker(), np.array(codec.items)
+    n_classes = 2**n_attr
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, n_classes, len(items)))
+        for batch in batches:
+            answered, right = unpack(batch)
+            member = np.eye(n_classes)[batch.column("class_id").to_numpy()] * batch.column("n").to_numpy()[:, None]
+            sums += np.stack([member.T @ answered, member.T @ right])
+        c, i = np.nonzero(sums[0])
+        columns = [pa.array(items[i], pa.int32()), pa.array(c, pa.int32()), pa.array(sums[0][c, i]), pa.array(sums[1][c, i])]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "class_id", "total", "hits"])
+
+    counted = cut(codec.count(people))
+    post = pattern_posterior(spread(counted, *codec.words), codec, pi, nu)
+    placed = lookup_join(counted, post, codec.words)
+    rows = placed.select("n", *codec.words, first_class(F.col("w")).alias("class_id")).mapInArrow(task, "item_id int, class_id int, total double, hits double")
+    return rows.groupBy("item_id", "class_id").agg((F.sum("hits") / F.sum("total")).alias("obs"))
 
 
 def _interval(value: str) -> list[Column]:
@@ -197,22 +213,43 @@ def ppmc_conditional(replicated: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def pair_counts(patterns: DataFrame, codec: Codec) -> DataFrame:
-    """(item_i, item_j, n11, n10, n01, n00) for i < j from counted patterns.
+    """(item_i, item_j, n11, n10, n01, n00) for i < j from counted patterns, for each
+    item i that someone answered.
 
-    One row per pattern and item with a column of sums per partner item; item
-    pairs are columns of partial aggregates, never rows.
+    Each task adds up co-occurrences, three items x items products a batch, and
+    returns a row per pair; the plan is the same for any number of items.
     """
-    n = len(codec.items)
-    sums = ", ".join(
-        f"struct({item} AS item_j, sum(n * score * {codec.right(j)}) AS n11, sum(n * score * {codec.answered(j)}) AS ni, "
-        f"sum(n * {codec.right(j)}) AS nj, sum(n * {codec.answered(j)}) AS nn)"
-        for j, item in enumerate(codec.items)
-    )
-    if n == 0:
+    if not codec.items:
         raise ValueError("no items")
-    rows = codec.decode(patterns).groupBy(F.col("item_id").alias("item_i")).agg(F.expr(f"array({sums}) AS row"))
-    cells = rows.select("item_i", F.inline("row")).filter("item_i < item_j")
-    return cells.selectExpr("item_i", "item_j", "n11", "ni - n11 AS n10", "nj - n11 AS n01", "nn - ni - nj + n11 AS n00")
+    unpack = codec.unpacker()
+    first, second = np.triu_indices(len(codec.items), 1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = 0
+        for batch in batches:
+            answered, right = unpack(batch)
+            n = batch.column("n").to_numpy().astype(float)[:, None]
+            sums = sums + np.stack([right.T @ (right * n), right.T @ (answered * n), answered.T @ (answered * n)])
+        if isinstance(sums, int):
+            return
+        both, mixed, asked = sums
+        n11 = both[first, second]
+        n10, n01 = mixed[first, second] - n11, mixed[second, first] - n11
+        n00 = asked[first, second] - n11 - n10 - n01
+        seen = asked[first, first] > 0
+        columns = [pa.array(v[seen].astype(np.int64)) for v in (first, second, n11, n10, n01, n00)]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", "n11", "n10", "n01", "n00"])
+
+    counts = ("n11", "n10", "n01", "n00")
+    parts = patterns.select(*codec.words, "n").mapInArrow(task, "i bigint, j bigint, n11 bigint, n10 bigint, n01 bigint, n00 bigint")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in counts])
+    items = "array(" + ", ".join(str(i) for i in codec.items) + ")"
+    low, high = (f"{f}(get({items}, cast(i as int)), get({items}, cast(j as int)))" for f in ("least", "greatest"))
+    # Items need not be listed in rising order: i < j is by item number.
+    swapped = f"get({items}, cast(i as int)) > get({items}, cast(j as int))"
+    return sums.selectExpr(
+        f"{low} AS item_i", f"{high} AS item_j", "n11", f"if({swapped}, n01, n10) AS n10", f"if({swapped}, n10, n01) AS n01", "n00"
+    )
 
 
 def odds_ratio() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from masterline.functions.hashing import PRIME
+from masterline.operators.joins import lookup_join
 from masterline.operators.patterns import Codec
 from masterline.operators.scoring import attribute_probs
 from masterline.operators.sampling import merge_chains
+from masterline.functions.scalar import CLIP
 from masterline.plans.em import DcmFit, add_up, batch_posterior, class_groups, n_tasks, parameters_on_driver
+from masterline.plans.lineage import cut, spread
 
 
 class Draws(NamedTuple):
@@ -57,36 +61,70 @@ def draw_blocks(
         yield DrawBlock(part, p.reshape(len(part), len(items), n_classes), shares[at : at + step])
 
 
-def mean_posterior(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
-    """(other columns.., w, p): class and attribute probabilities of encoded
-    respondents, averaged over the draws.
+#: Numbers of a task's product of patterns and a block of draws.
+PRODUCT = 2_000_000
 
-    Row by row inside tasks: a respondent is never multiplied by draws.  Several
-    blocks of draws are several steps of one pass, each adding to ``w``.
-    """
-    keep = [f for f in people.schema.fields if f.name not in codec.words]
-    n_draws = nu.select("draw").distinct().count()
 
-    def adder(block: DrawBlock, first: bool):
-        solvers = [batch_posterior(codec, p, np.log(np.maximum(v, 1e-300))) for p, v in zip(block.pi, block.nu)]
-        names = people.columns
+def block_posterior(codec: Codec, block: DrawBlock) -> Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray, np.ndarray]]]:
+    """Function from a batch of patterns to (rows, weights, loglik), some rows at a time:
+    weights are rows x draws x classes, loglik rows x draws.  A batch's words are unpacked
+    once, and its rows meet all draws of the block in one product."""
+    unpack = codec.unpacker()
+    n_draws, n_items, n_classes = block.pi.shape
+    cells = np.clip(block.pi, CLIP, 1 - CLIP).transpose(1, 0, 2).reshape(n_items, n_draws * n_classes)
+    base = np.log1p(-cells)
+    slope, log_nu = np.log(cells) - base, np.log(np.maximum(block.nu, 1e-300))
+    step = max(1, PRODUCT // (n_draws * n_classes))
+
+    def solve(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        answered, right = unpack(batch)
+        for start in range(0, len(right), step):
+            rows = slice(start, start + step)
+            lw = (right[rows] @ slope + answered[rows] @ base).reshape(-1, n_draws, n_classes) + log_nu
+            top = lw.max(axis=2, keepdims=True)
+            lw -= top
+            np.exp(lw, out=lw)
+            s = lw.sum(axis=2, keepdims=True)
+            lw /= s
+            yield rows, lw, (top + np.log(s))[:, :, 0]
+
+    return solve
+
 
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pattern_posterior(patterns: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame) -> DataFrame:
+    """(words.., w): class probabilities of distinct patterns, averaged over the draws and
+    stored.  Blocks of draws come one at a time, and each adds to ``w`` in a job of its own."""
+    n_draws = nu.select("draw").distinct().count()
+    schema = ", ".join([*[f"{c} bigint" for c in codec.words], "w array<double>"])
+    out = patterns.select(*codec.words)
+    for k, block in enumerate(draw_blocks(pi, nu, codec.items)):
+        solve, words, first = block_posterior(codec, block), codec.words, k == 0
+
+        def task(batches: Iterator[pa.RecordBatch], solve=solve, words=words, first=first) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = sum(solve(batch)[2] for solve in solvers) / n_draws
+                if not batch.num_rows:
+                    continue
+                w = np.concatenate([weights.sum(axis=1) for _, weights, _ in solve(batch)]) / n_draws
                 if not first:
-                    w = w + batch.column("w").flatten().to_numpy().reshape(w.shape)
+                    w += batch.column("w").flatten().to_numpy().reshape(w.shape)
                 ends = pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(w.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], [*names, "w"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in words], lists], [*words, "w"])
 
-        return task
+        out = cut(out.mapInArrow(task, schema))
+    return out
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in people.schema.fields], "w array<double>"])
-    out = people
-    for k, block in enumerate(draw_blocks(pi, nu, codec.items)):
-        out = out.mapInArrow(adder(block, k == 0), schema)
-    return out.select(*[f"`{f.name}`" for f in keep], "w", attribute_probs("w", n_attr).alias("p"))
+
+def mean_posterior(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
+    """(other columns.., w, p): class and attribute probabilities of encoded
+    respondents, averaged over the draws.
+
+    Only distinct patterns meet the draws; respondents find theirs by its words.
+    """
+    keep = [f"`{c}`" for c in people.columns if c not in codec.words]
+    patterns = spread(people.select(*codec.words).distinct(), *codec.words)
+    post = pattern_posterior(patterns, codec, pi, nu).withColumn("p", attribute_probs("w", n_attr))
+    return lookup_join(people, post, codec.words).select(*keep, "w", "p")
 
 
 class ScoreInfo(NamedTuple):
@@ -135,38 +173,77 @@ def score_information(fit: DcmFit, patterns: DataFrame) -> ScoreInfo:
     return ScoreInfo(cells[:size], cells[size:].reshape(size, size), groups, offsets)
 
 
+DRAWS_PER_TASK = 64
+
+
+def normal_draws(spark: SparkSession, at: np.ndarray, root: np.ndarray, n: int, salt: int, names: str, rows_of: Callable) -> DataFrame:
+    """Draws 1..n of a normal vector with mean ``at`` and precision ``root`` root', made in tasks.
+
+    The standard normal of (draw, parameter) is a hash of the two and the salt, as
+    :func:`masterline.functions.hashing.normal`, so a task that is run again makes the
+    same draws.  A task takes some draws, solves root' x = z by back substitution and
+    returns ``rows_of(draws, x)``, a batch with the columns ``names``; x has a column
+    per draw.  The triangular factor travels by broadcast: parameters squared numbers.
+    """
+    factor = spark.sparkContext.broadcast((np.ascontiguousarray(at), np.ascontiguousarray(root)))
+    prime = PRIME
+
+    def uniforms(r, k, salt):
+        x = (r % prime * 48271 + k % prime * 69621 + salt) % prime
+        x = (x * x + salt) % prime
+        return (x * x + k % prime * 7919) % prime / float(prime)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = factor.value
+        k = np.arange(len(at), dtype=np.int64)[:, None]
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for start in range(0, len(ids), DRAWS_PER_TASK):
+                some = ids[start : start + DRAWS_PER_TASK]
+                first = np.maximum(uniforms(some[None, :], k, salt), 1.0 / prime)
+                x = np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * uniforms(some[None, :], k, salt + 1))
+                for i in range(len(at) - 1, -1, -1):
+                    x[i] = (x[i] - root[i + 1 :, i] @ x[i + 1 :]) / root[i, i]
+                yield rows_of(some, at[:, None] + x)
+
+    return spark.range(1, n + 1, numPartitions=max(1, -(-n // DRAWS_PER_TASK))).mapInArrow(task, names)
+
+
 def approx_draws(fit: DcmFit, patterns: DataFrame, n: int, salt: int, ridge: float = 1e-3) -> Draws:
     """n draws from the normal approximation at the estimate.
 
     Its precision is the ridged outer-product information; the square root of
-    a parameters x parameters matrix is taken on the driver.
+    a parameters x parameters matrix is taken on the driver, the draws are made in
+    tasks and stored: no draw passes through the driver.
     """
     spark = patterns.sparkSession
     moments = score_information(fit, patterns)
     codec = Codec(list(fit.q_masks))
     pi, nu = parameters_on_driver(fit.pi, fit.nu, codec)
-    firsts = [np.array([row[g == k][0] for k in range(g.max() + 1)]) for row, g in zip(pi, moments.groups)]
-    lam = np.concatenate(firsts)
+    lam = np.concatenate([np.array([row[g == k][0] for k in range(g.max() + 1)]) for row, g in zip(pi, moments.groups)])
+    nu = np.maximum(nu, 1e-300)
     at = np.r_[np.log(lam / (1 - lam)), np.log(nu[1:] / nu[0])]
     root = np.linalg.cholesky(moments.info + ridge * np.eye(len(at)))
-    noise = np.random.default_rng(salt).standard_normal((len(at), n))
-    theta = at[:, None] + np.linalg.solve(root.T, noise)
-    prob = 1 / (1 + np.exp(-theta[: len(lam)]))
-    logit_nu = np.vstack([np.zeros(n), theta[len(lam) :]])
-    share = np.exp(logit_nu - logit_nu.max(axis=0))
-    share = share / share.sum(axis=0)
-    k, ids = len(nu), np.arange(1, n + 1)
-    cells = np.stack([prob[o + g] for o, g in zip(moments.offsets, moments.groups)])  # items x classes x draws
-    items = len(codec.items)
-    pi_rows = {
-        "draw": pa.array(np.repeat(ids, items * k), pa.int32()),
-        "item_id": pa.array(np.tile(np.repeat(codec.items, k), n), pa.int32()),
-        "class_id": pa.array(np.tile(np.arange(k), n * items), pa.int32()),
-        "pi": pa.array(cells.transpose(2, 0, 1).ravel()),
-    }
-    nu_rows = {
-        "draw": pa.array(np.repeat(ids, k), pa.int32()),
-        "class_id": pa.array(np.tile(np.arange(k), n), pa.int32()),
-        "nu": pa.array(share.T.ravel()),
-    }
-    return Draws(spark.createDataFrame(pa.table(pi_rows)), spark.createDataFrame(pa.table(nu_rows)))
+    items, n_lam, n_classes = codec.items, len(lam), len(nu)
+    # Where in x an item's class finds its log-odds.
+    cells = np.stack([o + g for o, g in zip(moments.offsets, moments.groups)])
+
+    def rows_of(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        prob = 1 / (1 + np.exp(-x[:n_lam]))[cells]  # items x classes x draws
+        share = np.exp(np.vstack([np.zeros(len(ids)), x[n_lam:]]) - np.maximum(x[n_lam:].max(axis=0, initial=0), 0))
+        share = share / share.sum(axis=0)
+        lists = np.concatenate([prob, share[None]]).transpose(2, 0, 1).ravel()
+        ends = pa.array(np.arange(0, len(lists) + 1, n_classes), pa.int32())
+        columns = [
+            pa.array(np.repeat(ids, len(items) + 1), pa.int32()),
+            pa.array([*items, None] * len(ids), pa.int32()),
+            pa.ListArray.from_arrays(ends, pa.array(lists)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["draw", "item_id", "p"])
+
+    # One row per draw and item, and one without item for the class proportions.
+    rows = cut(normal_draws(spark, at, root, n, salt, "draw int, item_id int, p array<double>", rows_of))
+    return Draws(
+        rows.where("item_id IS NOT NULL").select("draw", "item_id", F.posexplode("p").alias("class_id", "pi")),
+        rows.where("item_id IS NULL").select("draw", F.posexplode("p").alias("class_id", "nu")),
+    )

@@ -25,11 +25,14 @@ from masterline.plans.lineage import cut
 
 #: Iterations after which a fit that has not converged is given up as an error.
 GIVE_UP, NEWTON_STEPS = 5000, 200
+#: A fall of the log-likelihood by more than this share of it isn't rounding.
+ROUNDING = 1e-11
 
 
 class DcmFit(NamedTuple):
     """``loglik`` is that of ``pi`` and ``nu`` if ``converged``; a fit stopped by
-    ``max_iter`` has taken one more M-step since."""
+    ``max_iter`` has taken one more M-step since.  ``n_iter`` counts E-steps, each a
+    Spark job; ``history`` has the log-likelihoods of the points kept."""
 
     pi: DataFrame
     nu: DataFrame
@@ -202,6 +205,82 @@ def q_masks_of(q: DataFrame) -> dict[int, int]:
     return {r.item_id: r.q_mask for r in q.select("item_id", "q_mask").orderBy("item_id").collect()}
 
 
+class Climb(NamedTuple):
+    point: tuple[np.ndarray, ...]
+    value: float
+    history: list[float]
+    jobs: int
+    converged: bool
+
+
+def climb(
+    step: Callable[..., tuple[float, tuple[np.ndarray, ...]]],
+    start: tuple[np.ndarray, ...],
+    flat: Callable[..., np.ndarray],
+    back: Callable[[np.ndarray], tuple[np.ndarray, ...]],
+    tol: float,
+    step_tol: float | None = None,
+    max_iter: int | None = None,
+    accelerate: bool = True,
+) -> Climb:
+    """Repeat ``step``, which takes a point to its value and to the next point, until a
+    step gains less than ``tol`` and, where given, moves nothing by more than ``step_tol``.
+
+    Each step is a Spark job, so after every two of them the point is thrown on by
+    squared extrapolation along their difference, in the coordinates of ``flat`` and
+    ``back``; it stays there only if the value is no lower, and is thrown less far after
+    a failure.  A step that lowers the value is an error, and so is getting nowhere
+    in ``GIVE_UP`` steps; ``max_iter`` stops earlier.
+    """
+    value, ahead = step(*start)
+    point, history, jobs, reach = start, [value], 1, 1.0
+    while jobs < (max_iter or GIVE_UP):
+        after, beyond = step(*ahead)
+        jobs += 1
+        if after < value - ROUNDING * max(1.0, abs(value)):
+            raise ArithmeticError(f"the log-likelihood fell from {value!r} to {after!r}")
+        history.append(after)
+        here, there = flat(*point), flat(*ahead)
+        small = step_tol is None or np.abs(there - here).max() < step_tol
+        if after - value < tol and small:
+            return Climb(ahead, after, history, jobs, True)
+        if accelerate and jobs < (max_iter or GIVE_UP):
+            first = there - here
+            turn = flat(*beyond) - there - first
+            length = np.clip(np.linalg.norm(first) / max(np.linalg.norm(turn), 1e-300), 1.0, reach)
+            thrown = back(here + 2 * length * first + length * length * turn) if length > 1 else beyond
+            landed, next_one = step(*thrown)
+            jobs += 1
+            if length == reach:
+                reach *= 4
+            if landed >= after:
+                point, value, ahead = thrown, landed, next_one
+                history.append(landed)
+                continue
+            reach = max(1.0, reach / 8)
+        point, value, ahead = ahead, after, beyond
+    if max_iter is None:
+        raise ArithmeticError(f"no convergence in {GIVE_UP} iterations")
+    return Climb(ahead, value, history, jobs, False)
+
+
+def _coordinates(model: str, shape: tuple[int, int]) -> tuple[Callable, Callable]:
+    """Between (pi, nu) and one vector: as they are, where classes of a group share a
+    probability; on the logit scale, where main effects add."""
+    cells = shape[0] * shape[1]
+    additive = model == "crum"
+
+    def flat(pi: np.ndarray, nu: np.ndarray) -> np.ndarray:
+        return np.r_[np.log(pi / (1 - pi)).ravel() if additive else pi.ravel(), nu]
+
+    def back(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pi, nu = x[:cells].reshape(shape), np.maximum(x[cells:], 1e-12)
+        pi = 1 / (1 + np.exp(-np.clip(pi, -700, 700))) if additive else pi
+        return np.clip(pi, CLIP, 1 - CLIP), nu / nu.sum()
+
+    return flat, back
+
+
 def fit_dcm(
     resp: DataFrame,
     q: DataFrame,
@@ -210,37 +289,35 @@ def fit_dcm(
     tol: float = 1e-6,
     max_iter: int | None = None,
     patterns: DataFrame | None = None,
+    step_tol: float | None = None,
+    accelerate: bool = True,
 ) -> DcmFit:
     """Estimate class proportions and item probabilities.
 
-    Stops when an iteration raises the log-likelihood by less than ``tol``; not
-    getting there in ``GIVE_UP`` iterations is an error.  ``max_iter`` stops
-    earlier, with ``converged`` false.
+    Stops when an EM step raises the log-likelihood by less than ``tol`` and, where
+    given, moves no parameter by more than ``step_tol``; not getting there in
+    ``GIVE_UP`` E-steps is an error, as is a fall of the log-likelihood.  ``max_iter``
+    stops earlier, with ``converged`` false.  ``accelerate`` as in :func:`climb`.
     """
     spark = resp.sparkSession
     q_masks = q_masks_of(q)
     codec, masks = Codec(list(q_masks)), list(q_masks.values())
     patterns = pattern_table(resp, codec) if patterns is None else patterns
     tasks = n_tasks(patterns)
-    pi, nu = model_start(model, masks, n_attr), np.full(2**n_attr, 0.5**n_attr)
-    history: list[float] = []
-    converged = False
-    while len(history) < (max_iter or GIVE_UP):
+    groups = [class_groups(model, m, n_attr) for m in masks]
+
+    def step(pi: np.ndarray, nu: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
         total, right, mass, loglik = expected_counts(patterns, codec, pi, np.log(np.maximum(nu, 1e-300)), tasks)
-        history.append(loglik)
-        converged = len(history) > 1 and history[-1] - history[-2] < tol
-        if converged:
-            break
         if model == "crum":
             pi = np.array([main_effects(t, r, m, n_attr) for t, r, m in zip(total, right, masks)])
         else:
-            groups = [class_groups(model, m, n_attr) for m in masks]
             pi = np.array([grouped_ratio(*row) for row in zip(total, right, groups, pi)])
-        pi, nu = np.clip(pi, CLIP, 1 - CLIP), mass / mass.sum()
-    if not converged and max_iter is None:
-        raise ArithmeticError(f"no convergence in {GIVE_UP} iterations")
-    tables = pi_table(spark, codec.items, pi), nu_table(spark, nu)
-    return DcmFit(*tables, history[-1], len(history), history, model, q_masks, n_attr, converged)
+        return loglik, (np.clip(pi, CLIP, 1 - CLIP), mass / mass.sum())
+
+    start = model_start(model, masks, n_attr), np.full(2**n_attr, 0.5**n_attr)
+    got = climb(step, start, *_coordinates(model, start[0].shape), tol, step_tol, max_iter, accelerate)
+    tables = pi_table(spark, codec.items, got.point[0]), nu_table(spark, got.point[1])
+    return DcmFit(*tables, got.value, got.jobs, got.history, model, q_masks, n_attr, got.converged)
 
 
 def pi_table(spark: SparkSession, items: list[int], pi: np.ndarray) -> DataFrame:
@@ -298,28 +375,25 @@ def curve_mode(total: np.ndarray, right: np.ndarray, a: float, d: float) -> tupl
     raise ArithmeticError(f"no mode of an item's curve in {NEWTON_STEPS} steps")
 
 
-def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int | None = None) -> Irt2plFit:
+def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int | None = None, accelerate: bool = True) -> Irt2plFit:
     """Two-parameter curves, logit = a * theta + d, theta ~ N(0, 1): the same
     E-step with 61 grid points in place of classes.  ``history`` is the
-    penalised log-likelihood, which EM never lowers.  ``tol``, ``max_iter`` and
-    ``converged`` as in :func:`fit_dcm`."""
+    penalised log-likelihood, which EM never lowers.  ``tol``, ``max_iter``,
+    ``accelerate`` and ``converged`` as in :func:`fit_dcm`."""
     spark = resp.sparkSession
     codec = Codec(sorted(items))
     patterns = pattern_table(resp, codec)
     tasks = n_tasks(patterns)
-    a, d = np.ones(len(codec.items)), np.zeros(len(codec.items))
-    history: list[float] = []
-    converged = False
-    while len(history) < (max_iter or GIVE_UP):
+
+    def step(a: np.ndarray, d: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
         pi = 1 / (1 + np.exp(-(a[:, None] * NODES + d[:, None])))
         total, right, _, loglik = expected_counts(patterns, codec, pi, node_log_weights(), tasks)
-        history.append(float(loglik + (-np.log(a) ** 2 / 2 - np.log(a) - d**2 / 8).sum()))
-        converged = len(history) > 1 and history[-1] - history[-2] < tol
-        if converged:
-            break
-        solved = [curve_mode(*row) for row in zip(total, right, a, d)]
-        a, d = np.array([s[0] for s in solved]), np.array([s[1] for s in solved])
-    if not converged and max_iter is None:
-        raise ArithmeticError(f"no convergence in {GIVE_UP} iterations")
+        solved = np.array([curve_mode(*row) for row in zip(total, right, a, d)])
+        return float(loglik + (-np.log(a) ** 2 / 2 - np.log(a) - d**2 / 8).sum()), (solved[:, 0], solved[:, 1])
+
+    n = len(codec.items)
+    start = np.ones(n), np.zeros(n)
+    got = climb(step, start, lambda a, d: np.r_[np.log(a), d], lambda x: (np.exp(x[:n]), x[n:]), tol, None, max_iter, accelerate)
+    a, d = got.point
     table = pa.table({"item_id": pa.array(codec.items, pa.int32()), "a": pa.array(a), "d": pa.array(d)})
-    return Irt2plFit(spark.createDataFrame(table), history[-1], len(history), history, converged)
+    return Irt2plFit(spark.createDataFrame(table), got.value, got.jobs, got.history, got.converged)

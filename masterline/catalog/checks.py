@@ -280,9 +280,41 @@ def waic(spark, sf):
     return out.select(*[F.round(c, 4).alias(c) for c in ("elpd_waic", "se", "p_waic", "waic")])
 
 
-@query(None)
+def _psis_sql(source: str, prefix: str) -> str:
+    """{prefix}loo(resp_id, elpd, p, k) from {source}(resp_id, draw, ll), once per answer pattern."""
+    p = prefix
+    return f"""{p}rows AS (SELECT x AS pid, draw, ll FROM {source} JOIN pid USING (resp_id) WHERE resp_id = rid),
+{p}raw AS (SELECT pid, draw, ll, -ll - max(-ll) OVER (PARTITION BY pid) AS lw FROM {p}rows),
+{p}num AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY lw, draw) AS rn, count(*) OVER (PARTITION BY pid) AS s FROM {p}raw),
+{p}tl AS (SELECT *, CAST(ceil(least(s / 5.0, 3 * sqrt(s))) AS INTEGER) AS tail FROM {p}num),
+{p}low AS (SELECT pid, exp(lw) AS low FROM {p}tl WHERE rn = s - tail),
+{p}exc AS (SELECT pid, rn - s + tail AS t, tail AS n, exp(lw) - low AS e FROM {p}tl JOIN {p}low USING (pid) WHERE rn > s - tail),
+{p}ends AS (SELECT pid, max(n) AS n, 30 + CAST(floor(sqrt(max(n))) AS INTEGER) AS m, max(e) AS last, max(CASE WHEN t = greatest(n // 4 - 1, 0) + 1 THEN e END) AS q FROM {p}exc GROUP BY 1),
+{p}grid AS (SELECT pid, n, j, (1 - sqrt(m / (j - 0.5))) / (3 * q) + 1 / last AS b FROM {p}ends, range(1, 200) r(j) WHERE j <= m),
+{p}prof AS (SELECT g.pid, g.j, max(g.n) AS n, max(b) AS b, sum(ln(1 - b * e)) / max(g.n) AS k FROM {p}grid g JOIN {p}exc USING (pid) GROUP BY 1, 2),
+{p}fitted AS (SELECT pid, b, n * (ln(-b / k) - k - 1) AS f, max(n * (ln(-b / k) - k - 1)) OVER (PARTITION BY pid) AS most FROM {p}prof),
+{p}best AS (SELECT pid, sum(b * exp(f - most)) / sum(exp(f - most)) AS best FROM {p}fitted GROUP BY 1),
+{p}mean AS (SELECT pid, max(best) AS best, max(n) AS n, sum(ln(1 - best * e)) / max(n) AS mean FROM {p}exc JOIN {p}best USING (pid) GROUP BY 1),
+{p}gpd AS (SELECT pid, (n * mean + 5) / (n + 10) AS k, -mean / best AS sigma, low FROM {p}mean JOIN {p}low USING (pid)),
+{p}sm AS (SELECT pid, ll, k, CASE WHEN rn <= s - tail THEN lw ELSE least(0, ln(low + sigma * (exp(-k * ln(1 - (rn - s + tail - 0.5) / tail)) - 1) / k)) END AS lw
+  FROM {p}tl JOIN {p}gpd USING (pid)),
+{p}tops AS (SELECT pid, max(lw + ll) AS a, max(lw) AS b, max(ll) AS c FROM {p}sm GROUP BY 1),
+{p}one AS (SELECT pid, max(a) + ln(sum(exp(lw + ll - a))) - max(b) - ln(sum(exp(lw - b))) AS elpd, max(c) + ln(avg(exp(ll - c))) AS lppd, max(k) AS k
+  FROM {p}sm JOIN {p}tops USING (pid) GROUP BY 1),
+{p}loo AS (SELECT resp_id, elpd, lppd - elpd AS p, k FROM {p}one JOIN pid ON x = pid)"""
+
+
+_PID = """pid AS (SELECT resp_id, x, min(resp_id) OVER (PARTITION BY x) AS rid
+  FROM (SELECT resp_id, CAST(sum(score << (item_id - 1)) AS BIGINT) AS x FROM resp GROUP BY 1))"""
+
+
+@query(
+    f"""{_DLL}, {_PID}, {_psis_sql('dmarg', 'a')}
+SELECT round(sum(elpd), 4) AS elpd_loo, round(sqrt(count(*) * var_samp(elpd)), 4) AS se, round(sum(p), 4) AS p_loo, round(max(k), 4) AS max_k, round(-2 * sum(elpd), 4) AS loo FROM aloo"""
+)
 def psis_loo(spark, sf):
-    return information.psis_loo(pointwise(spark, sf))
+    out = information.psis_loo(pointwise(spark, sf))
+    return out.select(*[F.round(c, 4).alias(c) for c in ("elpd_loo", "se", "p_loo", "max_k", "loo")])
 
 
 def second_pi(spark) -> DataFrame:
@@ -290,19 +322,23 @@ def second_pi(spark) -> DataFrame:
     return fx.draws_pi(spark, DRAWS).withColumn("pi", 0.2 + 0.75 * (F.col("pi") - 0.1))
 
 
+_RIVAL = f"""rival AS (SELECT draw, item_id, class_id, 0.2 + 0.75 * (pi - 0.1) AS pi FROM draw_pi),
+{sql.DRAW_POST.replace('draw_pi', 'rival').replace('dll', 'ell').replace('dlw', 'elw').replace('dtop', 'etop').replace('dmarg', 'emarg')}"""
+
+# Two models side by side, from joint(resp_id, e0, e1).
+_COMPARED = """s AS (SELECT sum(e0) AS s0, sum(e1) AS s1, sqrt(count(*) * var_samp(e1 - e0)) AS se FROM joint)
+SELECT 'first' AS model, round(s0, 4) AS elpd, round(least(s0 - s1, 0), 4) AS elpd_diff, CASE WHEN s0 >= s1 THEN 0 ELSE round(se, 4) END AS se_diff,
+  s0 < s1 AND abs(s0 - s1) > 2.5 * se AS first_preferred FROM s
+UNION ALL SELECT 'rival', round(s1, 4), round(least(s1 - s0, 0), 4), CASE WHEN s1 > s0 THEN 0 ELSE round(se, 4) END, s1 <= s0 AND abs(s1 - s0) > 2.5 * se FROM s"""
+
+
 @query(
-    f"""WITH {sql.RESP},
-{sql.draws(DRAWS)},
-{sql.DRAW_POST},
+    f"""{_DLL},
 {_WAIC},
-rival AS (SELECT draw, item_id, class_id, 0.2 + 0.75 * (pi - 0.1) AS pi FROM draw_pi),
-{sql.DRAW_POST.replace('draw_pi', 'rival').replace('dll', 'ell').replace('dlw', 'elw').replace('dtop', 'etop').replace('dmarg', 'emarg')},
+{_RIVAL},
 {_WAIC.replace('dmarg', 'emarg').replace('top AS (', 'top2 AS (').replace('JOIN top', 'JOIN top2').replace('pw AS', 'pw2 AS')},
 joint AS (SELECT resp_id, pw.elpd AS e0, pw2.elpd AS e1 FROM pw JOIN pw2 USING (resp_id)),
-s AS (SELECT sum(e0) AS s0, sum(e1) AS s1, sqrt(count(*) * var_samp(e1 - e0)) AS se FROM joint)
-SELECT 'first' AS model, round(s0, 4) AS elpd, round(least(s0 - s1, 0), 4) AS elpd_diff, CASE WHEN s0 >= s1 THEN 0 ELSE round(se, 4) END AS se_diff,
-  s0 < s1 AND abs(s0 - s1) > 2.5 * se AS first_preferred FROM s
-UNION ALL SELECT 'rival', round(s1, 4), round(least(s1 - s0, 0), 4), CASE WHEN s1 > s0 THEN 0 ELSE round(se, 4) END, s1 <= s0 AND abs(s1 - s0) > 2.5 * se FROM s"""
+{_COMPARED}"""
 )
 def loo_compare(spark, sf):
     codec = form(spark)
@@ -315,7 +351,11 @@ def loo_compare(spark, sf):
     return out.select("model", *[F.round(c, 4).alias(c) for c in ("elpd", "elpd_diff", "se_diff")], "first_preferred")
 
 
-@query(None)
+@query(
+    f"""{_DLL}, {_PID}, {_psis_sql('dmarg', 'a')}, {_RIVAL}, {_psis_sql('emarg', 'b')},
+joint AS (SELECT resp_id, aloo.elpd AS e0, bloo.elpd AS e1 FROM aloo JOIN bloo USING (resp_id)),
+{_COMPARED}"""
+)
 def loo_compare_psis(spark, sf):
     """As ``loo_compare``, on leave-one-out values."""
     codec = form(spark)

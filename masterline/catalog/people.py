@@ -325,17 +325,17 @@ scored AS (SELECT draw, resp_id, item_id, CASE WHEN {sql.u(sql.fold('resp_id', '
 SELECT draw, score, count(*) AS n FROM (SELECT draw, resp_id, CAST(sum(score) AS INTEGER) AS score FROM scored GROUP BY 1, 2) GROUP BY 1, 2"""
 )
 def long_form_replicates(spark, sf):
-    """The predictive check's steps as separate verbs on long tables: weighted
-    class draw, many-to-many join, Bernoulli, totals, counts."""
+    """The predictive check's steps as separate verbs: posteriors by pattern and draw, a
+    many-to-many join that gives respondents x draws rows, a weighted class draw and
+    the Bernoulli answers within each row, counts of totals."""
+    codec = em.Codec.of(fx.qmatrix(spark))
     pi, nu = fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS)
-    table = scoring.node_table(pi, extra=("draw",))
-    ll = scoring.node_loglik(fx.responses(spark, sf), table, ["draw", "resp_id"], fx.N_CLASSES)
-    ll = lookup_join(ll, scoring.log_weights(nu, ("draw",)), ["draw"])
-    long = scoring.with_posterior(ll, F.col("log_nu")).select("draw", "resp_id", F.posexplode("w").alias("class_id", "w"))
-    held = sampling.sample_one(long, ["draw", "resp_id"], "class_id", "w", "resp_id + draw * 1000003", "class_id", 83)
-    rows = lookup_join(held, pi, ["draw", "class_id"])
-    score = bernoulli(F.col("pi"), "resp_id + draw * 1000003", "item_id", 84)
-    totals = rows.withColumn("score", score).groupBy("draw", "resp_id").agg(F.sum("score").cast("int").alias("score"))
+    encoded = codec.encode(fx.responses(spark, sf), "resp_id")
+    post = pd_draws.draw_posterior(encoded.select(*codec.words).distinct(), codec, pi, nu)
+    key = "resp_id + draw * 1000003"
+    held = sampling.sample_index(encoded.join(post, codec.words).select("resp_id", "draw", "w"), "w", key, 83, "class_id")
+    forms = pi.groupBy("draw", "class_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "pi")))["pi"].alias("form"))
+    totals = sampling.bernoulli_total(lookup_join(held, forms, ["draw", "class_id"]), "form", codec.items, key, 84, "score")
     return totals.groupBy("draw", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -350,16 +350,22 @@ def draw_mean(spark, sf):
     return mean_post(spark, sf).select("resp_id", F.posexplode("w").alias("class_id", "w")).select("resp_id", "class_id", r6("w"))
 
 
+# One draw per supplier in place of a fixed number.
+SUPPLIER_DRAWS = f"WITH {sql.ITEMS},\n" + sql.draws(DRAWS).replace(
+    f"SELECT CAST(range AS INTEGER) AS draw FROM range(1, {DRAWS + 1})", "SELECT CAST(s_suppkey AS INTEGER) AS draw FROM supplier"
+)
+
+
 @query(
-    f"""WITH {sql.RESP},
-{sql.draws(DRAWS)}
+    f"""{SUPPLIER_DRAWS}
 SELECT item_id, class_id, round(avg(pi), 6) AS pi, round(max(nu), 6) AS nu
 FROM draw_pi JOIN (SELECT class_id, avg(nu) AS nu FROM draw_nu GROUP BY 1) USING (class_id) GROUP BY 1, 2"""
 )
 def draw_mean_parameters(spark, sf):
-    """Posterior means of the parameters, from a long table of draws."""
-    pi = scoring.draw_mean(fx.draws_pi(spark, DRAWS), ["item_id", "class_id"], "pi")
-    nu = scoring.draw_mean(fx.draws_nu(spark, DRAWS), ["class_id"], "nu")
+    """Posterior means of the parameters, from a long table of draws, one per supplier."""
+    numbers = fx.supplier_draws(spark, sf).select("draw")
+    pi = scoring.draw_mean(fx.jittered_pi(numbers), ["item_id", "class_id"], "pi")
+    nu = scoring.draw_mean(fx.jittered_nu(numbers), ["class_id"], "nu")
     return pi.join(nu, "class_id").select("item_id", "class_id", r6("pi"), r6("nu"))
 
 

@@ -10,7 +10,9 @@ is built far faster than twenty Column calls.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def fold(r: str, k: str) -> str:
     return f"(cast({r} as bigint) + cast({k} as bigint) * 1000003L)"
 
 
+def array_uniforms() -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
+    """:func:`u01` on arrays, for tasks.  A function of its own, holding plain numbers,
+    so that it travels with them."""
+    prime = PRIME
+
+    def uniforms(r, k, salt):
+        x = (r % prime * 48271 + k % prime * 69621 + salt) % prime
+        x = (x * x + salt) % prime
+        return (x * x + k % prime * 7919) % prime / float(prime)
+
+    return uniforms
+
+
 def uniform(lo, hi, r: str | int, k: str | int, salt: int) -> Column:
     """Uniform between two numbers or Columns."""
     return lo + (hi - lo) * u01(r, k, salt)

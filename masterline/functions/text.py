@@ -27,6 +27,12 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def plain_path(path: Column) -> Column:
+    """A path without its scheme and with its escapes undone, as readers write the same
+    path in different ways."""
+    return F.regexp_replace(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), "^[a-z]+:/+", "/")
+
+
 def drop_extension(name: Column) -> Column:
     return F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")
 

@@ -6,10 +6,9 @@ out per pattern with its count ``n``; a table without ``n`` counts each row once
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,54 +103,60 @@ def _criterion(rows: DataFrame, name: str) -> DataFrame:
     ).withColumn(name, -2 * F.col(f"elpd_{name}"))
 
 
-def psis_smoother():
-    """Batch function: arrays of log-likelihoods -> (elpd, Pareto k)."""
-
-    def pareto_fit(x: np.ndarray) -> tuple[float, float]:
-        """Zhang-Stephens estimate (k, sigma) of sorted positive excesses."""
-        n = len(x)
-        m = 30 + int(np.sqrt(n))
-        b = (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * x[max(n // 4 - 1, 0)]) + 1 / x[-1]
-        k = np.log1p(-b[:, None] * x).mean(axis=1)
-        fit = n * (np.log(-b / k) - k - 1)
-        weight = np.exp(fit - fit.max())
-        best = (b * weight).sum() / weight.sum()
-        k = np.log1p(-best * x).mean()
-        return (n * k + 5) / (n + 10), -k / best
-
-    def smooth(ll: np.ndarray) -> tuple[float, float]:
-        s = len(ll)
-        lw = -ll - (-ll).max()
-        tail = int(np.ceil(min(s / 5, 3 * np.sqrt(s))))
-        order = np.argsort(lw, kind="stable")
-        k = np.inf
-        if tail >= 5 and tail < s:
-            last, cut = order[-tail:], np.exp(lw[order[-tail - 1]])
-            excess = np.exp(lw[last]) - cut
-            if excess[0] > 0 and excess[-1] > excess[0] * (1 + 1e-12):
-                k, sigma = pareto_fit(excess)
-                p = (np.arange(1, tail + 1) - 0.5) / tail
-                quantile = sigma * np.expm1(-k * np.log1p(-p)) / k if abs(k) > 1e-12 else -sigma * np.log1p(-p)
-                lw[last] = np.minimum(np.log(cut + quantile), 0.0)
-            else:
-                k = 0.0
-        joint = lw + ll
-        top = joint.max()
-        return top + np.log(np.exp(joint - top).sum()) - (np.log(np.exp(lw - lw.max()).sum()) + lw.max()), k
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [smooth(np.array(ll, dtype=float)) for ll in pdf["ll"]]
-            pdf["elpd"], pdf["pareto_k"] = [g[0] for g in got], [g[1] for g in got]
-            yield pdf
-
-    return task
+def _let(**names: str) -> Callable[[str], str]:
+    """SQL text with names for values used more than once: each is worked out once per row,
+    which a column of its own would not assure inside a lambda."""
+
+    def inside(body: str) -> str:
+        for name, value in reversed(names.items()):
+            body = f"transform(array({value}), {name} -> {body})[0]"
+        return body
+
+    return inside
+
+
+def _sum(array: str, term: str) -> str:
+    return f"aggregate({array}, 0D, (acc, x) -> acc + {term})"
+
+
+def _log_sum(array: str) -> str:
+    return _let(most=f"array_max({array})")(f"most + ln({_sum(array, 'exp(x - most)')})")
+
+
+# Zhang and Stephens' estimate (k, sigma) of the generalised Pareto for the sorted positive
+# excesses ``e``, n of them.
+_PARETO = _let(
+    n="size(e)",
+    m="30 + cast(floor(sqrt(size(e))) as int)",
+    b="transform(sequence(1, m), j -> (1 - sqrt(m / (j - 0.5D))) / (3 * e[greatest(n div 4 - 1, 0)]) + 1 / e[n - 1])",
+    profile=f"transform(b, y -> {_sum('e', 'log1p(-y * x)')} / n)",
+    fit="zip_with(b, profile, (y, k) -> n * (ln(-y / k) - k - 1))",
+    most="array_max(fit)",
+    weight="transform(fit, x -> exp(x - most))",
+    best=f"{_sum('zip_with(b, weight, (y, w) -> y * w)', 'x')} / {_sum('weight', 'x')}",
+    mean=f"{_sum('e', 'log1p(-best * x)')} / n",
+)("named_struct('k', (n * mean + 5) / (n + 10), 'sigma', -mean / best)")
+
+# Raw weights sorted (then by draw, as ties stay in order), the tail smoothed, and the
+# leave-one-out density by the weights.
+_PSIS = _let(
+    top="-array_min(ll)",
+    s="size(ll)",
+    tail="cast(ceil(least(s / 5, 3 * sqrt(s))) as int)",
+    raw="array_sort(transform(ll, (x, i) -> named_struct('lw', -x - top, 'i', i)))",
+    fits="tail >= 5 AND tail < s",
+    low="if(fits, exp(raw[s - tail - 1].lw), NULL)",
+    e="if(fits, transform(slice(raw, s - tail + 1, tail), x -> exp(x.lw) - low), NULL)",
+    varies="coalesce(e[0] > 0 AND e[tail - 1] > e[0] * (1 + 1e-12D), false)",
+    gpd=f"if(varies, {_PARETO}, named_struct('k', if(fits, 0D, double('Infinity')), 'sigma', 0D))",
+    smooth="""if(varies, transform(raw, (x, i) -> if(i < s - tail, x, named_struct('lw', least(0D, ln(low + gpd.sigma * if(abs(gpd.k) > 1e-12D,
+      expm1(-gpd.k * log1p(-(i - s + tail + 0.5D) / tail)) / gpd.k, -log1p(-(i - s + tail + 0.5D) / tail)))), 'i', x.i))), raw)""",
+)(f"named_struct('elpd', {_log_sum('transform(smooth, x -> x.lw + ll[x.i])')} - {_log_sum('smooth.lw')}, 'pareto_k', gpd.k)")
 
 
 def psis_pointwise(pointwise: DataFrame) -> DataFrame:
-    """Adds elpd (leave-one-out) and pareto_k per row, batch by batch in place."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pointwise.schema.fields)
-    out = pointwise.mapInPandas(psis_smoother(), f"{schema}, elpd double, pareto_k double")
+    """Adds elpd (leave-one-out) and pareto_k to each row, on built-in functions in the row."""
+    out = pointwise.withColumn("__loo", F.expr(_PSIS)).select("*", "__loo.elpd", "__loo.pareto_k").drop("__loo")
     return _with_lppd(out).withColumn("p", F.col("lppd") - F.col("elpd")).drop("lppd")
 
 

@@ -128,13 +128,22 @@ def constrain(params: DataFrame, model: str) -> DataFrame:
     raise ValueError(f"model must be one of {MODELS}")
 
 
+def over_subsets(v: str, n_attr: int, sign: str = "+") -> str:
+    """The array ``v`` by attribute set turned into sums over all subsets of each set
+    (``+``) or, the inverse, into signed sums (``-``), one attribute at a time."""
+    step = f"transform(acc, (x, c) -> if(shiftright(c, k) & 1 = 1, x {sign} get(acc, c - shiftleft(1, k)), x))"
+    return f"aggregate(sequence(0, {n_attr - 1}), {v}, (acc, k) -> {step})" if n_attr else v
+
+
 def item_class_logodds(params: DataFrame, n_attr: int) -> DataFrame:
     """(item_id, class_id, log_odds): a class's log-odds on an item is the sum
-    of the parameters whose attributes it holds.  One aggregation by item."""
-    sums = ", ".join(f"sum(if({c} & mask = mask, value, 0D))" for c in range(2**n_attr))
-    return params.groupBy("item_id").agg(F.expr(f"array({sums}) AS v")).select(
-        "item_id", F.posexplode("v").alias("class_id", "log_odds")
-    )
+    of the parameters whose attributes it holds.  One aggregation by item; the sums
+    run over the lattice of attribute sets in the row, so the plan is the same
+    for any number of attributes."""
+    rows = params.where("mask IS NOT NULL").groupBy("item_id").agg(F.collect_list(F.struct("mask", "value")).alias("cells"))
+    placed = "aggregate(cells, array_repeat(0D, {n}), (acc, p) -> transform(acc, (x, c) -> if(c = p.mask, x + coalesce(p.value, 0D), x)))"
+    rows = rows.select("item_id", F.expr(placed.format(n=2**n_attr)).alias("v"))
+    return rows.select("item_id", F.posexplode(F.expr(over_subsets("v", n_attr))).alias("class_id", "log_odds"))
 
 
 def item_class_probs(params: DataFrame, model: str, n_attr: int) -> DataFrame:
@@ -144,15 +153,15 @@ def item_class_probs(params: DataFrame, model: str, n_attr: int) -> DataFrame:
 
 
 def lambda_from_pi(pi: DataFrame, q: DataFrame, n_attr: int) -> DataFrame:
-    """Inverse of the above: (item_id, mask, value) by a signed sum over the
-    subsets of each mask, again one aggregation by item."""
-    cells = pi.join(q, "item_id").filter(held_all(F.col("q_mask"), F.col("class_id")))
-    cells = cells.withColumn("lg", logit(F.col("pi")))
-    values = ", ".join(
-        f"sum(if({s} & class_id = class_id, if(bit_count({s} ^ class_id) % 2 = 0, lg, -lg), 0D))" for s in range(2**n_attr)
-    )
-    wide = cells.groupBy("item_id", "q_mask").agg(F.expr(f"array({values}) AS v"))
-    long = wide.select("item_id", "q_mask", F.posexplode("v").alias("mask", "value"))
+    """Inverse of the above: (item_id, mask, value) by signed sums over the
+    subsets of each mask, again one aggregation by item.  An item needs a
+    probability for each of the 2^A classes."""
+    cells = pi.select("item_id", "class_id", logit(F.col("pi")).alias("lg")).groupBy("item_id")
+    wide = cells.agg(F.array_sort(F.collect_list(F.struct("class_id", "lg"))).alias("cells")).join(q.select("item_id", "q_mask"), "item_id")
+    whole = f"size(cells) = {2**n_attr} AND cells[0].class_id = 0 AND cells[{2**n_attr - 1}].class_id = {2**n_attr - 1}"
+    v = F.expr(f"if({whole}, cells.lg, raise_error(concat('not all classes of item ', item_id)))")
+    wide = wide.select("item_id", "q_mask", v.alias("v"))
+    long = wide.select("item_id", "q_mask", F.posexplode(F.expr(over_subsets("v", n_attr, "-"))).alias("mask", "value"))
     return long.filter(held_all(F.col("q_mask"), F.col("mask"))).drop("q_mask")
 
 

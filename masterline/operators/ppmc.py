@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from masterline.functions.hashing import PRIME
+from masterline.functions.hashing import PRIME, array_uniforms
 from masterline.functions.scalar import CLIP
 from masterline.operators.aggregates import sum_strict
 from masterline.operators.joins import complete, full_join, left_join, lookup_join
@@ -45,12 +45,7 @@ def _replicator(codec: Codec, block: DrawBlock, salt: int) -> Callable:
     ids, pi, nu = block.ids, block.pi, block.nu
     clipped = np.clip(pi, CLIP, 1 - CLIP)
     slope, base = np.log(clipped) - np.log1p(-clipped), np.log1p(-clipped)
-    log_nu, prime = np.log(np.maximum(nu, 1e-300)), PRIME
-
-    def uniforms(r, k, salt):
-        x = (r % prime * 48271 + k % prime * 69621 + salt) % prime
-        x = (x * x + salt) % prime
-        return (x * x + k % prime * 7919) % prime / float(prime)
+    log_nu, uniforms = np.log(np.maximum(nu, 1e-300)), array_uniforms()
 
     def replicate(batch):
         answered, right = unpack(batch)

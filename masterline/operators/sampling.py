@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from masterline.functions.hashing import PRIME, u01
+from masterline.functions.hashing import PRIME, array_uniforms, u01
 from masterline.operators.joins import left_join, neighbours
 from masterline.operators.ranking import cumulative_sum, dense_index, rowid
 from masterline.plans.lineage import BROADCAST_ROWS
@@ -89,6 +93,51 @@ def sample_one(df: DataFrame, keys: list[str], item: str, weight: str, r: str, k
     )
 
 
+def sample_index(df: DataFrame, weights: str, r: str, salt: int, name: str) -> DataFrame:
+    """Adds ``name`` in place of ``weights``: a 0-based index drawn from the row's array of weights
+    by the same race as :func:`sample_one`, NULL when no weight is positive.
+
+    ``r`` (SQL text) identifies the row.  Arrays are of one length; groups are rows
+    here, so nothing is exploded or shuffled.
+    """
+    least, uniforms = 1.0 / PRIME, array_uniforms()
+
+    def drawn(keys: np.ndarray, w: np.ndarray) -> pa.Array:
+        with np.errstate(divide="ignore"):
+            clock = -np.log(np.maximum(uniforms(keys[:, None], np.arange(w.shape[1])[None, :], salt), least)) / w
+        clock[~(w > 0)] = np.inf
+        return pa.array(clock.argmin(axis=1), pa.int32(), mask=~(w > 0).any(axis=1))
+
+    return _by_row(df, weights, r, name, drawn)
+
+
+def bernoulli_total(df: DataFrame, probs: str, items: list[int], r: str, salt: int, name: str) -> DataFrame:
+    """Adds ``name`` in place of ``probs``: how many answers are 1, each with its probability in the
+    row's array, in the order of ``items``; drawn as :func:`masterline.functions.hashing.bernoulli`."""
+    k, uniforms = np.array(items, np.int64)[None, :], array_uniforms()
+
+    def total(keys: np.ndarray, p: np.ndarray) -> pa.Array:
+        return pa.array((uniforms(keys[:, None], k, salt) < p).sum(axis=1), pa.int32())
+
+    return _by_row(df, probs, r, name, total)
+
+
+def _by_row(df: DataFrame, array: str, r: str, name: str, value) -> DataFrame:
+    """``name``, of ``value(keys, arrays)``, in place of the column ``array``; batch by batch."""
+    keep = [f for f in df.schema.fields if f.name not in (array, name)]
+    names = [f.name for f in keep]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = batch.column("__array").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                found = value(batch.column("__r").to_numpy(), cells)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], [*names, name])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], f"`{name}` int"])
+    return df.select(*[f"`{c}`" for c in names], F.col(array).alias("__array"), F.expr(f"cast({r} as bigint) AS __r")).mapInArrow(task, schema)
+
+
 def pick_class(weights: Column, u: Column) -> Column:
     """0-based index drawn from an array of weights by inverting its cumulative
     sum at u; the last index catches rounding at the upper end."""

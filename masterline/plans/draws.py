@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masterline.functions.hashing import PRIME
+from masterline.functions.hashing import PRIME, array_uniforms
 from masterline.operators.joins import lookup_join
 from masterline.operators.patterns import Codec
 from masterline.operators.scoring import attribute_probs
@@ -115,6 +116,28 @@ def pattern_posterior(patterns: DataFrame, codec: Codec, pi: DataFrame, nu: Data
     return out
 
 
+def draw_posterior(patterns: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame) -> DataFrame:
+    """(words.., draw, w): class probabilities of distinct patterns under each draw, stored
+    block by block."""
+    patterns = spread(patterns.select(*codec.words), *codec.words)
+    words, out = codec.words, []
+    schema = ", ".join([*[f"{c} bigint" for c in words], "draw int, w array<double>"])
+    for block in draw_blocks(pi, nu, codec.items):
+        solve, ids = block_posterior(codec, block), pa.array(block.ids, pa.int32())
+
+        def task(batches: Iterator[pa.RecordBatch], solve=solve, ids=ids) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, weights, _ in solve(batch):
+                    some, (n, n_draws, n_classes) = batch.slice(rows.start, len(weights)), weights.shape
+                    at = np.repeat(np.arange(n), n_draws)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, weights.size + 1, n_classes), pa.int32()), pa.array(weights.ravel()))
+                    columns = [some.column(c).take(pa.array(at)) for c in words]
+                    yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(np.tile(np.arange(n_draws), n))), lists], [*words, "draw", "w"])
+
+        out.append(cut(patterns.mapInArrow(task, schema)))
+    return reduce(DataFrame.union, out)
+
+
 def mean_posterior(people: DataFrame, codec: Codec, pi: DataFrame, nu: DataFrame, n_attr: int) -> DataFrame:
     """(other columns.., w, p): class and attribute probabilities of encoded
     respondents, averaged over the draws.
@@ -186,12 +209,7 @@ def normal_draws(spark: SparkSession, at: np.ndarray, root: np.ndarray, n: int,
     per draw.  The triangular factor travels by broadcast: parameters squared numbers.
     """
     factor = spark.sparkContext.broadcast((np.ascontiguousarray(at), np.ascontiguousarray(root)))
-    prime = PRIME
-
-    def uniforms(r, k, salt):
-        x = (r % prime * 48271 + k % prime * 69621 + salt) % prime
-        x = (x * x + salt) % prime
-        return (x * x + k % prime * 7919) % prime / float(prime)
+    prime, uniforms = PRIME, array_uniforms()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, root = factor.value

@@ -81,20 +81,40 @@ def start_nu(spark: SparkSession) -> DataFrame:
     return spark.range(N_CLASSES).select(F.col("id").cast("int").alias("class_id"), F.lit(1.0 / N_CLASSES).alias("nu"))
 
 
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(1, n + 1).select(F.col("id").cast("int").alias("draw"))
+
+
 def draws_pi(spark: SparkSession, n: int) -> DataFrame:
     """(draw, item_id, class_id, pi), a deterministic jitter of start_pi."""
-    cells = spark.range(1, n + 1).select(F.col("id").cast("int").alias("draw"), F.inline(_items()))
-    cells = with_axis(cells, N_CLASSES, "class_id")
+    return jittered_pi(_numbers(spark, n))
+
+
+def jittered_pi(numbers: DataFrame) -> DataFrame:
+    """(columns.., item_id, class_id, pi) for each row of a table with a column ``draw``."""
+    cells = with_axis(numbers.select("*", F.inline(_items())), N_CLASSES, "class_id")
     jitter = u01("draw * 1000L + class_id", "item_id", 41) - 0.5
     pi = 0.2 + 0.6 * held_share(F.col("class_id"), F.col("q_mask")) + 0.04 * jitter
-    return cells.select("draw", "item_id", "class_id", pi.alias("pi"))
+    return cells.select(*numbers.columns, "item_id", "class_id", pi.alias("pi"))
 
 
 def draws_nu(spark: SparkSession, n: int) -> DataFrame:
+    return jittered_nu(_numbers(spark, n))
+
+
+def jittered_nu(numbers: DataFrame) -> DataFrame:
     raw = lambda c: f"(0.125D + 0.02D * ({u01_text('draw', c, 43)} - 0.5D))"
-    cells = with_axis(spark.range(1, n + 1).select(F.col("id").cast("int").alias("draw")), N_CLASSES, "class_id")
+    cells = with_axis(numbers, N_CLASSES, "class_id")
     total = " + ".join(raw(c) for c in range(N_CLASSES))
-    return cells.select("draw", "class_id", F.expr(f"{raw('class_id')} / ({total})").alias("nu"))
+    return cells.select(*numbers.columns, "class_id", F.expr(f"{raw('class_id')} / ({total})").alias("nu"))
+
+
+def supplier_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(draw, chain, iteration): one draw per supplier, dealt to four chains."""
+    place = "cast(s_suppkey as bigint) - 1"
+    return read(spark, sf_dir, "supplier").selectExpr(
+        "cast(s_suppkey as int) AS draw", f"cast(({place}) % 4 + 1 as int) AS chain", f"cast(({place}) div 4 + 1 as int) AS iteration"
+    )
 
 
 BANK_ATTRS = ["att1", "att2", "att3", "att4"]

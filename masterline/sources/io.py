@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from masterline.functions.text import drop_extension, file_name, plain_path
 from masterline.operators.joins import left_join
 from masterline.operators.ranking import rowid
 from masterline.operators.verbs import to_long
@@ -69,6 +68,21 @@ def list_files(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path")
 
 
+def catalogue_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, file, name, n_rows) of the Parquet files under a glob, tables of any schemas together.
+
+    No column is read: with an empty schema the scan counts rows by the files' footers, and
+    the path is its metadata column.  A file without rows is listed with 0.
+    """
+    paths = list_files(spark, glob)
+    rows = spark.read.schema(StructType([])).parquet(glob).select(F.col("_metadata.file_path").alias("path"))
+    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = paths.select(plain_path(F.col("path")).alias("path"))
+    found = left_join(listed, counts.select(plain_path(F.col("path")).alias("path"), "n_rows"), ["path"]).fillna({"n_rows": 0})
+    name = file_name(F.col("path"))
+    return found.select("path", name.alias("file"), drop_extension(name).alias("name"), "n_rows")
+
+
 def enrich(df: DataFrame, dim: DataFrame, keys: list, columns: list[str] | None = None) -> DataFrame:
     """Left join on a dimension, keeping only the wanted columns of it."""
     right = [k if isinstance(k, str) else k[1] for k in keys]
@@ -89,22 +103,3 @@ def flatten_playlists(df: DataFrame, payload: str = "payload", kind: str = "albu
         .filter(F.col("a.album_type") == kind)
         .select(F.col("a.name").alias("album"), F.explode("a.artists.name").alias("artist"))
     )
-
-
-def fit_or_load(spark: SparkSession, path: str, fit_fn: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Parameter tables of a fit, computed once and read afterwards.
-
-    The list of tables is written last, so an interrupted first call leaves
-    nothing that a second one would take for a finished fit.
-    """
-    try:
-        names = [r.name for r in spark.read.parquet(f"{path}/tables").collect()]
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":  # an unreadable store is not an absent one
-            raise
-        tables = fit_fn()
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        names = list(tables)
-        spark.createDataFrame([(n,) for n in names], "name string").write.mode("overwrite").parquet(f"{path}/tables")
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}

@@ -374,11 +374,11 @@ def draw_mean_parameters(spark, sf):
 SELECT c_name AS resp_id, class_id, round(w, 6) AS w FROM post JOIN customer ON c_custkey = resp_id"""
 )
 def class_posterior_by_name(spark, sf):
-    """Respondents known by a text id."""
+    """Respondents known by a text id, in a column of their own name."""
     names = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("resp_id"), "c_name")
-    resp = fx.responses(spark, sf).join(names, "resp_id").drop("resp_id").withColumnRenamed("c_name", "resp_id")
-    post = scoring.posterior(resp, fx.start_pi(spark), fx.start_nu(spark), fx.N_ATTR)
-    return post.select("resp_id", F.posexplode("w").alias("class_id", "w")).select("resp_id", "class_id", r6("w"))
+    resp = fx.responses(spark, sf).join(names, "resp_id").drop("resp_id")
+    post = scoring.posterior(resp, fx.start_pi(spark), fx.start_nu(spark), fx.N_ATTR, id_col="c_name")
+    return post.select(F.col("c_name").alias("resp_id"), F.posexplode("w").alias("class_id", "w")).select("resp_id", "class_id", r6("w"))
 
 
 # --- estimation --------------------------------------------------------------------------

@@ -56,11 +56,11 @@ def _block_loglik(patterns: DataFrame, codec: Codec, block) -> DataFrame:
     return patterns.select(*keep).mapInArrow(task, schema)
 
 
-def by_respondent(pointwise: DataFrame, people: DataFrame, codec: Codec) -> DataFrame:
-    """(resp_id, draw, ll): pointwise values back on respondents.  A pattern row
+def by_respondent(pointwise: DataFrame, people: DataFrame, codec: Codec, id_col: str = "resp_id") -> DataFrame:
+    """(id, draw, ll): pointwise values back on respondents.  A pattern row
     is as long as the number of draws, hence the lower limit for a broadcast."""
-    long = lookup_join(people, pointwise.drop("n"), codec.words, rows=10_000).select("resp_id", F.posexplode("ll").alias("position", "ll"))
-    return long.select("resp_id", (F.col("position") + 1).alias("draw"), "ll")
+    long = lookup_join(people, pointwise.drop("n"), codec.words, rows=10_000).select(id_col, F.posexplode("ll").alias("position", "ll"))
+    return long.select(id_col, (F.col("position") + 1).alias("draw"), "ll")
 
 
 def _weight(df: DataFrame) -> Column:

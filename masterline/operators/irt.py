@@ -70,8 +70,8 @@ def theta_grid_score(resp: DataFrame, curves: DataFrame, keys: list[str], lo: fl
     return _score_encoded(codec.encode(resp, *keys), codec, prob, pick, "theta double, likelihood double")
 
 
-def eap_theta(resp: DataFrame, items: DataFrame) -> DataFrame:
-    """(resp_id, theta): posterior mean ability under curves (item_id, a, d),
+def eap_theta(resp: DataFrame, items: DataFrame, id_col: str = "resp_id") -> DataFrame:
+    """(id, theta): posterior mean ability under curves (item_id, a, d),
     logit = a theta + d, and a standard normal prior on 61 nodes; a respondent
     without an answer gets the prior's mean."""
     codec, (a, d) = _curves_on_driver(items, "a", "d")
@@ -82,4 +82,4 @@ def eap_theta(resp: DataFrame, items: DataFrame) -> DataFrame:
         w = np.exp(lw - lw.max(axis=1, keepdims=True))
         return {"theta": w @ nodes / w.sum(axis=1)}
 
-    return _score_encoded(codec.encode(resp, "resp_id"), codec, 1 / (1 + np.exp(-(a * nodes + d))), pick, "theta double")
+    return _score_encoded(codec.encode(resp, id_col), codec, 1 / (1 + np.exp(-(a * nodes + d))), pick, "theta double")

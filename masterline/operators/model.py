@@ -165,20 +165,20 @@ def lambda_from_pi(pi: DataFrame, q: DataFrame, n_attr: int) -> DataFrame:
     return long.filter(held_all(F.col("q_mask"), F.col("mask"))).drop("q_mask")
 
 
-def response_probs(people: DataFrame, params: DataFrame, n_attr: int) -> DataFrame:
-    """(resp_id, item_id, log_odds, prob) of every person on every item.
+def response_probs(people: DataFrame, params: DataFrame, n_attr: int, id_col: str = "resp_id") -> DataFrame:
+    """(id, item_id, log_odds, prob) of every person on every item.
 
     Log-odds depend on the class only, so they are worked out per class and
     looked up; a class holding most of the people costs nothing extra.
     """
     cells = item_class_logodds(params, n_attr)
     cells = cells.withColumn("prob", inv_logit(F.col("log_odds")))
-    people = people.select("resp_id", "class_id")
+    people = people.select(id_col, "class_id")
     joined = lookup_join(people, cells, ["class_id"])
-    return joined.select("resp_id", "item_id", "log_odds", "prob")
+    return joined.select(id_col, "item_id", "log_odds", "prob")
 
 
-def score_responses(probs: DataFrame, salt: int, p: str = "prob") -> DataFrame:
-    """Bernoulli scores: (resp_id, item_id, score)."""
-    score = bernoulli(F.col(p), "resp_id", "item_id", salt)
-    return probs.select("resp_id", "item_id", score.alias("score"))
+def score_responses(probs: DataFrame, salt: int, p: str = "prob", id_col: str = "resp_id") -> DataFrame:
+    """Bernoulli scores: (id, item_id, score); the id is an integer."""
+    score = bernoulli(F.col(p), f"`{id_col}`", "item_id", salt)
+    return probs.select(id_col, "item_id", score.alias("score"))

@@ -107,9 +107,9 @@ def observed_scores_encoded(people: DataFrame, codec: Codec) -> DataFrame:
     return people.groupBy(codec.total_score().cast("int").alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def observed_scores(resp: DataFrame) -> DataFrame:
+def observed_scores(resp: DataFrame, id_col: str = "resp_id") -> DataFrame:
     """(score, n) of the data; an unanswered (NULL) score makes a NULL total."""
-    totals = resp.groupBy("resp_id").agg(sum_strict(F.col("score")).cast("int").alias("score"))
+    totals = resp.groupBy(id_col).agg(sum_strict(F.col("score")).cast("int").alias("score"))
     return totals.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
 
 

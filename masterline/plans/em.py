@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from masterline.functions.scalar import CLIP
 from masterline.operators.patterns import Codec
-from masterline.operators.scoring import attribute_probs
+from masterline.operators.scoring import ID, attribute_probs
 from masterline.plans.lineage import cut
 
 
@@ -56,11 +56,11 @@ class Irt2plFit(NamedTuple):
 PATTERNS_PER_TASK = 50_000
 
 
-def pattern_table(resp: DataFrame, codec: Codec) -> DataFrame:
+def pattern_table(resp: DataFrame, codec: Codec, id_col: str = ID) -> DataFrame:
     """Distinct patterns with counts, from long responses or encoded ones,
     checkpointed: later iterations never go back to the responses.  The number of tasks follows the number of patterns,
     so a short table is not scattered and a long one is not lumped."""
-    encoded = resp if set(codec.words) <= set(resp.columns) else codec.encode(resp, "resp_id")
+    encoded = resp if set(codec.words) <= set(resp.columns) else codec.encode(resp, id_col)
     stored = cut(codec.count(encoded))
     tasks = max(1, -(-stored.count() // PATTERNS_PER_TASK))
     if tasks <= n_tasks(stored):
@@ -291,6 +291,7 @@ def fit_dcm(
     patterns: DataFrame | None = None,
     step_tol: float | None = None,
     accelerate: bool = True,
+    id_col: str = ID,
 ) -> DcmFit:
     """Estimate class proportions and item probabilities.
 
@@ -302,7 +303,7 @@ def fit_dcm(
     spark = resp.sparkSession
     q_masks = q_masks_of(q)
     codec, masks = Codec(list(q_masks)), list(q_masks.values())
-    patterns = pattern_table(resp, codec) if patterns is None else patterns
+    patterns = pattern_table(resp, codec, id_col) if patterns is None else patterns
     tasks = n_tasks(patterns)
     groups = [class_groups(model, m, n_attr) for m in masks]
 
@@ -375,14 +376,14 @@ def curve_mode(total: np.ndarray, right: np.ndarray, a: float, d: float) -> tupl
     raise ArithmeticError(f"no mode of an item's curve in {NEWTON_STEPS} steps")
 
 
-def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int | None = None, accelerate: bool = True) -> Irt2plFit:
+def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int | None = None, accelerate: bool = True, id_col: str = ID) -> Irt2plFit:
     """Two-parameter curves, logit = a * theta + d, theta ~ N(0, 1): the same
     E-step with 61 grid points in place of classes.  ``history`` is the
     penalised log-likelihood, which EM never lowers.  ``tol``, ``max_iter``,
     ``accelerate`` and ``converged`` as in :func:`fit_dcm`."""
     spark = resp.sparkSession
     codec = Codec(sorted(items))
-    patterns = pattern_table(resp, codec)
+    patterns = pattern_table(resp, codec, id_col)
     tasks = n_tasks(patterns)
 
     def step(a: np.ndarray, d: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]]:

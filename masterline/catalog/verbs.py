@@ -136,7 +136,7 @@ def cast_columns(spark, sf):
 )
 def rowid_customers(spark, sf):
     df = fx.read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return ranking.rowid(df, "item", ["c_mktsegment", F.desc("c_acctbal"), "c_custkey"]).drop("c_acctbal")
+    return ranking.rowid(df, "item", ["c_mktsegment", ranking.Down("c_acctbal"), "c_custkey"]).drop("c_acctbal")
 
 
 # --- reshaping ---------------------------------------------------------------

@@ -71,13 +71,3 @@ def range_parts(df: DataFrame, cols: list, name: str = "__part") -> DataFrame:
     """
     ranged = df.repartitionByRange(n_partitions(df.sparkSession), *cols)
     return cut(ranged.withColumn(name, F.spark_partition_id()))
-
-
-def ordered_parts(df: DataFrame, order: list) -> DataFrame:
-    """As :func:`range_parts`, sorted, with each row's 0-based place in its part."""
-    serial = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(n_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    rows = cut(ranged.withColumn("__serial", serial))
-    return rows.withColumns(
-        {"__part": F.shiftright("__serial", 33).cast("int"), "__place": F.col("__serial").bitwiseAND((1 << 33) - 1)}
-    ).drop("__serial")

@@ -3,6 +3,7 @@ respondents, estimation, and the item-response companion."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -607,6 +608,40 @@ def eap_theta(spark, sf):
     return irt.eap_theta(fx.responses(spark, sf), items).select("resp_id", F.round("theta", 5).alias("theta"))
 
 
+def _quadrature(step: float) -> str:
+    """Integrals over ability by an even grid so fine that its rule is exact to rounding."""
+    n = round(16 / step)
+    return f"""nodes AS (SELECT -8 + range * {step} AS t, exp(-0.5 * (-8 + range * {step}) * (-8 + range * {step})) * {step} / sqrt(2 * pi()) AS g FROM range({n + 1})),
+pat AS (SELECT x, count(*) AS n FROM (SELECT resp_id, CAST(sum(score << (item_id - 1)) AS BIGINT) AS x FROM resp GROUP BY 1) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {sql.RESP},
+{_CURVES},
+{_quadrature(0.05)},
+lw AS (SELECT x, n, t, ln(max(g)) + sum(CASE WHEN (x >> (item_id - 1)) & 1 = 1 THEN -ln(1 + exp(-a * (t - b))) ELSE -ln(1 + exp(a * (t - b))) END) AS lw
+  FROM pat, nodes, curves GROUP BY 1, 2, 3),
+tp AS (SELECT *, max(lw) OVER (PARTITION BY x) AS top FROM lw),
+w AS (SELECT x, n, t, n * exp(lw - top) / sum(exp(lw - top)) OVER (PARTITION BY x) AS w FROM tp),
+ll AS (SELECT sum(n * m) AS loglik FROM (SELECT x, max(n) AS n, max(top) + ln(sum(exp(lw - top))) AS m FROM tp GROUP BY 1)),
+c AS (SELECT item_id, w, t, ((x >> (item_id - 1)) & 1) - 1 / (1 + exp(-a * (t - b))) AS e,
+  1 / (1 + exp(-a * (t - b))) * (1 - 1 / (1 + exp(-a * (t - b)))) AS v FROM w, curves)
+SELECT item_id, round(sum(w * e * t), 4) AS e_theta, round(sum(w * e), 4) AS e, round(sum(w * v * t * t), 4) AS v_theta2, round(sum(w * v * t), 4) AS v_theta,
+  round(sum(w * v), 4) AS v, round(max(loglik), 4) AS loglik FROM c, ll GROUP BY 1"""
+)
+def curve_sums(spark, sf):
+    """What one step of the curves' estimation adds up, at given curves."""
+    rows = fx.test_curves(spark).orderBy("item_id").collect()
+    a, d = np.array([r.a for r in rows]), np.array([-r.a * r.b for r in rows])
+    codec = em.Codec([r.item_id for r in rows])
+    patterns = em.pattern_table(fx.responses(spark, sf), codec)
+    sums, loglik = em.curve_sums(patterns, codec, a, d, em.n_tasks(patterns))
+    names = ["e_theta", "e", "v_theta2", "v_theta", "v"]
+    cells = [(i, *map(float, v), loglik) for i, v in zip(codec.items, sums.T, strict=True)]
+    made = spark.createDataFrame(cells, "item_id int, " + ", ".join(f"{c} double" for c in [*names, "loglik"]))
+    return made.select("item_id", *[F.round(c, 4).alias(c) for c in [*names, "loglik"]])
+
+
 @query(None)
 def fit_2pl(spark, sf):
     fit = em.fit_2pl(fx.responses(spark, sf), list(range(1, 13)))

@@ -222,6 +222,7 @@ def climb(
     step_tol: float | None = None,
     max_iter: int | None = None,
     accelerate: bool = True,
+    halve: bool = False,
 ) -> Climb:
     """Repeat ``step``, which takes a point to its value and to the next point, until a
     step gains less than ``tol`` and, where given, moves nothing by more than ``step_tol``.
@@ -229,14 +230,18 @@ def climb(
     Each step is a Spark job, so after every two of them the point is thrown on by
     squared extrapolation along their difference, in the coordinates of ``flat`` and
     ``back``; it stays there only if the value is no lower, and is thrown less far after
-    a failure.  A step that lowers the value is an error, and so is getting nowhere
-    in ``GIVE_UP`` steps; ``max_iter`` stops earlier.
+    a failure.  A step that lowers the value is an error, unless ``halve`` says that steps
+    are only directions: then it is halved.  Getting nowhere in ``GIVE_UP`` steps is an
+    error too; ``max_iter`` stops earlier.
     """
     value, ahead = step(*start)
     point, history, jobs, reach = start, [value], 1, 1.0
     while jobs < (max_iter or GIVE_UP):
         after, beyond = step(*ahead)
         jobs += 1
+        if halve and after < value and np.abs(flat(*ahead) - flat(*point)).max() > 1e-9:
+            ahead = back((flat(*point) + flat(*ahead)) / 2)
+            continue
         if after < value - ROUNDING * max(1.0, abs(value)):
             raise ArithmeticError(f"the log-likelihood fell from {value!r} to {after!r}")
         history.append(after)
@@ -350,36 +355,96 @@ def node_log_weights() -> np.ndarray:
     return lw - np.log(np.exp(lw).sum())
 
 
-def curve_mode(total: np.ndarray, right: np.ndarray, a: float, d: float) -> tuple[float, float]:
-    """M-step of one curve: posterior mode of (slope, intercept), slope
-    lognormal(0, 1) and intercept normal(0, 2), by damped Newton steps."""
+#: Points of the quadrature about each pattern's mode, and numbers of a task's array of
+#: patterns x points x items.
+POINTS, CUBE = 21, 1_000_000
 
-    def value(s: float, d: float) -> float:
-        # The lognormal density of a = e^s has log kernel -s^2/2 - s.
-        z = np.exp(s) * NODES + d
-        return (right * z - total * np.logaddexp(0, z)).sum() - s * s / 2 - s - d * d / 8
 
+def curve_sums(patterns: DataFrame, codec: Codec, a: np.ndarray, d: np.ndarray, tasks: int, points: int = POINTS) -> tuple[np.ndarray, float]:
+    """Of two-parameter curves: by item the sums e theta, e, v theta^2, v theta and v over the posterior of
+    ability, with e = answer - p and v = p (1 - p), and the log-likelihood.
+
+    Each pattern's integral takes Gauss-Hermite points about the mode of its own posterior, as
+    wide as the curvature there says, so a long form, whose posteriors are narrow, needs
+    no more points than a short one.
+    """
+    unpack, n_items = codec.unpacker(), len(codec.items)
+    x_gh, w_gh = np.polynomial.hermite.hermgauss(points)
+    rows_at_once = max(1, CUBE // (points * max(1, n_items)))
+
+    def sums_of(answered: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        mode = np.zeros(len(right))
+        for _ in range(50):  # the posterior is log-concave; steps of one at most cannot run away
+            p = 1 / (1 + np.exp(-(mode[:, None] * a + d)))
+            slope = ((right - answered * p) * a).sum(axis=1) - mode
+            curve = (answered * p * (1 - p) * a * a).sum(axis=1) + 1
+            move = np.clip(slope / curve, -1, 1)
+            mode += move
+            if np.abs(move).max() < 1e-10:
+                break
+        width = np.sqrt(2 / curve)
+        theta = mode[:, None] + width[:, None] * x_gh
+        z = theta[:, :, None] * a + d
+        soft = np.logaddexp(0, z)
+        joint = (z * right[:, None, :] - soft * answered[:, None, :]).sum(axis=2) - theta * theta / 2
+        joint += np.log(w_gh) + x_gh * x_gh + np.log(width / np.sqrt(2 * np.pi))[:, None]
+        top = joint.max(axis=1, keepdims=True)
+        w = np.exp(joint - top)
+        total = w.sum(axis=1, keepdims=True)
+        w *= n[:, None] / total
+        p = np.exp(z - soft)
+        e = right[:, None, :] - answered[:, None, :] * p
+        v = answered[:, None, :] * p * (1 - p)
+        wt = w * theta
+        return np.stack(
+            [
+                np.einsum("pq,pqi->i", wt, e),
+                np.einsum("pq,pqi->i", w, e),
+                np.einsum("pq,pqi->i", wt * theta, v),
+                np.einsum("pq,pqi->i", wt, v),
+                np.einsum("pq,pqi->i", w, v),
+            ]
+        ), float(n @ (top + np.log(total))[:, 0])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, loglik = np.zeros((5, n_items)), 0.0
+        for batch in batches:
+            answered, right = unpack(batch)
+            n = batch.column("n").to_numpy().astype(float)
+            for start in range(0, len(n), rows_at_once):
+                some = slice(start, start + rows_at_once)
+                one, ll = sums_of(answered[some], right[some], n[some])
+                sums, loglik = sums + one, loglik + ll
+        cells = np.r_[sums.ravel(), loglik]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.size), pa.int32()), pa.array(cells)], ["cell", "v"])
+
+    (cells,) = add_up(patterns.mapInArrow(task, "cell int, v double"), ["v"], 5 * n_items + 1, tasks)
+    return cells[:-1].reshape(5, n_items), float(cells[-1])
+
+
+def curve_step(sums: np.ndarray, a: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One scoring step for every curve on (log slope, intercept), with slopes lognormal(0, 1)
+    and intercepts normal(0, 2) beforehand; the log kernel of a = e^s is -s^2/2 - s."""
+    e_theta, e, v_theta2, v_theta, v = sums
     s = np.log(a)
-    for _ in range(NEWTON_STEPS):
-        slope = np.exp(s)
-        p = 1 / (1 + np.exp(-(slope * NODES + d)))
-        e, v = right - total * p, total * p * (1 - p)
-        grad = np.array([slope * (e @ NODES) - s - 1, e.sum() - d / 4])
-        cross = slope * (v @ NODES)
-        info = np.array([[slope * slope * (v @ NODES**2) + 1, cross], [cross, v.sum() + 0.25]])
-        move, old, size = np.linalg.solve(info, grad), value(s, d), 1.0
-        while size > 1e-8 and value(s + size * move[0], d + size * move[1]) < old:
-            size /= 2
-        s, d = s + size * move[0], d + size * move[1]
-        if np.abs(size * move).max() < 1e-8:
-            return float(np.exp(s)), float(d)
-    raise ArithmeticError(f"no mode of an item's curve in {NEWTON_STEPS} steps")
-
-
-def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int | None = None, accelerate: bool = True, id_col: str = ID) -> Irt2plFit:
-    """Two-parameter curves, logit = a * theta + d, theta ~ N(0, 1): the same
-    E-step with 61 grid points in place of classes.  ``history`` is the
-    penalised log-likelihood, which EM never lowers.  ``tol``, ``max_iter``,
+    grad_s, grad_d = a * e_theta - s - 1, e - d / 4
+    ss, sd, dd = a * a * v_theta2 + 1, a * v_theta, v + 0.25
+    det = ss * dd - sd * sd
+    return np.exp(s + np.clip((dd * grad_s - sd * grad_d) / det, -1, 1)), d + np.clip((ss * grad_d - sd * grad_s) / det, -2, 2)
+
+
+def fit_2pl(
+    resp: DataFrame,
+    items: list[int],
+    tol: float = 1e-4,
+    max_iter: int | None = None,
+    accelerate: bool = True,
+    id_col: str = ID,
+    points: int = POINTS,
+) -> Irt2plFit:
+    """Two-parameter curves, logit = a * theta + d, theta ~ N(0, 1), by marginal maximum
+    likelihood with quadrature about each pattern's mode.  A step is one pass over the
+    patterns; ``history`` is the penalised log-likelihood.  ``tol``, ``max_iter``,
     ``accelerate`` and ``converged`` as in :func:`fit_dcm`."""
     spark = resp.sparkSession
     codec = Codec(sorted(items))
@@ -387,14 +452,12 @@ def fit_2pl(resp: DataFrame, items: list[int], tol: float = 1e-4, max_iter: int
     tasks = n_tasks(patterns)
 
     def step(a: np.ndarray, d: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
-        pi = 1 / (1 + np.exp(-(a[:, None] * NODES + d[:, None])))
-        total, right, _, loglik = expected_counts(patterns, codec, pi, node_log_weights(), tasks)
-        solved = np.array([curve_mode(*row) for row in zip(total, right, a, d)])
-        return float(loglik + (-np.log(a) ** 2 / 2 - np.log(a) - d**2 / 8).sum()), (solved[:, 0], solved[:, 1])
+        sums, loglik = curve_sums(patterns, codec, a, d, tasks, points)
+        return float(loglik + (-np.log(a) ** 2 / 2 - np.log(a) - d**2 / 8).sum()), curve_step(sums, a, d)
 
     n = len(codec.items)
     start = np.ones(n), np.zeros(n)
-    got = climb(step, start, lambda a, d: np.r_[np.log(a), d], lambda x: (np.exp(x[:n]), x[n:]), tol, None, max_iter, accelerate)
+    got = climb(step, start, lambda a, d: np.r_[np.log(a), d], lambda x: (np.exp(x[:n]), x[n:]), tol, None, max_iter, accelerate, halve=True)
     a, d = got.point
     table = pa.table({"item_id": pa.array(codec.items, pa.int32()), "a": pa.array(a), "d": pa.array(d)})
     return Irt2plFit(spark.createDataFrame(table), got.value, got.jobs, got.history, got.converged)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masterline.catalog import people
-from masterline.operators import scoring
+from masterline.operators import sampling, scoring
 from masterline.operators.joins import left_join
 from masterline.plans import draws, em
 from masterline.plans.lineage import scratch
@@ -60,7 +60,7 @@ def stored_results(spark: SparkSession, sf: str) -> DataFrame:
     f"""{people.SUPPLIER_DRAWS},
 place AS (SELECT draw, (draw - 1) % 4 + 1 AS chain, (draw - 1) // 4 + 1 AS iteration FROM drw),
 merged AS (SELECT draw AS old, (chain - 1) * (SELECT max(iteration) FROM place) + iteration AS draw FROM place)
-SELECT m.draw % 10 AS last_digit, item_id, class_id, round(avg(pi), 6) AS pi, round(avg(nu), 6) AS nu, count(*) AS n
+SELECT m.draw % 10 AS last_digit, item_id, class_id, round(avg(pi), 6) AS pi, round(avg(nu), 6) AS nu, count(*) AS n, (SELECT count(*) FROM drw) AS n_draws
 FROM draw_pi p JOIN draw_nu USING (draw, class_id) JOIN merged m ON m.old = p.draw GROUP BY 1, 2, 3"""
 )
 def stored_draws(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +74,7 @@ def stored_draws(spark: SparkSession, sf: str) -> DataFrame:
     means = scoring.draw_mean(both, ["last_digit", "item_id", "class_id"], "pi")
     shares = both.groupBy("last_digit", "item_id", "class_id").agg(F.avg("nu").alias("nu"), F.count(F.lit(1)).alias("n"))
     rounded = [F.round(c, 6).alias(c) for c in ("pi", "nu")]
-    return means.join(shares, ["last_digit", "item_id", "class_id"]).select("last_digit", "item_id", "class_id", *rounded, "n")
+    return means.join(shares, ["last_digit", "item_id", "class_id"]).select("last_digit", "item_id", "class_id", *rounded, "n", sampling.count_draws(made.nu).scalar().alias("n_draws"))
 
 
 @query(

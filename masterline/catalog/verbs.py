@@ -205,8 +205,12 @@ def event_props(spark, sf):
 
 # --- text ----------------------------------------------------------------------
 
+# The fixed titles and names of functions.text, as SQL lists.
+_LOWER = ", ".join(f"'{t}'" for t in text.LOWERCASE_TITLES)
+_OLD, _NEW = next(iter(text.RENAMED.items()))
+_STEMS = f"{_LOWER}, '{_OLD.lower()}'"
 _TITLE = (
-    "CASE WHEN p_partkey % 11 = 0 THEN ['reputation', 'folklore', 'evermore', 'debut'][CAST(p_partkey % 4 AS INTEGER) + 1] "
+    f"CASE WHEN p_partkey % 11 = 0 THEN [{_STEMS}][CAST(p_partkey % 4 AS INTEGER) + 1] "
     "ELSE replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '-tv' ELSE '' END END"
 )
 
@@ -215,14 +219,14 @@ _TITLE = (
     f"""WITH a AS (SELECT p_partkey, 'figure/images/' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '-' || {_TITLE} || '.png' AS img FROM part),
 b AS (SELECT *, replace(regexp_replace(regexp_replace(split_part(img, '/', 3), '\\.[^.]+$', ''), '^[0-9]{{2}}-', ''), '-', ' ') AS stem FROM a),
 c AS (SELECT *, array_to_string(list_transform(string_split(lower(stem), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titled FROM b),
-d AS (SELECT *, CASE WHEN stem IN ('reputation', 'folklore', 'evermore') THEN stem
-  WHEN contains(stem, 'tv') THEN regexp_replace(titled, 'Tv', '(TV)') ELSE titled END AS era FROM c)
-SELECT p_partkey, img, era, CASE WHEN contains(era, '(TV)') THEN regexp_replace(era, 'TV', 'Taylor''s Version')
-  WHEN era = 'Debut' THEN 'Taylor Swift' ELSE era END AS album FROM d"""
+d AS (SELECT *, CASE WHEN stem IN ({_LOWER}) THEN stem
+  WHEN contains(stem, 'tv') THEN regexp_replace(titled, 'Tv', '({text.SHORT_TAG})') ELSE titled END AS era FROM c)
+SELECT p_partkey, img, era, CASE WHEN contains(era, '({text.SHORT_TAG})') THEN regexp_replace(era, '{text.SHORT_TAG}', '{text.LONG_TAG.replace("'", "''")}')
+  WHEN era = '{_OLD}' THEN '{_NEW}' ELSE era END AS album FROM d"""
 )
 def clean_title(spark, sf):
     stem = F.expr(
-        "if(p_partkey % 11 = 0, element_at(array('reputation', 'folklore', 'evermore', 'debut'), cast(p_partkey % 4 as int) + 1), "
+        f"if(p_partkey % 11 = 0, element_at(array({_STEMS}), cast(p_partkey % 4 as int) + 1), "
         "concat(replace(p_name, ' ', '-'), if(p_partkey % 3 = 0, '-tv', '')))"
     )
     path = F.concat(F.lit("/home/figure/user/figure/images/"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("-"), stem, F.lit(".png"))

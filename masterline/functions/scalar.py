@@ -47,12 +47,6 @@ def held_all(mask: Column, needed: Column) -> Column:
     return mask.bitwiseAND(needed) == needed
 
 
-def log_sum_exp(cols: list[Column]) -> tuple[Column, Column]:
-    """(maximum, log of the summed exponentials) over a list of columns."""
-    top = F.greatest(*cols) if len(cols) > 1 else cols[0]
-    return top, top + F.ln(reduce(lambda a, b: a + b, [F.exp(c - top) for c in cols]))
-
-
 def mastered(p: Column, threshold: float = 0.5, inclusive: bool = True) -> Column:
     """1/0 by threshold.  ``inclusive`` leaves NULL as NULL; the strict rule
     has a default branch, so there NULL becomes 0."""

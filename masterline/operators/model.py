@@ -32,11 +32,6 @@ def profile_bits(class_id: Column, n_attr: int) -> Column:
     return F.array(*[bit(class_id, k) for k in range(n_attr)])
 
 
-def profile_label(class_id: Column, n_attr: int) -> Column:
-    """Class id -> "[1,0,..]"."""
-    return F.concat(F.lit("["), F.concat_ws(",", profile_bits(class_id, n_attr).cast("array<string>")), F.lit("]"))
-
-
 def possible_items(items: DataFrame, lo: int = 1, hi: int = 2) -> DataFrame:
     """Items that measure between lo and hi attributes."""
     return items.filter(F.bit_count("q_mask").between(lo, hi))

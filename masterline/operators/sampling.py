@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from masterline.functions.hashing import PRIME, array_uniforms, u01
@@ -138,22 +138,6 @@ def _by_row(df: DataFrame, array: str, r: str, name: str, value) -> DataFrame:
     return df.select(*[f"`{c}`" for c in names], F.col(array).alias("__array"), F.expr(f"cast({r} as bigint) AS __r")).mapInArrow(task, schema)
 
 
-def pick_class(weights: Column, u: Column) -> Column:
-    """0-based index drawn from an array of weights by inverting its cumulative
-    sum at u; the last index catches rounding at the upper end."""
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("below"))
-    walk = F.aggregate(
-        weights,
-        start,
-        lambda acc, w: F.struct(
-            (acc["cum"] + w).alias("cum"),
-            (acc["below"] + F.when(acc["cum"] + w <= u * total, 1).otherwise(0)).alias("below"),
-        ),
-    )
-    return F.least(walk["below"], F.size(weights) - 1)
-
-
 def assign_labels(df: DataFrame, labels: DataFrame, key: str, label: str, label_key: str, salt: int) -> DataFrame:
     """Give each row its own label, in shuffled order; too few labels fail.
 

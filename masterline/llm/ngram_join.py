@@ -43,7 +43,7 @@ BUCKET, BLOCK = 512, 128
 #: more than four standard deviations below the threshold.
 SKETCH, LEAST = 64, 0.58
 TOKENS = re.compile(r"\w+")
-CACHE = 1 << 18
+CACHE = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -4,11 +4,11 @@ Documents with the same set of n-grams are one class. A class has a MinHash
 signature, a fixed-size stand-in for its set in which two sets agree at a place with
 the probability of their similarity. Every run of the join splits the classes
 recursively: a bucket picks one or two places of the signature (1 / threshold
-on average) and a class goes to the child named by the token at each of them. Buckets
-that are small after three levels are compared by brute force on short sketches;
-larger ones are split for three more levels, and what is still large (copies
-beyond number agree everywhere) is compared in random parts and with the bucket's
-smallest member. Runs are repeated until a pair at the threshold is found with
+on average) and a class goes to the child named by the token at each of them. After
+three levels buckets are compared by brute force on short sketches, large ones block
+by block, so that every pair of a bucket meets. A bucket so large that this would be
+dear is first split for three more levels, in as many runs of its own as give its
+pairs the target recall. Runs are repeated until a pair at the threshold is found with
 the target recall.
 
 Classes tied together by any run are candidates. Their sets are then compared
@@ -37,8 +37,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 PLACES = 128
 LEVELS = 3
-#: A bucket up to this size is compared by brute force; a group's blocks have about half.
-BUCKET, BLOCK = 512, 128
+#: Members compared at once; a larger bucket is compared by pairs of blocks of half as many, and one
+#: beyond ``LARGE`` is split again first. Sets in a block of a tied group.
+BUCKET, LARGE, BLOCK = 512, 1 << 14, 128
 #: Places of the sketch (4 bits each) and the least estimated similarity of a candidate,
 #: more than four standard deviations below the threshold.
 SKETCH, LEAST = 64, 0.58
@@ -151,9 +152,9 @@ def _paths(n_runs: int, deeper: bool):
                 continue
             signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), "<u4").reshape(-1, PLACES)
             sketches = _sketches(signs)
-            roots = [batch.column("bucket").to_numpy().view(np.uint64)] if deeper else [np.full(len(signs), r + 1, np.uint64) for r in range(n_runs)]
-            for root in roots:
-                rows, nodes = paths(signs, _mix(root * MIX), LEVELS)
+            above = batch.column("bucket").to_numpy().view(np.uint64) if deeper else np.zeros(len(signs), np.uint64)
+            for k in range(n_runs):
+                rows, nodes = paths(signs, _mix((above + np.uint64(k + 1)) * MIX), LEVELS)
                 took = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -182,7 +183,7 @@ def local_roots(near: np.ndarray) -> np.ndarray:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ties between the members of a bucket whose sketches are close, to the smallest of each knot."""
     out: list[tuple[bytes, bytes]] = []
-    for bucket in grouped(batches, "bucket", "part"):
+    for bucket in grouped(batches, "bucket", "i", "j"):
         members = dict(zip(bucket.column("set_id").to_pylist(), bucket.column("sketch").to_pylist(), strict=True))
         if len(members) < 2:
             continue
@@ -206,39 +207,37 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def _met(placed: DataFrame, many: DataFrame) -> DataFrame:
+    """Ties within buckets; ``many`` has the sizes ``n`` of those above ``BUCKET``, by ``of``."""
+    blocks = F.coalesce(F.ceil(F.col("n") / (BUCKET // 2)), F.lit(1)).cast("long")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    members = (
+        placed.join(many, F.col("bucket") == F.col("of"), "left")
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("set_id", "bucket"), "blocks"))
+        .withColumn("other", other)
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "sketch")
+    )
+    members = members.repartition(n_partitions(placed.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return members.mapInArrow(_compare, "a binary, b binary")
+
+
 def candidates(classes: DataFrame, n_runs: int) -> DataFrame:
     """Ties (a, b) between classes (set_id, sign) that some run's bucket brings together."""
-    spark = classes.sparkSession
-    n = n_partitions(spark)
     schema = "bucket long, set_id binary, sketch binary"
-    found = []
+
+    def sizes(placed: DataFrame) -> DataFrame:
+        return store(placed.groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {BUCKET}")).withColumnRenamed("bucket", "of")
+
     placed = store(classes.mapInArrow(_paths(n_runs, False), schema))
-    for deeper in (False, True):
-        many = store(placed.groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {BUCKET}")).withColumnRenamed("bucket", "of")
-        large = many.limit(1).count() > 0
-        same, parts = F.col("bucket") == F.col("of"), F.ceil(F.col("n") / BUCKET)
-        if not large:
-            members = placed.withColumn("part", F.lit(0).cast("long"))
-        elif not deeper:
-            members = placed.join(many, same, "left_anti").withColumn("part", F.lit(0).cast("long"))
-        else:  # the smallest member of a large bucket joins all its parts
-            part = F.coalesce(F.pmod(F.xxhash64("set_id", "bucket"), parts), F.lit(0)).cast("long")
-            spread = F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))
-            every = placed.join(many, same).groupBy("bucket", "n").agg(F.min(F.struct("set_id", "sketch")).alias("least"))
-            every = every.select("bucket", "least.*", spread.alias("part"))
-            members = placed.join(many, same, "left").withColumn("part", part).select("bucket", "set_id", "sketch", "part").union(every)
-        members = members.select("bucket", "part", "set_id", "sketch")
-        members = members.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
-        found.append(members.mapInArrow(_compare, "a binary, b binary"))
-        if deeper or not large:
-            break
-        rest = placed.join(many.select("of"), F.col("bucket") == F.col("of")).select("bucket", "set_id")
-        again = rest.join(classes, "set_id").select("bucket", "set_id", "sign")
-        placed = store(again.mapInArrow(_paths(n_runs, True), schema))
-    ties = found[0]
-    for more in found[1:]:
-        ties = ties.union(more)
-    return ties.distinct()
+    many = sizes(placed)
+    huge = many.where(f"n > {LARGE}").select("of")
+    if huge.isEmpty():
+        return _met(placed, many).distinct()
+    same = F.col("bucket") == F.col("of")
+    again = placed.join(huge, same).select("bucket", "set_id").join(classes, "set_id").select("bucket", "set_id", "sign")
+    split = store(again.mapInArrow(_paths(n_runs, True), schema))
+    return _met(placed.join(huge, same, "left_anti"), many).union(_met(split, sizes(split))).distinct()
 
 
 def _sets(n: int, shared):
@@ -309,7 +308,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_words: int
     included), component_id the smallest id that links reach, and kept whether that is
     the document's own. Texts without words (null, empty) link with nothing and are
     classes of their own. A pair at the threshold is tied with probability ``recall``
-    by its own buckets, and each tied group is compared exactly. Rows with equal ids
+    by its own buckets if its agreement over the 128 places is as expected, and each
+    tied group is compared exactly. Rows with equal ids
     are separate documents; a null id is never the smallest unless all are null.
     """
     spark = docs.sparkSession

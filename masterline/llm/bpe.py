@@ -51,15 +51,18 @@ def whole_piece_encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
 def _chunk_rows(chunk: int, ids: list, counts: list[int], numbers: array, index: dict[str, int], n_parts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A row with the chunk's documents, and one for each part with its words.
 
-    Words are numbered anew, the most frequent first: small numbers pack better.
+    Words are numbered anew, the most frequent first, as small numbers pack better; those of one
+    frequency, most of them, go by part and then by spelling, so that both pack well too.
     """
     found = np.frombuffer(numbers, np.uint32)
-    by_count = np.argsort(-np.bincount(found, minlength=len(index)), kind="stable")
-    place = np.empty(len(index), np.uint32)
-    place[by_count] = np.arange(len(index))
-    known = list(index)
-    words = [known[i].encode("utf-8", "surrogatepass") for i in by_count]
-    parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.uint32, len(words))
+    spelled = [w.encode("utf-8", "surrogatepass") for w in index]
+    part_of = np.fromiter((zlib.crc32(w) % n_parts for w in spelled), np.uint32, len(spelled))
+    order = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
+    for key in (part_of, -np.bincount(found, minlength=len(spelled))):
+        order = order[np.argsort(key[order], kind="stable")]
+    place = np.empty(len(spelled), np.uint32)
+    place[order] = np.arange(len(spelled))
+    words, parts = [spelled[i] for i in order.tolist()], part_of[order]
     order = np.argsort(parts, kind="stable")
     edges = np.flatnonzero(np.diff(parts[order])) + 1
     empty = dict.fromkeys(schema.names)
@@ -67,7 +70,7 @@ def _chunk_rows(chunk: int, ids: list, counts: list[int], numbers: array, index:
     for own in np.split(order, edges) if len(order) else []:
         mine = [words[i] for i in own]
         sizes = pack([len(w) for w in mine])
-        rows.append(empty | {"chunk": chunk, "part": int(parts[own[0]]), "words": zip_bytes(b"".join(mine), 5), "sizes": sizes})
+        rows.append(empty | {"chunk": chunk, "part": int(parts[own[0]]), "words": zip_bytes(b"".join(mine), 9), "sizes": sizes})
     yield pa.RecordBatch.from_pylist(rows, schema)
 
 

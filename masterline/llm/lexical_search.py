@@ -31,7 +31,7 @@ from masterline.llm.packing import pack, pack_ranks, unpack, unpack_ranks, unzip
 
 RESULTS = 20
 #: Columns of a grid at most, and about so many characters; words counted at once.
-DOCS, CHARS, WORDS = 4096, 16 << 20, 1 << 20
+DOCS, CHARS, WORDS = 4096, 8 << 20, 1 << 19
 #: Ranges opened at once.
 FRONT = 48
 #: Query terms sent to the tasks at once.

@@ -5,7 +5,8 @@ label are dealt out to shards of bounded size, each with a hierarchical navigabl
 small-world graph; a point queries its own shard and those with a smaller number, so a
 pair of points meets once. A task first audits its graph: for a sample of queries
 the links and nearest points found are held against brute force, and the beam is
-doubled until the recall is reached. Every found pair is settled by its cosine in
+doubled until the recall is reached; where no beam reaches it, the shard's points are all
+compared. Every found pair is settled by its cosine in
 double precision. Tasks emit counts and spanning links, never all pairs of a group.
 """
 
@@ -25,6 +26,8 @@ THRESHOLD = 0.93
 SHARD, QUERIES = 2048, 16384
 LINKS, BUILD_BEAM, BEAM = 12, 48, 32
 RECALL, AUDIT = 0.99, 48
+#: Queries compared with all points of a shard at once.
+AT_ONCE = 256
 
 
 class Graph:
@@ -122,7 +125,8 @@ class Graph:
         return self._beam(q, 0, at, beam, reach)
 
     def audited_beam(self, queries: np.ndarray, beam: int, threshold: float) -> int:
-        """``beam``, doubled until the sampled queries' links and five nearest points are found."""
+        """``beam``, doubled until the sampled queries' links and five nearest points are found;
+        0 where only all points would do, as in a small shard or a graph that has fallen apart."""
         while beam < len(self.x):
             wanted = found = 0
             for q in queries:
@@ -133,9 +137,21 @@ class Graph:
                 wanted += len(true)
                 found += int(np.isin(true, ids).sum())
             if found >= RECALL * wanted:
-                break
+                return beam
             beam *= 2
-        return beam
+        return 0
+
+    def near(self, queries: np.ndarray, beam: int, threshold: float) -> Iterator[np.ndarray]:
+        """For each query the points found at the threshold: by the beam or, where that is 0, by the
+        product with all points."""
+        if beam:
+            for q in queries:
+                ids, sims = self.search(q, beam, threshold)
+                yield ids[sims >= threshold]
+            return
+        for start in range(0, len(queries), AT_ONCE):
+            for sims in queries[start : start + AT_ONCE] @ self.x.T:
+                yield np.flatnonzero(sims >= threshold)
 
 
 def _vectors(table: pa.Table) -> np.ndarray:
@@ -179,11 +195,11 @@ def _query(threshold: float):
                 graph, shard_nodes, copies, beam = Graph(points), nodes, n, BEAM
                 place = {node: i for i, node in enumerate(nodes)}
                 continue
-            beam = graph.audited_beam(points[:: max(1, len(points) // AUDIT)], beam, threshold)
+            # A graph that failed an audit is not asked again.
+            beam = beam and graph.audited_beam(points[:: max(1, len(points) // AUDIT)], beam, threshold)
             links, own = _Links(), {}
-            for q, node, q_copies in zip(points, nodes, n, strict=True):
-                ids, sims = graph.search(q, beam, threshold)
-                for i in ids[sims >= threshold].tolist():
+            for found, node, q_copies in zip(graph.near(points, beam, threshold), nodes, n, strict=True):
+                for i in found.tolist():
                     if node in place:  # a pair within the shard may be found from both sides
                         k = place[node]
                         if i != k:

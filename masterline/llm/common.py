@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,6 +55,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LAST_ID = (1 << 63) - 1
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def with_number(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Adds ``name``, a long that orders rows as their id does; a null id has the largest.
+
+    A whole number stands for itself. Ids of another type are sorted in parts, and numbered by
+    part and place; the numbers are stored, so that they stay the same.
+    """
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return df.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)))
+    ids = df.select(F.col(id_col).alias("__of")).where("__of IS NOT NULL").distinct()
+    ranged = ids.repartitionByRange(n_partitions(df.sparkSession), "__of").sortWithinPartitions("__of")
+    numbers = store(ranged.withColumn("__number", F.monotonically_increasing_id()))
+    joined = df.join(numbers, F.col(id_col) == F.col("__of"), "left")
+    return joined.withColumn(name, F.coalesce("__number", F.lit(LAST_ID))).drop("__of", "__number")
+
+
 def grouped(batches, *keys: str):
     """Consecutive rows with equal keys, as one table each, from batches sorted by them."""
     held: list[pa.RecordBatch] = []

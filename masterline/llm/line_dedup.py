@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masterline.llm.common import store
+from masterline.llm.common import fresh, store, with_number
 from masterline.llm.repeats import filter_bits, repeat_filter, suspected
 
 BLANK = b" \t\n\x0b\x0c\r"
-LAST_ID = (1 << 63) - 1
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -64,11 +63,11 @@ def _suspects(shared, min_chars: int):
     return run
 
 
-def _rebuild(text_col: str, counts: tuple[str, str], names: list[str]):
+def _rebuild(text_col: str, drop_col: str, counts: tuple[str, str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column(drop_col).to_pylist(), strict=True):
                 lines = (text or "").encode().split(b"\n")
                 n_lines.append(len(lines))
                 if drop:
@@ -100,12 +99,14 @@ def dedup_lines(
     and the two columns named in ``counts`` (which replace columns so named): lines
     before, and lines dropped. A null text stays null and counts as one empty line;
     keys under ``min_chars`` code points are never dropped, nor are repeats within
-    one document. Rows that share an id are one document. A null id counts as
-    the largest. ``bits`` sizes a filter; by default some 16 for each line of the
+    one document. Rows that share an id are one document. Ids are of any type that
+    sorts; a null id counts as the largest. ``bits`` sizes a filter; by default some 16 for each line of the
     average length of 64 bytes, within the module's bounds.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    key, own, drop = (fresh(name, docs) for name in ("__key", "__id", "__drop"))
+    marked = with_number(docs, id_col, key)
+    plain = marked.select(F.col(key).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     if bits is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         bits = filter_bits(size // 64)
@@ -119,11 +120,9 @@ def dedup_lines(
         .where("first < last")
         .select("key", "first")
     )
-    drops = (
-        suspects.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("key").alias("__drop"))
-    ).withColumnRenamed("doc_id", "__id")
-    marked = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long"))
-    joined = marked.join(drops, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
+    later = suspects.join(first, "key").where("doc_id > first")
+    drops = later.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("key").alias(drop))
+    joined = marked.join(drops, F.col(key) == F.col(own), "left").drop(key, own)
     fields = [f for f in docs.schema.fields if f.name not in counts]
     schema = T.StructType([*fields, T.StructField(counts[0], T.LongType()), T.StructField(counts[1], T.LongType())])
-    return joined.mapInArrow(_rebuild(text_col, counts, schema.names), schema)
+    return joined.mapInArrow(_rebuild(text_col, drop, counts, schema.names), schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from masterline.llm.common import n_partitions, store
+from masterline.llm.common import fresh, n_partitions, store, with_number
 from masterline.llm.packing import blocks, gather, pack, unpack, unzip_bytes, zip_bytes
 from masterline.llm.repeats import filter_bits, repeat_filter, suspected
 
@@ -36,7 +36,6 @@ ANCHOR, WORD = 20, 6
 PIECE = 1 << 20
 CHUNK_BYTES = 1 << 25
 SORT_BYTES = 1 << 20
-LAST_ID = (1 << 63) - 1
 MULTIPLIER = 0x9FB21C651E98DF25
 
 
@@ -382,15 +381,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Removes every byte of a text's UTF-8 covered by a string of ``length`` bytes (from
     20 to 1,000) that also starts in a document with a smaller id, as the input stands;
     a maximal removed run is a span. A null text is empty. Rows with equal ids don't
-    count as earlier than one another; a null id is larger than all others. What
-    is kept may end within a character.
+    count as earlier than one another; ids are of any type that sorts, and a null id is
+    larger than all others. What is kept may end within a character.
     """
     spark = docs.sparkSession
     if not ANCHOR <= length <= 1000:
         raise ValueError(f"length must be from {ANCHOR} to 1000")
     n = n_partitions(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("key"), F.unhex(F.md5(text)).alias("mark"), text.cast("binary").alias("text"))
+    text, key = F.coalesce(F.col(text_col), F.lit("")), fresh("__key", docs)
+    rows = with_number(docs, id_col, key).select(F.col(id_col).alias("doc_id"), F.col(key).alias("key"), F.unhex(F.md5(text)).alias("mark"), text.cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = filter_bits(2 * size // (length - ANCHOR + 2))
     long_enough = rows.where(F.octet_length("text") >= length)

@@ -70,7 +70,7 @@ def stored_draws(spark: SparkSession, sf: str) -> DataFrame:
     io.write_table(fx.jittered_pi(numbers).drop("draw"), f"{path}/pi")
     io.write_table(fx.jittered_nu(numbers).drop("draw"), f"{path}/nu")
     made = draws.load_draws(spark, f"{path}/pi", f"{path}/nu")
-    both = made.pi.join(made.nu, ["draw", "class_id"]).withColumn("last_digit", F.col("draw") % 10)
+    both = made.pi.join(made.nu, ["draw", "class_id"]).withColumn("last_digit", (F.col("draw") % 10).cast("int"))
     means = scoring.draw_mean(both, ["last_digit", "item_id", "class_id"], "pi")
     shares = both.groupBy("last_digit", "item_id", "class_id").agg(F.avg("nu").alias("nu"), F.count(F.lit(1)).alias("n"))
     rounded = [F.round(c, 6).alias(c) for c in ("pi", "nu")]

@@ -14,6 +14,7 @@ from masterline.operators import irt, model, sampling, scoring, verbs
 from masterline.operators.joins import left_join, lookup_join
 from masterline.plans import draws as pd_draws
 from masterline.plans import em
+from masterline.plans.lineage import large
 from masterline.sources import fixtures as fx
 from masterline.sources import io
 
@@ -46,7 +47,7 @@ def mastery_by_segment(spark: SparkSession, sf: str) -> DataFrame:
     classes = scoring.classify(post, attrs)
     people = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("resp_id"), "c_mktsegment")
     return (
-        classes.join(people, "resp_id")
+        classes.join(large(people), "resp_id")
         .groupBy("c_mktsegment")
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(a) for a in attrs])
         .orderBy("c_mktsegment")
@@ -245,7 +246,7 @@ def map_profile(spark, sf):
 def people(spark, sf) -> DataFrame:
     """(resp_id, class_id, theta): known class and a theta from the balance."""
     theta = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("resp_id"), ((F.col("c_acctbal") - 4500) / 2000).alias("theta"))
-    return fx.known_classes(spark, sf).join(theta, "resp_id")
+    return fx.known_classes(spark, sf).join(large(theta), "resp_id")
 
 
 def targets(spark, sf) -> DataFrame:
@@ -377,7 +378,7 @@ SELECT c_name AS resp_id, class_id, round(w, 6) AS w FROM post JOIN customer ON
 def class_posterior_by_name(spark, sf):
     """Respondents known by a text id, in a column of their own name."""
     names = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("resp_id"), "c_name")
-    resp = fx.responses(spark, sf).join(names, "resp_id").drop("resp_id")
+    resp = fx.responses(spark, sf).join(large(names), "resp_id").drop("resp_id")
     post = scoring.posterior(resp, fx.start_pi(spark), fx.start_nu(spark), fx.N_ATTR, id_col="c_name")
     return post.select(F.col("c_name").alias("resp_id"), F.posexplode("w").alias("class_id", "w")).select("resp_id", "class_id", r6("w"))
 

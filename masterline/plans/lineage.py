@@ -53,6 +53,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def large(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for a shuffled join: it grows with the respondents, however small its file.
+
+    A plan takes a table's size from its packed file, and would send one that packs well
+    to the driver and from there to every executor."""
+    return df.hint("merge")
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ from masterline.operators import irt, model, sampling, scoring, verbs
 from masterline.operators.joins import left_join, lookup_join
 from masterline.plans import draws as pd_draws
 from masterline.plans import em
-from masterline.plans.lineage import large
+from masterline.plans.lineage import large, spread
 from masterline.sources import fixtures as fx
 from masterline.sources import io
 
@@ -333,11 +333,15 @@ def long_form_replicates(spark, sf):
     codec = em.Codec.of(fx.qmatrix(spark))
     pi, nu = fx.draws_pi(spark, DRAWS), fx.draws_nu(spark, DRAWS)
     encoded = codec.encode(fx.responses(spark, sf), "resp_id")
-    post = pd_draws.draw_posterior(encoded.select(*codec.words).distinct(), codec, pi, nu)
-    key = "resp_id + draw * 1000003"
-    held = sampling.sample_index(encoded.join(post, codec.words).select("resp_id", "draw", "w"), "w", key, 83, "class_id")
+    post = sampling.packed(pd_draws.draw_posterior(encoded.select(*codec.words).distinct(), codec, pi, nu), "w")
+    key = F.expr("resp_id + draw * 1000003").alias("key")
+    # A respondent becomes a row for each draw: parts are fixed before, and each holds its
+    # respondents, by pattern, while the far longer list of draws streams past.
+    each = spread(encoded, *codec.words).hint("shuffle_hash").join(post, codec.words).select("draw", key, "w")
+    held = sampling.sample_index(each, "w", "key", 83, "class_id")
     forms = pi.groupBy("draw", "class_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "pi")))["pi"].alias("form"))
-    totals = sampling.bernoulli_total(lookup_join(held, forms, ["draw", "class_id"]), "form", codec.items, key, 84, "score")
+    asked = lookup_join(held, sampling.packed(forms, "form"), ["draw", "class_id"]).select("draw", "key", "form")
+    totals = sampling.bernoulli_total(asked, "form", codec.items, "key", 84, "score")
     return totals.groupBy("draw", "score").agg(F.count(F.lit(1)).alias("n"))
 
 

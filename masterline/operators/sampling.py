@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from masterline.functions.hashing import PRIME, array_uniforms, u01
 from masterline.operators.joins import left_join, neighbours
@@ -126,16 +127,42 @@ def _by_row(df: DataFrame, array: str, r: str, name: str, value) -> DataFrame:
     """``name``, of ``value(keys, arrays)``, in place of the column ``array``; batch by batch."""
     keep = [f for f in df.schema.fields if f.name not in (array, name)]
     names = [f.name for f in keep]
+    own = next((f.name for f in keep if f.name == r and isinstance(f.dataType, T.LongType)), "__r")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells = batch.column("__array").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                found = value(batch.column("__r").to_numpy(), cells)
+                column = batch.column("__array")
+                if pa.types.is_binary(column.type):
+                    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1]
+                    cells = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<f8")
+                else:
+                    cells = column.flatten().to_numpy(zero_copy_only=False)
+                found = value(batch.column(own).to_numpy(zero_copy_only=False), cells.reshape(batch.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], [*names, name])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], f"`{name}` int"])
-    return df.select(*[f"`{c}`" for c in names], F.col(array).alias("__array"), F.expr(f"cast({r} as bigint) AS __r")).mapInArrow(task, schema)
+    key = [F.expr(f"cast({r} as bigint) AS __r")] if own == "__r" else []
+    return df.select(*[f"`{c}`" for c in names], F.col(array).alias("__array"), *key).mapInArrow(task, schema)
+
+
+def packed(df: DataFrame, array: str) -> DataFrame:
+    """The column ``array`` of doubles as their bytes, which :func:`sample_index` and
+    :func:`bernoulli_total` take as well: what a join repeats many times over then goes to
+    Python as one value for each row, not number by number."""
+    keep = [f for f in df.schema.fields if f.name != array]
+    names = [f.name for f in keep]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(array)
+            values = column.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32) * 8
+            cells = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], cells], [*names, array])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], f"`{array}` binary"])
+    return df.select(*[f"`{c}`" for c in names], f"`{array}`").mapInArrow(task, schema)
 
 
 def assign_labels(df: DataFrame, labels: DataFrame, key: str, label: str, label_key: str, salt: int) -> DataFrame:

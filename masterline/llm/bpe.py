@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masterline.llm.common import n_partitions, store
+from masterline.llm.common import n_partitions, pieces, store
 from masterline.llm.packing import binary_rows, gather, pack, pack_ranks, unpack, unpack_ranks, unzip_bytes, zip_bytes
 from masterline.llm.packing import blocks as blocks_of
 
@@ -88,7 +88,7 @@ def _cut(pattern: str, chunk_chars: int, n_parts: int, id_type: pa.DataType):
             return [], [], array("I"), index
 
         ids, counts, numbers, index = fresh()
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if ids and chars + len(text) > chunk_chars:
                     yield from _chunk_rows(chunk, ids, counts, numbers, index, n_parts, schema)
@@ -178,17 +178,15 @@ def _decode(token_bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, lengths = token_bytes.value
         for batch in batches:
-            column = batch.column("ids")
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-            out = []
+            sizes = pc.fill_null(pc.binary_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
             for part in blocks_of(sizes, BLOCK):
-                ids = np.frombuffer(b"".join(x or b"" for x in column.slice(part.start, part.stop - part.start).to_pylist()), "<u4")
+                some = batch.slice(part.start, part.stop - part.start)
+                ids = np.frombuffer(b"".join(x or b"" for x in some.column("ids").to_pylist()), "<u4")
                 if len(ids) and ids.max() >= len(lengths) or (lengths[ids] == 0).any():
                     raise ValueError("an id that the token table doesn't hold")
                 sums = np.concatenate([[0], np.cumsum(lengths[ids])])
-                out.append(binary_rows(gather(flat, starts[ids], lengths[ids]), sums[np.cumsum(sizes[part])]))
-            decoded = pa.concat_arrays(out) if out else pa.array([], pa.binary())
-            yield batch.append_column("bytes", decoded)
+                decoded = binary_rows(gather(flat, starts[ids], lengths[ids]), sums[np.cumsum(sizes[part])])
+                yield some.append_column("bytes", decoded)
 
     return run
 

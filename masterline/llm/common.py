@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from masterline.llm.packing import blocks
+
+#: Bytes of text that a task turns into Python's objects at once.
+PIECE = 1 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors reach.
@@ -102,6 +109,16 @@ def grouped(batches, *keys: str):
         yield pa.Table.from_batches(held)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in order, in batches of at most ``most`` bytes (by default
+    ``PIECE``) of ``column``, or of one row. An Arrow batch has 10,000 rows however long they are,
+    and workers keep what their largest batch took."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for part in blocks(sizes, most or PIECE):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node that links reach, for the nodes of ``a``-``b`` links.
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from masterline.llm.common import pieces as text_pieces
+
 SEED = 8
 #: Items of fewer bytes are found where they stand exactly.
 SHORTEST = 24
@@ -248,7 +250,7 @@ def _search(shared, ratio: float, overlap: int, id_type: pa.DataType, item_type:
             if held:
                 yield held
 
-        for batch in batches:
+        for batch in text_pieces(batches):
             out = []
             for held in pieces(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 data = [d for _, _, d in held]

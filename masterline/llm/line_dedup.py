@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masterline.llm.common import fresh, store, with_number
+from masterline.llm.common import fresh, pieces, store, with_number
 from masterline.llm.repeats import filter_bits, repeat_filter, suspected
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -44,14 +44,15 @@ def _hashes(keys) -> np.ndarray:
 
 def _key_hashes(min_chars: int):
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _hashes([k for t in batch.column("text").to_pylist() for k in _doc_keys(t, min_chars)])
+        for piece in pieces([batch]):
+            yield _hashes([k for t in piece.column("text").to_pylist() for k in _doc_keys(t, min_chars)])
 
     return run
 
 
 def _suspects(shared, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, keys = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = _doc_keys(text, min_chars)
@@ -65,7 +66,7 @@ def _suspects(shared, min_chars: int):
 
 def _rebuild(text_col: str, drop_col: str, counts: tuple[str, str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             kept, n_lines, n_dropped = [], [], []
             for text, drop in zip(batch.column(text_col).to_pylist(), batch.column(drop_col).to_pylist(), strict=True):
                 lines = (text or "").encode().split(b"\n")

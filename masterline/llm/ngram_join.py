@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from masterline.llm.common import components, grouped, n_partitions, store
+from masterline.llm.common import components, grouped, n_partitions, pieces, store
 from masterline.llm.repeats import filter_bits, seen_filter, suspected
 
 WORDS = 5
@@ -96,7 +96,7 @@ def _sign(n: int):
         rng = np.random.default_rng(9)
         factors = rng.integers(0, 1 << 31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         terms = rng.integers(0, 1 << 32, PLACES, dtype=np.uint32)
-        for batch in batches:
+        for batch in pieces(batches):
             sets, sizes, signs = [], [], []
             for text in batch.column("text").to_pylist():
                 grams = shingle(text)
@@ -245,7 +245,7 @@ def _sets(n: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
-        for batch in batches:
+        for batch in pieces(batches):
             wanted = np.flatnonzero(suspected(shared.value, batch.column("hash").to_numpy().view(np.uint64)))
             grams = [shingle(t).tobytes() for t in batch.column("text").take(pa.array(wanted)).to_pylist()]
             sets = [hashlib.md5(g).digest() for g in grams]

@@ -1,10 +1,11 @@
 """Bloom filters of hashes that may occur in a table, once or twice.
 
-Every task fills two filters, of hashes seen once and seen twice; they are merged
-slice by slice, where a bit set by two tasks, or twice by one, counts as seen
-twice. A hash that two rows hold is never missed. The size is fixed beforehand
+Every task lists the bits of two filters, of hashes seen once and seen twice, for some
+hashes at a time; the lists are merged slice by slice, where a bit on two lists counts
+as seen twice. A hash that two rows hold is never missed. The size is fixed beforehand
 and bounded, so what reaches the driver and is broadcast does not grow with the table
-beyond the bound; a filter too small for its table suspects more, no less.
+beyond the bound; a filter too small for its table suspects more, no less. Only the
+driver holds a whole filter while it is made.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from masterline.llm.common import n_partitions
+from masterline.llm.packing import pack, unpack
 
 SLICE_BITS = 1 << 21
+#: Hashes, about, that a task holds at once.
+HASHES = 1 << 20
 #: Bounds of a filter's size; 2**30 bits are 128 MB, the most that is broadcast.
 LEAST_BITS, MOST_BITS = SLICE_BITS, 1 << 30
 
@@ -42,39 +46,53 @@ def suspected(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return has(bitmap, a) & has(bitmap, b)
 
 
-def _set(bitmap: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers.sort()
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])] if len(numbers) else numbers
 
 
 def _fill(bits: int, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
+    def slices(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        once, twice = (_distinct(np.concatenate(places(x, bits))) for x in (found, found[n > 1]))
+        edges = np.arange(0, bits + 1, SLICE_BITS).astype(np.uint64)
+        a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
+        own = np.flatnonzero(np.diff(a)).tolist()
+        columns = [pa.array([pack(np.diff(x[at[k] : at[k + 1]], prepend=edges[k])) for k in own], pa.binary()) for x, at in ((once, a), (twice, b))]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *columns], ["slice", "once", "twice"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        held, size = [], 0
         for batch in batches:
             for hashes in hashes_of(batch):
-                found, n = np.unique(hashes, return_counts=True)
-                again = (n > 1) | suspected(once, found)
-                for at in places(found, bits):
-                    _set(twice, at[again])
-                    _set(once, at)
-        for k in range(bits // SLICE_BITS):
-            part = slice(k * SLICE_BITS // 8, (k + 1) * SLICE_BITS // 8)
-            if once[part].any():
-                columns = {"slice": [k], "once": [zlib.compress(once[part], 1)], "twice": [zlib.compress(twice[part], 1)]}
-                yield pa.RecordBatch.from_pydict(columns)
+                held.append(hashes)
+                size += len(hashes)
+                if size >= HASHES:
+                    yield slices(held)
+                    held, size = [], 0
+        if size:
+            yield slices(held)
 
     return run
 
 
+def _bits(steps: bytes) -> np.ndarray:
+    flags = np.zeros(SLICE_BITS, bool)
+    flags[np.cumsum(unpack(steps), dtype=np.int64)] = True
+    return np.packbits(flags, bitorder="little")
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            once, twice = (np.frombuffer(zlib.decompress(row[c]), np.uint8) for c in ("once", "twice"))
-            if row["slice"] in slices:
-                seen, again = slices[row["slice"]]
-                slices[row["slice"]] = (seen | once, again | twice | (seen & once))
+        for i, k in enumerate(batch.column("slice").to_pylist()):
+            once, twice = (_bits(batch.column(c)[i].as_py()) for c in ("once", "twice"))
+            if k in slices:
+                seen, again = slices[k]
+                again |= twice | (seen & once)
+                seen |= once
             else:
-                slices[row["slice"]] = (once, twice)
+                slices[k] = (once, twice)
     for k, (seen, again) in slices.items():
         yield pa.RecordBatch.from_pydict({"slice": [k], "once": [zlib.compress(seen, 1)], "twice": [zlib.compress(again, 1)]})
 

@@ -18,6 +18,7 @@ to the chunks and there settles each occurrence.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from masterline.llm.common import fresh, n_partitions, store, with_number
+from masterline.llm.common import pieces as text_pieces
 from masterline.llm.packing import blocks, gather, pack, unpack, unzip_bytes, zip_bytes
 from masterline.llm.repeats import filter_bits, repeat_filter, suspected
 
@@ -34,8 +36,9 @@ LENGTH = 50
 #: Bytes of a minimizer and of a word of the sampled triples.
 ANCHOR, WORD = 20, 6
 PIECE = 1 << 20
-CHUNK_BYTES = 1 << 25
-SORT_BYTES = 1 << 20
+#: Bytes of text and distinct pieces of a chunk, about.
+CHUNK_BYTES, CHUNK_PIECES = 1 << 25, 1 << 17
+SORT_BYTES = 1 << 19
 MULTIPLIER = 0x9FB21C651E98DF25
 
 
@@ -87,16 +90,10 @@ def doc_pieces(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 def _anchors(length: int):
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        held, size = [], 0
-        for text in batch.column("text").to_pylist():
-            found = [h for _, _, _, h in doc_pieces(text, length)]
-            held.append(np.unique(np.concatenate(found)))
-            size += len(held[-1])
-            if size > 1 << 20:
-                yield np.concatenate(held)
-                held, size = [], 0
-        if held:
-            yield np.concatenate(held)
+        for part in text_pieces([batch]):
+            for text in part.column("text").to_pylist():
+                found = [h for _, _, _, h in doc_pieces(text, length)]
+                yield np.unique(np.concatenate(found))
 
     return run
 
@@ -106,9 +103,10 @@ SCHEMA = pa.schema(
 )
 
 
-def _chunks(shared, length: int, n_parts: int, chunk_bytes: int):
-    def rows(chunk: int, docs: list, index: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
-        parts = np.array([a % n_parts for a, _, _ in index.values()], np.uint32)
+def _chunks(shared, length: int, n_parts: int, chunk_bytes: int, chunk_pieces: int):
+    def rows(chunk: int, docs: list, index: dict[bytes, int], anchors: array, ids: array) -> Iterator[pa.RecordBatch]:
+        anchors, ids = np.frombuffer(anchors, np.uint64), np.frombuffer(ids, np.int64)
+        parts = (anchors % np.uint64(n_parts)).astype(np.uint32)
         order = np.argsort(parts, kind="stable")
         empty = dict.fromkeys(SCHEMA.names)
         counts = [sum(map(len, d[2])) for d in docs]
@@ -119,45 +117,45 @@ def _chunks(shared, length: int, n_parts: int, chunk_bytes: int):
             | {"chunk": chunk, "docs": pack([d[0] for d in docs], "<i8"), "marks": b"".join(d[1] for d in docs)}
             | {"counts": pack(counts), "starts": pack(starts, "<i8"), "numbers": pack(numbers), "order": pack(order)}
         ]
-        texts, facts = list(index), list(index.values())
+        texts = list(index)
         for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
             mine = [texts[i] for i in own]
             out.append(
                 empty
                 | {"chunk": chunk, "part": int(parts[own[0]]), "texts": zip_bytes(b"".join(mine), 6), "sizes": pack([len(t) for t in mine], "<u2")}
-                | {"anchors": pack([facts[i][0] >> 48 for i in own], "<u2"), "ids": pack([facts[i][1] for i in own], "<i8")}
+                | {"anchors": pack(anchors[own] >> np.uint64(48), "<u2"), "ids": pack(ids[own], "<i8")}
             )
         yield pa.RecordBatch.from_pylist(out, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size, docs, index = TaskContext.get().partitionId() << 32, 0, [], {}
-        for batch in batches:
+        chunk, size, docs, index, anchors, ids = TaskContext.get().partitionId() << 32, 0, [], {}, array("Q"), array("q")
+        for batch in text_pieces(batches):
             for doc_id, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
-                if index and size + len(text) > chunk_bytes:
-                    yield from rows(chunk, docs, index)
-                    chunk, size, docs, index = chunk + 1, 0, [], {}
+                if index and (size + len(text) > chunk_bytes or len(index) >= chunk_pieces):
+                    yield from rows(chunk, docs, index, anchors, ids)
+                    chunk, size, docs, index, anchors, ids = chunk + 1, 0, [], {}, array("Q"), array("q")
                 size += len(text)
                 starts, numbers = [], []
-                for at, first, last, anchors in doc_pieces(text, length):
-                    own = suspected(shared.value, anchors)
+                for at, first, last, hashes in doc_pieces(text, length):
+                    own = suspected(shared.value, hashes)
                     if not own.any():
                         continue
                     first, last = first[own] + at, last[own] + at
                     found = np.empty(len(first), np.int64)
-                    for k, (a, b, anchor) in enumerate(zip(first.tolist(), last.tolist(), anchors[own].tolist(), strict=True)):
-                        piece = text[a : b + length]
-                        fact = index.get(piece)
-                        if fact is None:
-                            fact = index[piece] = [anchor, doc_id, len(index)]
-                        elif doc_id < fact[1]:
-                            fact[1] = doc_id
-                        found[k] = fact[2]
+                    for k, (a, b, anchor) in enumerate(zip(first.tolist(), (last + length).tolist(), hashes[own].tolist(), strict=True)):
+                        number = index.setdefault(text[a:b], len(ids))
+                        if number == len(ids):
+                            anchors.append(anchor)
+                            ids.append(doc_id)
+                        elif doc_id < ids[number]:
+                            ids[number] = doc_id
+                        found[k] = number
                     starts.append(first)
                     numbers.append(found)
                 if starts:
                     docs.append((doc_id, mark, starts, numbers))
         if index:
-            yield from rows(chunk, docs, index)
+            yield from rows(chunk, docs, index, anchors, ids)
 
     return run
 
@@ -185,15 +183,21 @@ def _dense(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, _named(new, order)
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The word of WORD bytes from each place on, and from some beyond the end (0)."""
+    padded = np.concatenate([data, np.zeros(8 * WORD, np.uint8)]).astype(np.uint64)
+    words = np.zeros(len(data) + 6 * WORD, np.uint64)
+    for k in range(WORD):
+        words <<= np.uint64(8)
+        words |= padded[k : k + len(words)]
+    return words
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``data`` in order of their first ``depth`` bytes at least (0 beyond the end)."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8 * WORD, np.uint8)]).astype(np.uint64)
-    words = np.zeros(n + 6 * WORD, np.uint64)
-    for k in range(WORD):
-        words = words << np.uint64(8) | padded[k : k + len(words)]
     # A word's rank among all words stands for it in the triples.
-    _, words = _dense(words)
+    _, words = _dense(_words(data))
     sample = np.flatnonzero(np.arange(n) % 3 != 0)
     ranks = np.zeros(n + 3 * depth + 6 * WORD, np.int64)
     order, ranks[sample] = _dense(words[sample], words[sample + WORD], words[sample + 2 * WORD])
@@ -203,7 +207,8 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         covered *= 3
     sample = sample[order]
     rest = np.arange(0, n, 3)
-    byte, next_byte = padded.astype(np.int64), padded[1:].astype(np.int64)
+    byte = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+    next_byte = byte[1:]
     wide = np.int64(1) << 40
 
     def after_one(i: np.ndarray) -> np.ndarray:
@@ -234,9 +239,10 @@ def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndar
     order = suffix_order(data, length)
     order = order[ends[owner[order]] - order >= length]
     same = np.ones(max(0, len(order) - 1), bool)
-    for k in range(length):
-        byte = data[order + k]
-        same &= byte[1:] == byte[:-1]
+    words = _words(data)
+    for k in [*range(0, length - WORD, WORD), length - WORD]:
+        word = words[order + k]
+        same &= word[1:] == word[:-1]
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.minimum.reduceat(ids[owner[order]], starts)
     by_place = np.empty(len(data), np.int64)
@@ -261,13 +267,11 @@ def _sort(length: int, sort_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[bytes, int] = {}
-        ids: list[int] = []
-        anchors: list[int] = []
-        sent = []
+        ids, anchors, sent = array("q"), array("H"), []
         for batch in batches:
-            for row in batch.to_pylist():
-                data, own = unzip_bytes(row["texts"]), []
-                end = 0
+            for i in range(batch.num_rows):
+                row, own = batch.slice(i, 1).to_pylist()[0], array("I")
+                data, end = unzip_bytes(row["texts"]), 0
                 for size, anchor, doc_id in zip(unpack(row["sizes"], "<u2").tolist(), unpack(row["anchors"], "<u2").tolist(), unpack(row["ids"], "<i8").tolist(), strict=True):
                     text = data[end : end + size]
                     end += size
@@ -278,14 +282,15 @@ def _sort(length: int, sort_bytes: int):
                     elif doc_id < ids[k]:
                         ids[k] = doc_id
                     own.append(k)
-                sent.append((row["chunk"], row["part"], np.array(own, np.uint32), row["sizes"]))
+                sent.append((row["chunk"], row["part"], np.frombuffer(own, np.uint32), row["sizes"]))
         if not ids:
             return
-        texts, all_ids = list(index), np.array(ids)
+        texts, all_ids, anchors = list(index), np.frombuffer(ids, np.int64), np.frombuffer(anchors, np.uint16)
+        index.clear()
         # Pieces under one minimizer are sorted together, several minimizers at once. Two
         # bytes of a hash stand for it: minimizers that share them are only sorted together, too.
-        order = np.argsort(np.array(anchors, np.uint16), kind="stable")
-        keys = np.array(anchors, np.uint16)[order]
+        order = np.argsort(anchors, kind="stable")
+        keys = anchors[order]
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.array([len(t) for t in texts])[order]
         totals = np.add.reduceat(sizes, edges)
@@ -353,13 +358,13 @@ def _settle(length: int):
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts are shuffled once more, to meet their spans: packed harder than a shuffle does."""
-    for batch in batches:
+    for batch in text_pieces(batches):
         texts = pa.array([zip_bytes(t, 3) for t in batch.column("text").to_pylist()], pa.binary())
         yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_pieces(batches):
         kept, n_bytes, n_removed, n_spans = [], [], [], []
         for text, packed in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             spans = unpack(packed, "<i8").reshape(-1, 2).tolist() if packed else []
@@ -396,7 +401,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(repeat_filter(long_enough.select("text"), bits, _anchors(length)))
     schema = ", ".join(f"{c} {'long' if c in ('chunk', 'part') else 'binary'}" for c in SCHEMA.names)
     named = long_enough.select(F.col("key").alias("doc_id"), "mark", "text")
-    cut = store(named.mapInArrow(_chunks(shared, length, n, CHUNK_BYTES), schema))
+    cut = store(named.mapInArrow(_chunks(shared, length, n, CHUNK_BYTES, CHUNK_PIECES), schema))
+    shared.unpersist()
     sent = cut.where("part IS NOT NULL").select("chunk", "part", "texts", "sizes", "anchors", "ids").repartition(n, "part")
     answers = sent.mapInArrow(_sort(length, SORT_BYTES), "of long, part long, n_runs binary, from binary, ids binary, sizes binary")
     chunks = cut.where("docs IS NOT NULL").select("chunk", "docs", "marks", "counts", "starts", "numbers", "order")

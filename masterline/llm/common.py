@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,8 @@ from masterline.llm.packing import blocks
 
 #: Bytes of text that a task turns into Python's objects at once.
 PIECE = 1 << 20
+#: Rows of long texts that Spark reads from Parquet and sends to Python at once.
+BATCH_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,22 +36,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
+    Rows of megabytes go in files of ``rows_per_file`` (by default as they come): the reader
+    and the writer hold all the rows of a page at once, whatever their size.
+
     Cuts the lineage: what was written survives the loss of any executor, and
     values such as row numbers stay fixed for all later readers. The files go
     when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/masterline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For what is run in it, batches of at most ``BATCH_ROWS`` rows: Spark's defaults count
+    rows, not bytes, and batches of texts take tens of megabytes in the JVM, beside it and in Python."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, rows in was.items():
+            spark.conf.set(k, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        yield
+    finally:
+        for k, rows in was.items():
+            spark.conf.set(k, rows)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

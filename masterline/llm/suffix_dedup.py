@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from masterline.llm.common import fresh, n_partitions, store, with_number
+from masterline.llm.common import fresh, n_partitions, small_batches, store, with_number
 from masterline.llm.common import pieces as text_pieces
 from masterline.llm.packing import blocks, gather, pack, unpack, unzip_bytes, zip_bytes
 from masterline.llm.repeats import filter_bits, repeat_filter, suspected
@@ -398,10 +398,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = filter_bits(2 * size // (length - ANCHOR + 2))
     long_enough = rows.where(F.octet_length("text") >= length)
-    shared = spark.sparkContext.broadcast(repeat_filter(long_enough.select("text"), bits, _anchors(length)))
+    with small_batches(spark):
+        shared = spark.sparkContext.broadcast(repeat_filter(long_enough.select("text"), bits, _anchors(length)))
     schema = ", ".join(f"{c} {'long' if c in ('chunk', 'part') else 'binary'}" for c in SCHEMA.names)
     named = long_enough.select(F.col("key").alias("doc_id"), "mark", "text")
-    cut = store(named.mapInArrow(_chunks(shared, length, n, CHUNK_BYTES, CHUNK_PIECES), schema))
+    with small_batches(spark):
+        cut = store(named.mapInArrow(_chunks(shared, length, n, CHUNK_BYTES, CHUNK_PIECES), schema))
     shared.unpersist()
     sent = cut.where("part IS NOT NULL").select("chunk", "part", "texts", "sizes", "anchors", "ids").repartition(n, "part")
     answers = sent.mapInArrow(_sort(length, SORT_BYTES), "of long, part long, n_runs binary, from binary, ids binary, sizes binary")

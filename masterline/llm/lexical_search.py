@@ -16,7 +16,7 @@ best documents so far is never opened. A range of one document has its exact sco
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masterline.llm.common import store
+from masterline.llm.common import small_batches, store
 from masterline.llm.packing import pack, pack_ranks, unpack, unpack_ranks, unzip_bytes, zip_bytes
 
 RESULTS = 20
 #: Columns of a grid at most, and about so many characters; words counted at once.
-DOCS, CHARS, WORDS = 4096, 8 << 20, 1 << 19
+DOCS, CHARS, WORDS = 4096, 8 << 20, 1 << 18
 #: Ranges opened at once.
 FRONT = 48
 #: Query terms sent to the tasks at once.
@@ -186,20 +186,22 @@ def _grids(n_docs: int, n_terms: int, schema: pa.Schema):
 class Grid:
     """A chunk's quadtree, with the squares of all levels in one numbering."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, asked: Container[bytes] | None = None) -> None:
+        """``asked``: the terms whose rows are looked up (by default all)."""
         self.ids, self.height, sizes = row["doc_ids"], row["height"], np.array(row["sizes"])
-        self.place = {term: i for i, term in enumerate(unzip_bytes(row["terms"]).split())}
+        self.place = {term: i for i, term in enumerate(unzip_bytes(row["terms"]).split()) if asked is None or term in asked}
         # A last square without parts and with maximum 0 stands for the empty ones.
-        self.parts = np.concatenate([unpack(row["parts"], "<u2"), np.zeros(sizes[-1] + 1, "<u2")]).astype(np.int32)
-        held = np.bitwise_count(self.parts).astype(np.int64)
-        self.child = np.cumsum(held) - held + 1
+        self.parts = np.concatenate([unpack(row["parts"], "<u2"), np.zeros(sizes[-1] + 1, "<u2")])
+        held = np.bitwise_count(self.parts)
+        self.child = np.cumsum(held, dtype=np.int32)
+        self.child -= held
+        self.child += 1
         self.empty = len(self.parts) - 1
-        steps = unpack(row["maxima"]).astype(np.int64)
+        # Impacts are below 10**6. Steps give way to maxima, level by level.
+        self.maxima = np.append(unpack(row["maxima"]).view(np.int32), np.int32(0))
         ends = np.cumsum(sizes)
-        maxima = [steps[:1]]
         for start, stop, above in zip(ends[:-1], ends[1:], [0, *ends[:-2]], strict=True):
-            maxima.append(np.repeat(maxima[-1], held[above:start]) - steps[start:stop])
-        self.maxima = np.concatenate([*maxima, [0]])
+            np.subtract(np.repeat(self.maxima[above:start], held[above:start]), self.maxima[start:stop], out=self.maxima[start:stop])
         ranks = sorted(range(len(self.ids)), key=lambda j: (self.ids[j] is None, self.ids[j] if self.ids[j] is not None else 0))
         self.rank = np.empty(len(ranks), np.int64)
         self.rank[ranks] = np.arange(len(ranks))
@@ -217,7 +219,7 @@ class Grid:
             opened += len(some)
             at, below = squares[some], level[some] - 1
             part = digits[below][:, None, :] * 4 + parts_of_four[None, :, None]
-            parts = self.parts[at][:, None, :]
+            parts = self.parts[at].astype(np.int32)[:, None, :]
             there = parts >> part & 1 > 0
             child = np.where(there, self.child[at][:, None, :] + np.bitwise_count(parts & (1 << part) - 1), self.empty)
             sums = (self.maxima[child] * weights).sum(axis=2)
@@ -248,9 +250,10 @@ def _search(queries, k: int, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple]] = {}
+        asked = {t for _, terms, _ in queries.value for t in terms}
         for batch in batches:
             for i in range(batch.num_rows):
-                grid = Grid(batch.slice(i, 1).to_pylist()[0])
+                grid = Grid(batch.slice(i, 1).to_pylist()[0], asked)
                 for item, terms, weights in queries.value:
                     known = [(grid.place[t], w) for t, w in zip(terms, weights, strict=True) if w > 0 and t in grid.place]
                     if not known:
@@ -263,8 +266,9 @@ def _search(queries, k: int, schema: pa.Schema):
                         held += [(s, grid.ids[d]) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)]
                         held.sort(key=lambda x: (-x[0], x[1] is None, x[1] if x[1] is not None else 0))
                         del held[k:]
-        for item, held in best.items():
-            yield pa.RecordBatch.from_pylist([{"item": item, "doc_id": d, "score": s} for s, d in held], schema)
+        columns = zip(*((item, d, s) for item, held in best.items() for s, d in held), strict=True)
+        if arrays := [pa.array(x, f.type) for x, f in zip(columns, schema, strict=False)]:
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
@@ -281,13 +285,14 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     packed = ("lengths", "terms", "dfs", "columns", "tfs")
     schema = pa.schema([("doc_ids", pa.list_(kind)), *((c, pa.binary()) for c in packed), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = store(plain.mapInArrow(_chunks(schema), f"doc_ids array<{name}>, {', '.join(f'{c} binary' for c in packed)}, n_docs long, n_terms long"))
+    with small_batches(docs.sparkSession):
+        chunks = store(plain.mapInArrow(_chunks(schema), f"doc_ids array<{name}>, {', '.join(f'{c} binary' for c in packed)}, n_docs long, n_terms long"), 1)
     sums = chunks.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = (int(x or 0) for x in sums)
     lexicon = store(chunks.select("terms", "dfs").mapInArrow(_lexicon, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")))
     schema = pa.schema([("doc_ids", pa.list_(kind)), ("height", pa.int32()), ("terms", pa.binary()), ("sizes", pa.list_(pa.int32())), ("parts", pa.binary()), ("maxima", pa.binary())])
     grids = chunks.mapInArrow(_grids(n_docs, n_terms, schema), f"doc_ids array<{name}>, height int, terms binary, sizes array<int>, parts binary, maxima binary")
-    return Index(store(grids), lexicon, n_docs, n_terms)
+    return Index(store(grids, 1), lexicon, n_docs, n_terms)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +319,7 @@ def search(index: Index, items: DataFrame, k: int = RESULTS, id_col: str = "item
     arrow = pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
     schema = pa.schema([("item", pa.int64()), ("doc_id", arrow), ("score", pa.int64())])
     name = f"item long, doc_id {kind.simpleString()}, score long"
-    found = spark.createDataFrame([], name)
+    found = spark.range(0).selectExpr("id AS item", f"CAST(NULL AS {kind.simpleString()}) AS doc_id", "id AS score")
     held, size = [], 0
     rows = queries.toLocalIterator()
     while True:
